@@ -1,0 +1 @@
+"""All inputs of this engine are finite logger files, so no streaming job is defined."""
