@@ -79,6 +79,5 @@ def short_number(x: Column | str, digits: int = 2) -> Column:
 
 def interval_text(lo: Column | str, hi: Column | str, digits: int = 2) -> Column:
     """Confidence limits as text, in the spacing `( lo ,  hi )`."""
-    return F.concat_ws(
-        " ", F.lit("("), short_number(lo, digits), F.lit(", "), short_number(hi, digits), F.lit(")")
-    )
+    lo, hi = (F.coalesce(short_number(x, digits), F.lit("NA")) for x in (lo, hi))
+    return F.concat_ws(" ", F.lit("("), lo, F.lit(", "), hi, F.lit(")"))
