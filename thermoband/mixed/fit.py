@@ -53,15 +53,13 @@ def _evaluator(model: PeriodicModel, thetas: np.ndarray, gradient: bool):
     i, j = upper(size)
     blocks = [model.slope_block(levels) for levels in model.class_levels()]
 
-    def sums(block: pd.DataFrame, cls: int, theta: np.ndarray) -> np.ndarray:
-        n = block["n"].to_numpy()
-        s0, t1, s2 = (unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2"))
+    def sums(s0, t1, s2, n, cls: int, theta: np.ndarray) -> np.ndarray:
         phi, sd = math.tanh(theta[0]), theta[1 + blocks[cls] * k:][:k]
         m, dm = whitened(s0, t1, s2, n, phi)
         g, logdet, c, mz = marginal(m, sd, slopes)
         free = (n - 1).sum()
         out = [
-            np.array([len(block), n.sum(), logdet.sum() + free * math.log1p(-(phi**2))]),
+            np.array([len(n), n.sum(), logdet.sum() + free * math.log1p(-(phi**2))]),
             g.sum(axis=0)[i, j],
         ]
         if gradient:
@@ -84,8 +82,10 @@ def _evaluator(model: PeriodicModel, thetas: np.ndarray, gradient: bool):
         totals: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
             for cls, block in pdf.groupby("cls"):
+                matrices = [unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2")]
+                n = block["n"].to_numpy()
                 for t, theta in enumerate(thetas):
-                    part = sums(block, int(cls), theta)
+                    part = sums(*matrices, n, int(cls), theta)
                     key = (int(cls), t)
                     totals[key] = totals[key] + part if key in totals else part
         if totals:
@@ -103,10 +103,12 @@ def _class_sums(stats: DataFrame, model: PeriodicModel, thetas: np.ndarray, grad
     )
     summed = (
         parts.select("cls", "t", F.posexplode("v").alias("pos", "x"))
-        .groupBy("cls", "t", "pos").agg(F.sum("x").alias("x"))
-        .groupBy("cls", "t").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).getField("x").alias("v"))
+        .groupBy("cls", "t", "pos")
+        .agg(F.sum("x").alias("x"))
+        .toPandas()
+        .sort_values("pos")
     )
-    return {(r["cls"], r["t"]): np.array(r["v"]) for r in summed.collect()}
+    return {key: part["x"].to_numpy() for key, part in summed.groupby(["cls", "t"])}
 
 
 @dataclass
@@ -220,7 +222,7 @@ def _newton_step(grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
     return vectors @ ((vectors.T @ grad) / values)
 
 
-def maximise(stats: DataFrame, model: PeriodicModel, max_passes: int = 40, tol: float = 1e-7):
+def maximise(stats: DataFrame, model: PeriodicModel, max_passes: int = 40, tol: float = 1e-6):
     """Newton iterations with an exact gradient and a differenced Hessian, one pass each."""
     n_sd = model.slopes_per_series * len(model.slope_levels)
     starts = [np.r_[math.atanh(phi), np.full(n_sd, sd)] for phi in (0.0, 0.4, 0.8) for sd in (0.1, 0.5, 2.0)]

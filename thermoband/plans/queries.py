@@ -237,7 +237,7 @@ def _labelled(df: DataFrame) -> DataFrame:
 
 def _hourly_with_band(t: Inputs, df: DataFrame, key: str, keys: Sequence[str]) -> DataFrame:
     joined = bands.attach_band(df, t.band, key)
-    out = summary.hourly_mean(joined, keys, "temp", carry=["tb_q1", "tb_q3"], MEAN_DIGITS)
+    out = summary.hourly_mean(joined, keys, "temp", carry=["tb_q1", "tb_q3"])
     return rounded(out, ["temp", "tb_q1", "tb_q3"], MEAN_DIGITS)
 
 
