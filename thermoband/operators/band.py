@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoband.functions.categories import STATE_TO_LOCATION, STATE_TO_TYPE, recode
@@ -15,79 +15,72 @@ BAND = {"tb_med": 0.5, "tb_q1": 0.25, "tb_q3": 0.75}
 
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-    count_name: str = "n_obs", bin_width: float = 1 / 16,
+    count_name: str = "n_obs", bin_width: float = 1 / 1024,
 ) -> DataFrame:
     """Exact quantiles (linear between order statistics) of each group.
 
     Readings are first counted by distinct value, then ranked in two steps:
     over the value bins of a group, and inside the few bins that hold a wanted
     rank. A group that holds much of the data is thus spread by value and never
-    meets in one task. A missing value makes the quantiles of its group NULL.
+    meets in one task: the number of its bins is bounded by the value range, and a
+    bin holds the distinct readings within `bin_width` only. A missing value makes
+    the quantiles of its group NULL.
     """
     keys = list(keys)
+    cell = [*keys, "_bin"]
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     counts = (
         df.select(*keys, v.alias("_v"))
         .withColumn("_bin", F.floor(F.col("_v") / bin_width))
-        .groupBy(*keys, "_bin", "_v")
+        .groupBy(*cell, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
 
-    by_bin = Window.partitionBy(*keys)
-    earlier = by_bin.orderBy(F.col("_bin").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    # 0-based position of each quantile among the sorted values, and the ranks around it.
+    position = {name: f"((_total - 1) * {float(p)!r}D)" for name, p in probs.items()}
+    below = {name: f"floor({x})" for name, x in position.items()}
+    above = {name: f"ceil({x})" for name, x in position.items()}
+
+    by_group = Window.partitionBy(*keys)
+    earlier = by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("_bin").isNotNull(), F.col("_bin_n")).otherwise(F.lit(0))
     bins = (
-        counts.groupBy(*keys, "_bin")
+        counts.groupBy(*cell)
         .agg(F.sum("_n").alias("_bin_n"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_bin_n").over(earlier), F.lit(0)),
-                "_total": F.sum("_bin_n").over(by_bin),
-                "_missing": F.sum(F.when(F.col("_bin").isNull(), F.col("_bin_n")).otherwise(0)).over(by_bin),
-            }
+        .select(
+            *cell, "_bin_n",
+            F.coalesce(F.sum(known).over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_bin_n").over(by_group).alias("_total"),
+            F.sum(known).over(by_group).alias("_known"),
         )
     )
-
-    def position(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(p))
-
-    def covers(rank: Column, start: Column, n: Column) -> Column:
-        return (rank >= start) & (rank < start + n)
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        for rank in (F.floor(position(p)), F.ceil(position(p))):
-            wanted = wanted | covers(rank, F.col("_before"), F.col("_bin_n"))
-    cell = [*keys, "_bin"]
-    picked = bins.filter(wanted | F.col("_bin").isNull()).select(
-        *[F.col(k).alias(f"_of_{k}") for k in cell], "_before", "_total", "_missing"
+    holds_rank = " OR ".join(
+        f"({rank} >= _before AND {rank} < _before + _bin_n)" for rank in [*below.values(), *above.values()]
+    )
+    picked = bins.filter(f"_bin IS NULL OR {holds_rank}").select(
+        *[F.col(k).alias(f"_of_{k}") for k in cell], "_before", "_total", "_known"
     )
 
-    same_cell = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in cell]
+    same_cell = F.expr(" AND ".join(f"`{k}` <=> `_of_{k}`" for k in cell))
     inside = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         counts.join(picked, same_cell)
-        .select(*cell, "_v", "_n", "_before", "_total", "_missing")
+        .select(*cell, "_v", "_n", "_before", "_total", "_known")
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     )
 
-    def order_stat(rank: Column) -> Column:
-        hit = covers(rank, F.col("_start"), F.col("_n"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    stats = {"_total": F.first("_total"), "_missing": F.first("_missing")}
-    for name, p in probs.items():
-        stats[f"_{name}_lo"] = order_stat(F.floor(position(p)))
-        stats[f"_{name}_hi"] = order_stat(F.ceil(position(p)))
-    summed = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-
-    def between(name: str, p: float) -> Column:
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        part = position(p) - F.floor(position(p))
-        return F.when(F.col("_missing") == 0, lo + (hi - lo) * part)
-
-    return summed.select(
-        *keys, *[between(n, p).alias(n) for n, p in probs.items()], F.col("_total").alias(count_name)
-    )
+    def order_stat(rank: str) -> str:
+        return f"max(CASE WHEN {rank} >= _start AND {rank} < _start + _n THEN _v END)"
+
+    found = [F.expr("first(_total) AS _total"), F.expr("first(_known) AS _known")]
+    for name in probs:
+        found.append(F.expr(f"{order_stat(below[name])} AS _lo_{name}"))
+        found.append(F.expr(f"{order_stat(above[name])} AS _hi_{name}"))
+    quantiles = [
+        f"CASE WHEN _known = _total THEN _lo_{n} + (_hi_{n} - _lo_{n}) * ({x} - {below[n]}) END AS {n}"
+        for n, x in position.items()
+    ]
+    return ranked.groupBy(*keys).agg(*found).selectExpr(*keys, *quantiles, f"_total AS {count_name}")
 
 
 def lab_summary(raw: DataFrame) -> DataFrame:
