@@ -3,7 +3,10 @@ from __future__ import annotations
 import os
 import sys
 
-import pytest
+# Before NumPy loads: its threads do not mix with the session's own.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))

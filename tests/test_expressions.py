@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -95,9 +94,10 @@ def test_texts(spark):
     assert values(spark, [("1/2/20", None)], "a string, b string", cat.unite(" ", "a", "b")) == ["1/2/20 NA"]
 
 
-@given(st.lists(st.floats(-50, 120, allow_nan=False), min_size=1, max_size=30))
-def test_deviation_has_the_sign_of_the_excess(spark_for_property, xs):
-    got = values(spark_for_property, [(x,) for x in xs], "x double", deviation("x", F.lit(20.0), F.lit(30.0)))
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(xs=st.lists(st.floats(-50, 120, allow_nan=False), min_size=1, max_size=30))
+def test_deviation_has_the_sign_of_the_excess(spark, xs):
+    got = values(spark, [(x,) for x in xs], "x double", deviation("x", F.lit(20.0), F.lit(30.0)))
     for x, d in zip(xs, got):
         if 20 < x < 30:
             assert d == 0
@@ -105,12 +105,3 @@ def test_deviation_has_the_sign_of_the_excess(spark_for_property, xs):
             assert d == x - 20
         elif x > 30:
             assert d == x - 30
-
-
-@pytest.fixture(scope="module")
-def spark_for_property(spark):
-    from hypothesis import settings
-
-    settings.register_profile("few", max_examples=8, deadline=None)
-    settings.load_profile("few")
-    return spark

@@ -74,7 +74,10 @@ def short_number(x: Column | str, digits: int = 2) -> Column:
     """Half-even rounded number without trailing zeros."""
     rounded = F.bround(_column(x), digits)
     rounded = F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)  # no minus zero
-    return F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"\.?0+$" if digits else "$^", "")
+    text = F.format_string(f"%.{digits}f", rounded)
+    if digits:
+        text = F.regexp_replace(text, r"\.?0+$", "")
+    return F.when(rounded.isNotNull(), text)
 
 
 def interval_text(lo: Column | str, hi: Column | str, digits: int = 2) -> Column:

@@ -22,7 +22,8 @@ def loess_by_hour(
     the count and sum of each hour: at most 24 cells per group, whatever the
     number of rows. The neighbourhood reaches to the `floor(span*n)`-th nearest
     row, weights are tricube, and the normal equations around the point are
-    solved in closed form; singular ones fall back to a line, then to a mean.
+    solved in closed form; singular ones fall back to a line, then to a mean. If
+    all neighbours lie on the edge of the neighbourhood, their mean is taken.
     """
     keys = list(keys)
     hour = F.when(
@@ -58,6 +59,10 @@ def loess_by_hour(
     )
     moments = {f"m{p}": F.expr(f"aggregate(t, 0D, (s, k) -> s + k.w * pow(k.u, {p}))") for p in range(5)}
     moments |= {f"b{p}": F.expr(f"aggregate(t, 0D, (s, k) -> s + k.sy * pow(k.u, {p}))") for p in range(3)}
+    moments["edge"] = F.expr(
+        "aggregate(c, named_struct('w', 0D, 'sy', 0D), (s, k) -> if(abs(k.x - x0) <= h, "
+        "named_struct('w', s.w + k.w, 'sy', s.sy + k.sy), s), s -> s.sy / s.w)"
+    )
     fitted = at.withColumns(moments).withColumns(
         {
             "det3": F.expr("m0*(m2*m4 - m3*m3) - m1*(m1*m4 - m2*m3) + m2*(m1*m3 - m2*m2)"),
@@ -69,6 +74,6 @@ def loess_by_hour(
     fit = F.expr(
         "CASE WHEN abs(det3) > 1e-10 * m0*m2*m4 THEN num3/det3 "
         "WHEN abs(det2) > 1e-10 * m0*m2 THEN num2/det2 "
-        "WHEN m0 > 0 THEN b0/m0 END"
+        "WHEN m0 > 0 THEN b0/m0 ELSE edge END"
     )
     return fitted.select(*keys, "i", "x0", fit.alias("fit"))

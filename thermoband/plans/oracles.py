@@ -129,12 +129,13 @@ near AS (SELECT {keys}, i, x0, q, y, x - x0 AS u,
     row_number() OVER (PARTITION BY {keys}, i ORDER BY abs(x - x0)) AS nth
     FROM pts JOIN rows_in USING ({keys})),
 reach AS (SELECT {keys}, i, max(CASE WHEN nth = q THEN abs(u) END) AS h FROM near GROUP BY {keys}, i),
-wt AS (SELECT {keys}, i, x0, u, y,
+wt AS (SELECT {keys}, i, x0, u, y, CASE WHEN abs(u) <= h THEN y END AS y_near,
     CASE WHEN h = 0 THEN CASE WHEN u = 0 THEN 1 ELSE 0 END
         WHEN abs(u) < h THEN pow(1 - pow(abs(u) / h, 3), 3) ELSE 0 END AS w
     FROM near JOIN reach USING ({keys}, i)),
 mom AS (SELECT {keys}, i, x0, sum(w) AS m0, sum(w*u) AS m1, sum(w*u*u) AS m2, sum(w*u*u*u) AS m3,
-    sum(w*u*u*u*u) AS m4, sum(w*y) AS b0, sum(w*u*y) AS b1, sum(w*u*u*y) AS b2
+    sum(w*u*u*u*u) AS m4, sum(w*y) AS b0, sum(w*u*y) AS b1, sum(w*u*u*y) AS b2,
+    avg(y_near) AS edge
     FROM wt GROUP BY {keys}, i, x0),
 solved AS (SELECT *, m0*(m2*m4 - m3*m3) - m1*(m1*m4 - m2*m3) + m2*(m1*m3 - m2*m2) AS det3,
     m0*m2 - m1*m1 AS det2 FROM mom)
@@ -142,7 +143,7 @@ SELECT {keys}, i, round(x0, 6) AS x0, round(CASE
     WHEN abs(det3) > 1e-10 * m0*m2*m4
         THEN (b0*(m2*m4 - m3*m3) - m1*(b1*m4 - b2*m3) + m2*(b1*m3 - b2*m2)) / det3
     WHEN abs(det2) > 1e-10 * m0*m2 THEN (b0*m2 - b1*m1) / det2
-    WHEN m0 > 0 THEN b0 / m0 END, 6) AS fit
+    WHEN m0 > 0 THEN b0 / m0 ELSE edge END, 6) AS fit
 FROM solved""").replace(")\n, rows_in", "),\nrows_in")
 
 
