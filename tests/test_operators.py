@@ -195,3 +195,10 @@ def test_tables_roundtrip_and_day_folders(spark, tmp_path):
 def test_union_fills_missing_columns(spark):
     a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([(2,)], "i int")
     assert sorted(map(tuple, logs.union_by_name(a, b).collect())) == [(1, "x"), (2, None)]
+
+
+def test_types_are_inferred_without_a_schema(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,Temp,Site\n1,2.5,S1\n2,NA,S2\n")
+    df = logs.lower_names(logs.read_csv(spark, str(tmp_path)))
+    assert df.dtypes == [("id", "int"), ("temp", "double"), ("site", "string")]
+    assert sorted(map(tuple, df.collect())) == [(1, 2.5, "S1"), (2, None, "S2")]

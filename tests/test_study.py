@@ -51,6 +51,8 @@ def test_study(spark, files, tmp_path):
     assert tidy["tb"].agg({"day": "min"}).first()[0] == 5
     assert tidy["tb"].filter("id IS NULL OR temp IS NULL").count() == 0
 
+    tables.save_tables(study.deviations(tidy), f"{tmp_path}/tidy")
+    tidy = tables.load_tables(spark, f"{tmp_path}/tidy", [*names, "tpref", "db", "de"])
     results = study.summaries(tidy)
     study.write_results(results, f"{tmp_path}/csv", ["de_tbl_daytime", "db_tbl", "part_summary_te", "smooth_de"])
     de = spark.read.option("header", True).csv(f"{tmp_path}/csv/de_tbl_daytime")

@@ -146,12 +146,10 @@ def series_statistics(
             *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("s0", "t1", "s2")],
         ]
     )
-    # A fixed number of partitions: the rows are few, but each costs matrix work in every later pass.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number, adaptive execution sizes the partitions by the data. Every later
+    # pass runs one Python task per partition, so many near-empty ones would cost most.
     return (
-        cells.repartition(parts, series)
-        .sortWithinPartitions(series)
-        .mapInPandas(_fold(model, series), schema)
+        cells.repartition(series).sortWithinPartitions(series).mapInPandas(_fold(model, series), schema)
     )
 
 

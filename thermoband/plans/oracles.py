@@ -289,13 +289,13 @@ SELECT "group", '( ' || {_SHORT.format(x='lo')} || ' ,  ' || {_SHORT.format(x='h
 FROM (SELECT "group", avg(temp) - 2 * stddev_samp(temp) / sqrt(count(*)) AS lo,
         avg(temp) + 2 * stddev_samp(temp) / sqrt(count(*)) AS hi
     FROM (SELECT concat_ws('.', type, {_PART3}) AS "group", temp FROM tb) GROUP BY "group")"""),
-    "q_grid_level0_tb": _sql(f"""SELECT type, day, round(hour, 6) AS hour
+    "q_grid_level0_tb": _sql(f"""SELECT type, day, hour
 FROM (SELECT DISTINCT type FROM tb), {_DAYS_TB}, {_HOURS_TB}"""),
-    "q_grid_level0_te": _sql(f"""SELECT location, treatment, round(day, 6) AS day, round(hour, 6) AS hour
+    "q_grid_level0_te": _sql(f"""SELECT location, treatment, day, hour
 FROM (SELECT DISTINCT location FROM te), (SELECT DISTINCT treatment FROM te), {_axis('te', 'day', 30)}, {_HOURS_TE}"""),
-    "q_grid_level1_tb": _sql(f"""SELECT id, type, day, round(hour, 6) AS hour
+    "q_grid_level1_tb": _sql(f"""SELECT id, type, day, hour
 FROM (SELECT DISTINCT id, type FROM tb), {_DAYS_TB}, {_HOURS_TB}"""),
-    "q_grid_level1_te": _sql(f"""SELECT id, location, site, treatment, round(day, 6) AS day, round(hour, 6) AS hour
+    "q_grid_level1_te": _sql(f"""SELECT id, location, site, treatment, day, hour
 FROM (SELECT DISTINCT id, location, site, treatment FROM te), {_axis('te', 'day', 40)}, {_HOURS_TE}"""),
     "q_fourier_hour": _basis("hour", 3, 23),
     "q_fourier_day": _basis("day", 1, 365),

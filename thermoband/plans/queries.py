@@ -363,23 +363,23 @@ def _env_dims(t: Inputs) -> DataFrame:
 
 @query
 def q_grid_level0_tb(t: Inputs) -> DataFrame:
-    return rounded(_body_grid0(t), ["hour"])
+    return _body_grid0(t)
 
 
 @query
 def q_grid_level0_te(t: Inputs) -> DataFrame:
-    return rounded(_env_grid0(t), ["day", "hour"])
+    return _env_grid0(t)
 
 
 @query
 def q_grid_level1_tb(t: Inputs) -> DataFrame:
     dims = _body_dims(t).drop("original_id")
-    return rounded(grids.series_grid(t.tb_rows, dims, hours=100, days=None), ["hour"])
+    return grids.series_grid(t.tb_rows, dims, hours=100, days=None)
 
 
 @query
 def q_grid_level1_te(t: Inputs) -> DataFrame:
-    return rounded(grids.series_grid(t.te, _env_dims(t), hours=100, days=40), ["day", "hour"])
+    return grids.series_grid(t.te, _env_dims(t), hours=100, days=40)
 
 
 def _basis(df: DataFrame, column: str, harmonics: int, period: float) -> DataFrame:

@@ -79,8 +79,12 @@ def deviations(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def summaries(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every observed series, summary and contrast table, each under its own name."""
-    dev = deviations(tables)
+    """Every observed series, summary and contrast table, each under its own name.
+
+    Deviations are taken from `tables` if they were saved there, so that the many
+    tables made of them do not each derive them again.
+    """
+    dev = {k: tables[k] for k in ("tpref", "db", "de")} if "db" in tables else deviations(tables)
     band, db, de = dev["tpref"], dev["db"], dev["de"]
     tb, te = tables["tb"], tables["te"]
     te_in, de_in = (cleaning.within_dates_of(df, tb) for df in (te, de))

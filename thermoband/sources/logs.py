@@ -17,13 +17,15 @@ from thermoband.sources.tables import CSV_TIME
 
 # More different headers than this point to a wrong folder.
 MAX_HEADERS = 200
+LOG_FILES = "*.csv"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, pattern: str = "*"
+) -> DataFrame:
     """CSV with a header line. Without a schema the types are inferred."""
-    reader = (
-        spark.read.option("header", True).option("nullValue", "NA").option("timestampNTZFormat", CSV_TIME)
-    )
+    reader = spark.read.option("header", True).option("nullValue", "NA").option("pathGlobFilter", pattern)
+    reader = reader.option("timestampNTZFormat", CSV_TIME)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
@@ -65,25 +67,25 @@ def read_log_dir(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     Columns outside `schema` are read as text.
     """
     listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
-    )
-    headers = (
-        listed.mapInPandas(_first_lines, "path string, header string")
-        .groupBy("header")
-        .agg(F.collect_list("path").alias("paths"))
-        .limit(MAX_HEADERS + 1)
-        .collect()
+        spark.read.format("binaryFile").option("pathGlobFilter", LOG_FILES).load(path).select("path")
     )
+    first_lines = listed.mapInPandas(_first_lines, "path string, header string")
+    headers = sorted(r["header"] for r in first_lines.select("header").distinct().limit(MAX_HEADERS + 1).collect())
     if not headers:
         raise FileNotFoundError(f"no CSV files in {path}")
     if len(headers) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers in {path}")
     types = {f.name.lower(): f.dataType for f in schema}
+    # File names are needed only where headers differ; one header reads the folder as it is.
+    files: dict[str, str | list[str]] = {headers[0]: path}
+    if len(headers) > 1:
+        by_header = first_lines.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        files = {r["header"]: r["paths"] for r in by_header.collect()}
     frames = []
-    for row in sorted(headers, key=lambda r: r["header"]):
-        names = [n.strip().strip('"').lower() for n in row["header"].split(",")]
+    for header in headers:
+        names = [n.strip().strip('"').lower() for n in header.split(",")]
         own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        frames.append(read_csv(spark, sorted(row["paths"]), own))
+        frames.append(read_csv(spark, files[header], own, LOG_FILES))
     united = union_by_name(*frames)
     for name, dtype in types.items():
         if name not in united.columns:
