@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "thermoband", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every query here is written for."""
@@ -25,6 +30,23 @@ def build_session(app: str = "thermoband", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers then import it whatever folder the driver was started in.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="thermoband-"), "thermoband-package.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, str(Path(package.name) / source.relative_to(package)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
