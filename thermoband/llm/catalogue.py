@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thermoband.llm.common import table
+from thermoband.llm.packing import pack
 from thermoband.llm.token_count import count_tokens
 
 
@@ -12,10 +13,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op5_pack_windows,
     )
 }
 ORACLES: dict[str, str] = {}
