@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thermoband.llm.common import table
+from thermoband.llm.frames import round_trip
 from thermoband.llm.packing import pack
 from thermoband.llm.token_count import count_tokens
 
@@ -17,11 +18,16 @@ def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op5_pack_windows,
+        op6_token_frames,
     )
 }
 ORACLES: dict[str, str] = {}
