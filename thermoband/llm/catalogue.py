@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from thermoband.llm.common import table
 from thermoband.llm.frames import round_trip
 from thermoband.llm.packing import pack
+from thermoband.llm.simhash import near_duplicates
 from thermoband.llm.token_count import count_tokens
 
 
@@ -22,12 +23,17 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op5_pack_windows,
         op6_token_frames,
+        op10_simhash,
     )
 }
 ORACLES: dict[str, str] = {}
