@@ -9,6 +9,7 @@ from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
 from thermoband.llm.frames import round_trip
 from thermoband.llm.packing import pack
+from thermoband.llm.sharding import shard
 from thermoband.llm.simhash import near_duplicates
 from thermoband.llm.token_count import count_tokens
 
@@ -29,6 +30,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,7 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op3_decontaminate,
+        op4_shard_slots,
         op5_pack_windows,
         op6_token_frames,
         op10_simhash,
