@@ -12,6 +12,7 @@ from thermoband.llm.packing import pack
 from thermoband.llm.sharding import shard
 from thermoband.llm.simhash import near_duplicates
 from thermoband.llm.token_count import count_tokens
+from thermoband.llm.vectors import near_duplicate_vectors
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
         op4_shard_slots,
         op5_pack_windows,
         op6_token_frames,
+        op7_embedding_dedup,
         op10_simhash,
     )
 }
@@ -89,5 +95,17 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ','
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n_hit, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
     sha256(coalesce(t.names, '')) AS items_sha256, coalesce(s.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words s ON d.doc_id = s.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id
+""",
+    "op7_embedding_dedup": """
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 """,
 }
