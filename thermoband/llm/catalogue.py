@@ -9,6 +9,7 @@ from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
 from thermoband.llm.frames import round_trip
 from thermoband.llm.packing import pack
+from thermoband.llm.quality import fit, score
 from thermoband.llm.sharding import shard
 from thermoband.llm.simhash import near_duplicates
 from thermoband.llm.token_count import count_tokens
@@ -56,6 +57,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ QUERIES = {
         op5_pack_windows,
         op6_token_frames,
         op7_embedding_dedup,
+        op9_quality,
         op10_simhash,
     )
 }
