@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermoband.llm import pii, quality
 from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
 from thermoband.llm.frames import round_trip
 from thermoband.llm.packing import pack
-from thermoband.llm.quality import fit, score
 from thermoband.llm.sharding import shard
 from thermoband.llm.simhash import near_duplicates
 from thermoband.llm.token_count import count_tokens
@@ -57,9 +57,23 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), pii.fit(spark))
+
+    def number(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"),
+        pii.named(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +89,7 @@ QUERIES = {
         op5_pack_windows,
         op6_token_frames,
         op7_embedding_dedup,
+        op8_pii,
         op9_quality,
         op10_simhash,
     )
