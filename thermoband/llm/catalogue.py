@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from thermoband.llm import pii, quality, secret_scan
 from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
@@ -99,7 +100,7 @@ QUERIES = {
         op9_quality,
         op10_simhash,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op3_decontaminate": r"""

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thermoband.llm.common import slices, tokenizer_file, word_encoder
+from thermoband.llm.common import remove_folder, slices, tokenizer_file, word_encoder
 from thermoband.session import durable, shared_dir
 
 END = 2
@@ -259,6 +259,5 @@ def round_trip(docs: DataFrame, folder: str | None = None, **options) -> DataFra
     if folder:
         return rows
     kept = durable(rows)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, target)
     return kept

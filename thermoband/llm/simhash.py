@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoband.llm.common import LOWER, slices
@@ -61,17 +61,18 @@ def fingerprint(pieces: list[bytes]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(pieces), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a long (the 64 bits, signed)."""
+def fingerprints(docs: DataFrame, words: int = 3, *kept: str) -> DataFrame:
+    """doc_id and its fingerprint `mark` as a long (the 64 bits, signed), and the long columns in `kept`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             marks = [fingerprint(shingles(t, words)) for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.array(marks, "<u8").view("<i8"))], ["doc_id", "mark"]
-            )
+            rest = rows.columns[2:]
+            mark = pa.array(np.array(marks, "<u8").view("<i8"))
+            yield pa.RecordBatch.from_arrays([rows.column(0), mark, *rest], ["doc_id", "mark", *kept])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, mark bigint")
+    schema = ", ".join(["doc_id bigint", "mark bigint", *(f"{c} bigint" for c in kept)])
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *kept).mapInArrow(run, schema)
 
 
 def _part(mark: Column, low: int, width: int) -> Column:
@@ -220,6 +221,12 @@ def links(marks: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
     return result
 
 
+def _grouped(marks: DataFrame, distance: int, hot: int) -> DataFrame:
+    """Each of the distinct `marks` with the mark that stands for its component."""
+    reached = components(links(marks, distance, hot)).withColumnRenamed("node", "mark")
+    return marks.join(reached, "mark", "left").select("mark", F.coalesce("component", "mark").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links, itself included).
 
@@ -230,13 +237,34 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, h
     """
     marked = durable(fingerprints(docs, words))
     least = marked.groupBy("mark").agg(F.min("doc_id").alias("least"))
-    reached = components(links(least.select("mark"), distance, hot))
-    named = least.join(reached.withColumnRenamed("node", "mark"), "mark", "left").select(
-        "mark", "least", F.coalesce("component", "mark").alias("group")
-    )
+    named = least.join(_grouped(least.select("mark"), distance, hot), "mark")
     group_least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     return (
         marked.join(named.select("mark", "group"), "mark")
         .join(group_least, "group")
         .select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """`docs` with one row of each component, all columns as they are.
+
+    The row with the least doc_id stays (one with a null id only if no other
+    is there); of rows with that id, one with the least hash of the text. Rows equal in id and
+    text are told apart by nothing else, so any one of them stays.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    marked = durable(fingerprints(rows, words, "tie"))
+    named = _grouped(marked.select("mark").distinct(), distance, hot)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie"))
+    per_mark = marked.groupBy("mark").agg(best.alias("best")).join(named, "mark")
+    stays = per_mark.groupBy("group").agg(F.min("best").alias("best")).select(
+        F.col("best.doc_id").alias("stay_id"), F.col("best.tie").alias("stay_tie")
+    )
+    everything = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64("text").alias("own_tie"),
+    )
+    kept = everything.join(stays, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_tie") == F.col("stay_tie")), "left_semi")
+    first = Window.partitionBy("own_id", "own_tie").orderBy("own_id")
+    return kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
