@@ -44,13 +44,21 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows(NamedTuple):
-    """The distinct windows of one length: first place of each in the block's words, and its items (CSR)."""
+    """The distinct windows of one length: the places of each in the block's words, and its items.
+
+    Those of window k are place[place_start[k] : place_start[k + 1]] and item[item_start[k] : item_start[k + 1]].
+    """
 
     length: int
+    place_start: np.ndarray
     place: np.ndarray
     item_start: np.ndarray
     item: np.ndarray
 
+    @property
+    def first(self) -> np.ndarray:
+        return self.place[self.place_start[:-1]]
+
 
 class Block(NamedTuple):
     """Searchable items: word numbers, their concatenated texts (0 between items) and windows by length."""
@@ -70,7 +78,7 @@ def block(items: Iterable[tuple[str, str | None]], window: int) -> Block:
     vocabulary: dict[bytes, int] = {}
     names: dict[str, int] = {}
     text, end = [0], [0]
-    places: dict[int, dict[tuple, tuple[int, set[int]]]] = {}
+    places: dict[int, dict[tuple, tuple[list[int], set[int]]]] = {}
     for name, content in items:
         numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(content)]
         if not numbers:
@@ -79,25 +87,32 @@ def block(items: Iterable[tuple[str, str | None]], window: int) -> Block:
         size = min(window, len(numbers))
         here = places.setdefault(size, {})
         for at in range(len(numbers) - size + 1):
-            here.setdefault(tuple(numbers[at : at + size]), (len(text) + at, set()))[1].add(item)
+            where, owners = here.setdefault(tuple(numbers[at : at + size]), ([], set()))
+            where.append(len(text) + at)
+            owners.add(item)
         text += numbers
         end += [len(text)] * len(numbers)
         text.append(0)
         end.append(0)
-    windows = []
-    for size, here in sorted(places.items()):
-        owners = [sorted(o) for _, o in here.values()]
-        windows.append(
-            Windows(
-                size,
-                np.array([p for p, _ in here.values()]),
-                np.concatenate([[0], np.cumsum([len(o) for o in owners])]),
-                np.array([x for o in owners for x in o]),
-            )
-        )
+    windows = [
+        Windows(size, *_flat(list(here[k][0] for k in here)), *_flat(list(sorted(here[k][1]) for k in here)))
+        for size, here in sorted(places.items())
+    ]
     return Block(vocabulary, np.array(text, np.int64), np.array(end), windows, list(names))
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list starts in the concatenation (and the end), and the concatenation."""
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+    return starts, np.array([x for one in lists for x in one], np.int64)
+
+
+def _spread(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `which` lists all its positions in the concatenation: (index into `which`, position)."""
+    n = np.diff(starts)[which]
+    return np.repeat(np.arange(len(which)), n), np.repeat(starts[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class SuffixArray:
     """Suffixes of `numbers` that start at `places`, sorted by their first `depth` words.
 
@@ -200,7 +215,7 @@ def search(texts: list[str | None], searched: Block) -> list[Found]:
         change = np.zeros(len(sequence) + 1, np.int64)
         pairs, longest = [], np.zeros(len(texts), np.int64)
         for windows in searched.windows:
-            low, high = array.search(searched.text, windows.place, windows.length)
+            low, high = array.search(searched.text, windows.first, windows.length)
             count = high - low
             if not count.sum():
                 continue
@@ -210,10 +225,10 @@ def search(texts: list[str | None], searched: Block) -> list[Found]:
             np.add.at(change, at + windows.length, -1)
             document = np.searchsorted(begin, at, "right") - 1
             pair = np.unique(np.stack([document, window]), axis=1)
-            n = np.diff(windows.item_start)[pair[1]]
-            pick = np.repeat(windows.item_start[pair[1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack([np.repeat(pair[0], n), windows.item[pick]]))
-            np.maximum.at(longest, document, matched(sequence, at, searched, windows.place[window], windows.length))
+            k, position = _spread(windows.item_start, pair[1])
+            pairs.append(np.stack([pair[0][k], windows.item[position]]))
+            k, position = _spread(windows.place_start, window)
+            np.maximum.at(longest, document[k], matched(sequence, at[k], searched, windows.place[position], windows.length))
         if pairs:
             hit = np.cumsum(change[:-1]) > 0
             owners = np.unique(np.concatenate(pairs, axis=1), axis=1)
