@@ -1,0 +1,277 @@
+"""Classifiers, personal data, secrets, sharding and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from thermoband.llm import catalogue, pii, quality, secret_scan, sharding
+from thermoband.llm.simhash import one_of_each
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def given(text):
+    return [
+        (k, m.start(), m.end()) for k, p in RULES.items() for m in re.finditer(p, text or "") if passes(k, m[0])
+    ]
+
+
+PERSONAL = [
+    "a@b.c-d+e@f.g, x@y.z. @a.b a@b a@@b.c 🙂 ü.é@x.y", "a@b.c_d@e.f %@-.- .@..",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0255.000.1.09 1.2.3 999.1.2.3.4 12.34.56.78.",
+    "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111111 1 4111111111111112 4111  1111 1111 1111",
+    "+1 (555) 123-4567 +1 +12345678 +123 456 +1 555 123 4567 4111111111111111 +1(2)3..4-5 6 78 (",
+    "🙂🙂 +1 (555) 123-4567 4111111111111111 and 1.2.3.4", "a" * 60_000, "1" * 60_000, "1 " * 30_000, "+1" + " " * 30_000,
+    "a." * 20_000 + "@" + "b." * 20_000 + "c", "1." * 20_000, "", None, "@" * 5000, "x@y.z " * 300,
+]
+
+
+@pytest.fixture(scope="module")
+def selector(spark):
+    return pii.fit(spark)
+
+
+def test_given_spans(spark, selector, odd_docs, documents):
+    own = spark.createDataFrame([(k, t, "clash", "clash") for k, t in enumerate(PERSONAL)], "doc_id bigint, text string, base string, more string")
+    for docs in (own, odd_docs, documents):
+        texts = Counter((r.doc_id, tuple(given(r.text))) for r in docs.select("doc_id", "text").collect())
+        rows = pii.find_personal_data(docs, selector).collect()
+        assert Counter((r.doc_id, tuple((pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r.base)) for r in rows) == texts
+        for r in rows:
+            assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
+            assert [tuple(s) for s in r.spans] == sorted({tuple(s) for s in r.spans})
+
+
+def test_added_spans(spark, selector):
+    texts = {
+        "we spoke on +1 (269) 555-3296 4524132264652876 and more": ["phone:12:29", "card:30:46"],
+        "joe [at] mail [dot] com wrote": ["email:0:23"],
+        'token = "80caf00312470a19c410a04f46e97e34374107082864557a" and 4524132264652877 too': [],
+        "commit 7719a1c782a1ba91c031a682a0a2f8658209adbf of build 1.2.3": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = pii.find_personal_data(docs, selector).select("doc_id", pii.named(F.col("spans")).alias("spans")).collect()
+    want = {k: set(v) for k, v in enumerate(texts.values())}
+    assert {r.doc_id: set(filter(None, r.spans.split(","))) for r in rows} == want
+
+
+def test_selector_on_unseen_texts(spark, selector):
+    """Precision and recall on labelled texts beyond those it was fitted on."""
+    fresh = pii.labelled_texts(spark, pii.TEXTS + 1500).where(f"id >= {pii.TEXTS}").select("*", F.explode(pii.candidates(F.col("text"))).alias("c"))
+    value = F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
+    name = F.element_at(F.array(*map(F.lit, pii.KINDS)), F.col("c.kind") + 1)
+    right = F.array_contains("own", F.struct(name.alias("kind"), value.alias("value")))
+    rows = fresh.select(right.alias("right"), selector.selects(F.col("c")).alias("chosen")).collect()
+    chosen = [r.right for r in rows if r.chosen]
+    assert np.mean(chosen) > 0.95
+    assert np.mean([r.chosen for r in rows if r.right]) > 0.9
+
+
+def test_redacted(spark, selector):
+    docs = spark.createDataFrame([(0, "🙂 me@example.com and 1.2.3.4, bye"), (1, "nothing"), (2, "")], "doc_id bigint, text string")
+    found = pii.find_personal_data(docs, selector).join(docs, "doc_id")
+    rows = {r.doc_id: r.t for r in found.select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert rows == {0: "🙂 [EMAIL] and [IP], bye", 1: "nothing", 2: ""}
+
+
+def test_personal_data_of_nothing(selector, no_docs):
+    assert pii.find_personal_data(no_docs, selector).count() == 0
+
+
+def test_quality(spark):
+    sf_dir = "/root/testdata/sf0.01"  # sf0.001 has one bad text among those held out
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in catalogue.op9_quality(spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    assert rows.keys() == texts.keys()
+    for k, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    right = [rows[x.doc_id].predicted == x.quality for x in labels if rows[x.doc_id].held_out]
+    assert np.mean(right) > 0.97
+
+
+@pytest.fixture(scope="module")
+def model(spark, sf_dir, documents):
+    return quality.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark, sf_dir, documents, model):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = quality.fit(documents, turned)
+    texts = [r.text for r in documents.limit(20).collect()]
+    assert (other(texts) == model(texts)).all()
+
+
+def test_quality_of_odd_rows(odd_docs, odd_rows, no_docs, model):
+    rows = quality.score(odd_docs, model).collect()
+    assert len(rows) == len(odd_rows)
+    by_text = {}
+    for text, s in zip([r[1] for r in odd_rows], model([r[1] for r in odd_rows]), strict=True):
+        by_text.setdefault(text or "", s)
+    assert abs(by_text[""] - float(model([None])[0])) < 1e-12
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False, False]
+    kept = quality.keep_good(odd_docs, model)
+    assert kept.schema == odd_docs.schema
+    assert kept.count() == sum(r.predicted for r in rows)
+    assert quality.score(no_docs, model).count() == 0
+
+
+def test_quality_without_labels(spark, odd_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert quality.fit(odd_docs, none) is None
+    assert {r.score for r in quality.score(odd_docs, None).collect()} == {0.5}
+    assert quality.keep_good(odd_docs, None).count() == odd_docs.count()
+    assert quality.fit(no_docs, none) is None
+
+
+def test_non_negative_risk_finds_the_prior():
+    random = np.random.default_rng(0)
+    good, bad = random.normal(1, 1, (3000, quality.WIDTH)), random.normal(-1, 1, (1000, quality.WIDTH))
+    web = np.concatenate([random.normal(1, 1, (3000, quality.WIDTH)), bad])
+    fitted = quality.Model(good, web)
+    assert 0.6 < fitted.prior < 0.85
+    z = fitted.network(fitted.scale(web)) >= 0
+    assert z[:3000].mean() > 0.98 and z[3000:].mean() < 0.02
+
+
+@pytest.fixture(scope="module")
+def scanner(documents):
+    return secret_scan.fit(documents)
+
+
+def test_secrets(spark, scanner):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # sf0.001 has no secrets
+    planted, found = set(), set()
+    for r in documents.select("doc_id", "text").collect():
+        for p in (r"AKIA[A-Z0-9]{16}", r'(?<=token = ")[0-9a-f]{40}', r"(?<=password=)[0-9a-f]{18}"):
+            planted |= {(r.doc_id, m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest()) for m in re.finditer(p, r.text)}
+    for r in secret_scan.scan(documents, scanner).collect():
+        assert r.is_secret == (r.score >= 0.5)
+        if r.is_secret:
+            found.add((r.doc_id, r.start, r.end, r.value_sha256))
+    assert planted and planted <= found
+    assert len(found - planted) <= 3
+
+
+def test_forest_on_unseen_findings(scanner):
+    rows = list(secret_scan.labelled_findings(1500, seed=99))
+    x = [secret_scan.described(t, c, p, scanner.logs, scanner.words) for t, c, p, _ in rows]
+    right = (scanner.scores(x) >= 0.5) == np.array([y for *_, y in rows])
+    assert right.mean() > 0.95
+
+
+def test_transitions(documents):
+    counts = np.ones((256, 256))
+    for r in documents.collect():
+        b = np.frombuffer((r.text or "").encode(), np.uint8)
+        np.add.at(counts, (b[:-1], b[1:]), 1)
+    assert np.allclose(secret_scan.transitions(documents), np.log(counts / counts.sum(1, keepdims=True)))
+
+
+def test_masked(spark, scanner, odd_docs, no_docs):
+    masked = secret_scan.mask_secrets(odd_docs, scanner)
+    assert masked.schema == odd_docs.schema
+    before, after = Counter(map(tuple, odd_docs.collect())), Counter(map(tuple, masked.collect()))
+    new = [r for r in after if r not in before]
+    assert len(new) == 1 and sum(after.values()) == sum(before.values())
+    assert new[0][1] == "password=[SECRET] and mail me@example.com or +1 (555) 555-1234" and new[0][4] == len(new[0][1])
+    assert secret_scan.mask_secrets(no_docs, scanner).count() == secret_scan.scan(no_docs, scanner).count() == 0
+    assert secret_scan.scan(odd_docs.drop("source"), scanner).where("is_secret").count() == 1
+
+
+def check_shards(rows, docs, shards=24):
+    sizes = Counter((d.doc_id, len((d.text or "").encode()) + 8, zlib.crc32((d.text or "").encode())) for d in docs)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == sizes
+    by = {}
+    for r in rows:
+        assert 0 <= r.shard < shards
+        by.setdefault(r.shard, []).append(r)
+    for held in by.values():
+        assert sorted(r.slot for r in held) == list(range(len(held)))
+    return [sum(r["size"] for r in by.get(k, [])) for k in range(shards)]
+
+
+def test_shards(odd_docs, documents, no_docs):
+    check_shards(sharding.shard(odd_docs).collect(), odd_docs.collect())
+    rows = documents.collect()
+    loads = check_shards(sharding.shard(documents).collect(), rows)
+    assert max(loads) - min(loads) <= max(len((r.text or "").encode()) + 8 for r in rows)
+    assert sharding.shard(no_docs).count() == 0
+
+
+def test_rebalanced_map(spark, documents, tmp_path):
+    rows = sharding.records(documents, 512)
+    sizes = sharding.slot_sizes(rows)
+    folder = f"file://{tmp_path}/map"
+    sharding.save_map(sharding.first_map(sizes, 6), folder)
+    first = sharding.load_map(spark, folder)
+    sharding.save_map(sharding.rebalanced(first, sizes, 7), folder)
+    one, two = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, folder, v).collect()} for v in (1, 2))
+    assert sharding.load_map(spark, folder).first().version == 2
+    assert one.keys() == two.keys() and set(two.values()) == set(range(7))
+    moved = {k for k in one if one[k] != two[k]}
+    size = {r.virtual_slot: r.bytes for r in sizes.collect()}
+    assert sum(size[k] for k in moved) < 0.3 * sum(size.values())  # about a seventh has to
+    loads = Counter()
+    for k, s in two.items():
+        loads[s] += size[k]
+    assert max(loads.values()) < 1.3 * sum(size.values()) / 7
+    smaller = sharding.rebalanced(sharding.load_map(spark, folder), sizes, 3)
+    assert {r.shard for r in smaller.collect()} == {0, 1, 2}
+
+
+def test_pipeline(spark, sf_dir, documents):
+    docs = documents
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir).cache()
+        assert after.schema.simpleString() == documents.schema.simpleString(), name
+        before_ids, after_ids = ([r.doc_id for r in x.select("doc_id").collect()] for x in (docs, after))
+        assert set(after_ids) <= set(before_ids) and len(set(after_ids)) == len(after_ids)
+        sizes.append(len(after_ids))
+        docs = after
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2]
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    key = lambda rs: Counter((r.doc_id, r.doc_tokens) for r in rs if r.start == 0)
+    assert key(rows) == key(want) and {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+
+
+def test_every_stage_keeps_clashing_columns(spark, sf_dir, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.schema == docs.schema, name
+            out.count()
+    assert one_of_each(odd_docs).where("doc_id = 0").count() == 1

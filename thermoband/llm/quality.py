@@ -4,9 +4,9 @@ Only trusted good texts and unlabelled web text are given. With the share of
 good texts in the web (the class prior) the risk of a classifier follows from
 these two alone; its part for bad texts is kept from going below zero (the
 non-negative estimator), so that a flexible model doesn't fit the unlabelled
-texts away. The prior is estimated by the best bin: half of the good texts are
-held back, and the share of web texts above a score, over the share of those
-good texts above it, is an upper bound of the prior at every score.
+texts away. The prior is estimated by the best bin: half of the good and of the
+web texts are held back, and the share of those web texts above a score, over
+the share of those good texts above it, bounds the prior at every score.
 
 Training sees at most POSITIVES and UNLABELLED texts, those with the least
 hashed ids; only their features come to the driver. Scores use the whole text
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from thermoband.llm.common import slices
 
 POSITIVES, UNLABELLED = 8_000, 16_000
+#: Standard errors by which a bin has to be better to be the best.
+SLACK = 1.0
 HIDDEN, BATCH, EPOCHS, RATE, DECAY = 32, 1024, 30, 3e-3, 1e-4
 
 LOWER_, UPPER, DIGIT, SPACE, LINE, POINT, SIGN, HIGH = range(8)
@@ -126,9 +128,18 @@ class Network:
 
 
 def best_bin(held_back: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of the shares above a score, over scores that leave a tenth of the good texts or more."""
-    cuts = np.quantile(held_back, np.linspace(0.02, 0.9, 89))
-    return float(min(1.0, *((unlabelled >= c).mean() / (held_back >= c).mean() for c in cuts)))
+    """The ratio of the shares above a score, at the score where the ratio with SLACK standard errors is least."""
+    best = (np.inf, 1.0)
+    for cut in np.quantile(held_back, np.linspace(0.01, 0.9, 90)):
+        good, web = (held_back >= cut).mean(), max((unlabelled >= cut).mean(), 1 / len(unlabelled))
+        ratio = web / good
+        error = ratio * np.sqrt((1 - good) / (good * len(held_back)) + (1 - web) / (web * len(unlabelled)))
+        best = min(best, (ratio + SLACK * error, ratio))
+    return float(min(1.0, best[1]))
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x[::2], x[1::2]) if len(x) > 1 else (x, x)
 
 
 class Model:
@@ -138,11 +149,12 @@ class Model:
         every = np.concatenate([positive, unlabelled])
         self.mean, self.spread = every.mean(0), every.std(0) + 1e-6
         positive, unlabelled = self.scale(positive), self.scale(unlabelled)
-        fitted, held_back = positive[::2], positive[1::2] if len(positive) > 1 else positive
+        fitted, held_back = _halves(positive)
+        seen, unseen = _halves(unlabelled)
         self.prior = 0.5
         for _ in range(2):
-            trial = Network(fitted, unlabelled, self.prior)
-            self.prior = best_bin(trial(held_back), trial(unlabelled))
+            trial = Network(fitted, seen, self.prior)
+            self.prior = best_bin(trial(held_back), trial(unseen))
         self.network = Network(positive, unlabelled, self.prior)
 
     def scale(self, x: np.ndarray) -> np.ndarray:
