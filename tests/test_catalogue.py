@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from thermoband.plans.queries import QUERIES
 
 ORACLES = entry.oracle_sql()
-WITHOUT_SQL = sorted(set(entry.queries()) - set(ORACLES))
+WITHOUT_SQL = sorted(set(QUERIES) - set(ORACLES))
 
 
 @pytest.fixture(scope="module")

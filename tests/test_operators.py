@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thermoband.functions import clock
 from thermoband.operators import cleaning, grids, series, smooth, summary
 from thermoband.operators.band import BAND, group_quantiles, reference_band
-from thermoband.operators.keys import code_series, join_dimension, number_keys
+from thermoband.operators.keys import code_series, number_keys
+from thermoband.schemas import BODY_RAW
 from thermoband.sources import logs, tables
 
 
@@ -44,13 +46,6 @@ def test_reference_band_is_an_unweighted_mean(spark):
     assert got[None]["location"] is None
 
 
-def test_two_stage_mean_weighs_cells_evenly(spark):
-    rows = [(1, 0.0), (1, 0.0), (1, 0.0), (2, 3.0)]
-    df = spark.createDataFrame(rows, "day int, x double").withColumn("g", F.lit("a"))
-    assert summary.two_stage_mean(df, ["g", "day"], ["g"], "x").first()["x"] == 1.5
-    assert summary.cell_mean(df, ["g"], "x").first()["x"] == 0.75
-
-
 def test_carried_column_with_two_values_gives_two_rows(spark):
     t = datetime(2020, 7, 1, 5)
     df = spark.createDataFrame([("a", t, 5, 1.0, 2.0), ("a", t, 5, 3.0, 9.0)], "g string, datetime timestamp_ntz, hour int, x double, q double")
@@ -115,20 +110,6 @@ def test_dictionary_keeps_text_order(spark):
     assert {r["k"]: r["id"] for r in code_series(df, "k").collect()} == {"G10": 1, "G2": 2, "NG1": 3}
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_join_equals_broadcast_join(spark, how):
-    # A third of the rows share one key; some keys are unknown or missing.
-    fact = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 40).alias("k"),
-        F.col("id").alias("v"),
-    )
-    dim = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("name"))
-    small = join_dimension(fact, dim, ["k"], how)
-    large = join_dimension(fact, dim, ["k"], how, max_rows=5)
-    assert "Broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
-
-
 def test_season_and_dates(spark):
     rows = [(datetime(2020, 6, 29, 23, 59),), (datetime(2020, 6, 30),), (datetime(2020, 8, 24, 23),), (datetime(2020, 8, 25),)]
     df = spark.createDataFrame(rows, "datetime timestamp_ntz")
@@ -147,6 +128,15 @@ def test_grid_axes(spark):
     assert {(r["id"], r["day"], r["hour"]) for r in got} == {(i, d, h) for i in (1, 2) for d in (3.0, 4.0, 5.0) for h in (0.0, 23.0)}
 
 
+def test_grids_refuse_what_they_do_not_know(spark):
+    df = spark.createDataFrame([(3, 0, "a"), (5, 23, None), (None, 1, "b")], "day int, hour int, f string")
+    assert grids.group_grid(df, {"f": ("a", "b")}, hours=2, days=None).count() == 8
+    with pytest.raises(Exception, match="unknown level of f: b"):
+        grids.group_grid(df, {"f": ("a",)}, hours=2, days=None).collect()
+    with pytest.raises(Exception, match="outside 1..366: 400"):
+        grids.group_grid(df.withColumn("day", F.lit(400)), {}, hours=2, days=None).collect()
+
+
 def test_smoother_reproduces_a_quadratic(spark):
     rng = np.random.default_rng(5)
     rows = [("a", int(h), float(2 - 0.3 * h + 0.05 * h * h)) for h in rng.integers(0, 24, 600)]
@@ -170,7 +160,8 @@ def test_smoother_falls_back_and_rejects_fractions(spark):
 def test_log_folder_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date,Time,SnakeID,Location,Temp\n7/1/2020,13:05:09,G1,field,20.5\n7/1/2020,bad,G1,field,NA\n")
     (tmp_path / "b.csv").write_text("Temp,SnakeID,Location,Date,Time\n30.5,N2,lab,07/01/20,13:45:00\n")
-    (tmp_path / "c.csv").write_text("date,time,snakeid,temp,note\n7/2/2020,0:00:00,N3,1.5,x\n")
+    (tmp_path / "c.TXT").write_text("\ufeffdate,time,snakeid,temp,note\r\n7-2-20,0:00:00,N3,1.5,\"x, y\"\r\n\r\n")
+    (tmp_path / "empty.csv").write_text("")
     rows = {(r["original_id"], r["read_at"]): r for r in logs.body_logs(spark, str(tmp_path)).collect()}
     assert len(rows) == 4
     assert rows["G1", datetime(2020, 7, 1, 13, 5, 9)]["temp"] == 20.5
@@ -178,6 +169,19 @@ def test_log_folder_with_different_headers(spark, tmp_path):
     n2 = rows["N2", datetime(2020, 7, 1, 13, 45)]
     assert (n2["temp"], n2["datetime"], n2["type"], n2["location"]) == (30.5, datetime(2020, 7, 1, 14), "N", "lab")
     assert rows["N3", datetime(2020, 7, 2)]["location"] is None
+    raw = logs.read_log_dir(spark, str(tmp_path), BODY_RAW)
+    assert [r["note"] for r in raw.collect() if r["note"]] == ["x, y"]
+    text = F.concat_ws(" ", "date", "time")
+    bad = {r["file"][-5:]: (r["n"], r["n_unreadable"]) for r in logs.unreadable_times(raw, text, clock.parse_mdy_hms(text)).collect()}
+    assert bad == {"a.csv": (2, 1), "b.csv": (1, 0), "c.TXT": (1, 0)}
+
+
+def test_more_headers_than_a_person_would_write(spark, tmp_path):
+    for k in range(230):
+        (tmp_path / f"f{k}.csv").write_text(f"x{k},temp\n{k},{k}.5\n")
+    rows = logs.read_log_dir(spark, str(tmp_path), BODY_RAW).collect()
+    assert sorted(r["temp"] for r in rows) == [k + 0.5 for k in range(230)]
+    assert sum(r["x7"] == "7" for r in rows) == 1
 
 
 def test_tables_roundtrip_and_day_folders(spark, tmp_path):

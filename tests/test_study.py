@@ -52,10 +52,10 @@ def test_study(spark, files, tmp_path):
     assert tidy["tb"].filter("id IS NULL OR temp IS NULL").count() == 0
 
     tables.save_tables(study.deviations(tidy), f"{tmp_path}/tidy")
-    tidy = tables.load_tables(spark, f"{tmp_path}/tidy", [*names, "tpref", "db", "de"])
+    tidy = tables.load_tables(spark, f"{tmp_path}/tidy", [*names, "band", "db", "de"])
     results = study.summaries(tidy)
-    study.write_results(results, f"{tmp_path}/csv", ["de_tbl_daytime", "db_tbl", "part_summary_te", "smooth_de"])
-    de = spark.read.option("header", True).csv(f"{tmp_path}/csv/de_tbl_daytime")
+    study.write_results(results, f"{tmp_path}/csv", ["env_deviation_by_daytime", "body_deviation_by_group", "part_summary_te", "smooth_de"])
+    de = spark.read.option("header", True).csv(f"{tmp_path}/csv/env_deviation_by_daytime")
     assert de.columns == ["treatment", "daytime", "Prairie", "Rookery", "diff"] and de.count() == 4
 
     models = study.fit_models(tidy)

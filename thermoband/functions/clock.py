@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 NTZ = "timestamp_ntz"
 # Two-digit years up to this one are read as 20xx, later ones as 19xx.
 YEAR_PIVOT = 68
-_MDY = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})\s+(\d{1,2}):(\d{1,2})"
+# Month, day and year stand in this order between slashes, hyphens, points or blanks.
+_MDY = r"^\s*(\d{1,2})[/. \-](\d{1,2})[/. \-](\d{4}|\d{2})\s+(\d{1,2}):(\d{1,2})"
 
 
 def _column(c: Column | str) -> Column:
@@ -36,12 +37,12 @@ def _parse(text: Column | str, pattern: str, with_seconds: bool) -> Column:
 
 
 def parse_mdy_hms(text: Column | str) -> Column:
-    """`7/1/2020 13:05:09` or `07/01/20 13:05:09`; anything else is NULL."""
+    """`7/1/2020 13:05:09`, `07-01-20 13:05:09`, `7.1.2020 13:05:09`; anything else is NULL."""
     return _parse(text, _MDY + r":(\d{1,2})\s*$", with_seconds=True)
 
 
 def parse_mdy_hm(text: Column | str) -> Column:
-    """`7/1/2020 13:05` or `07/01/20 13:05`; anything else is NULL."""
+    """`7/1/2020 13:05`, `07-01-20 13:05`, `7.1.2020 13:05`; anything else is NULL."""
     return _parse(text, _MDY + r"\s*$", with_seconds=False)
 
 
@@ -57,11 +58,6 @@ def round_hour(ts: Column | str) -> Column:
     return floor_hour(_column(ts) + F.expr("INTERVAL 30 MINUTES"))
 
 
-def floor_minute(ts: Column | str) -> Column:
-    ts = _column(ts)
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.date_part(F.lit("SECOND"), ts))
-
-
 def day_of_year(ts: Column | str) -> Column:
     return F.dayofyear(_column(ts))
 

@@ -24,10 +24,6 @@ def fourier_terms(x: Column | str, harmonics: int, period: float) -> list[Column
     return out
 
 
-def fourier_array(x: Column | str, harmonics: int, period: float) -> Column:
-    return F.array(*fourier_terms(x, harmonics, period))
-
-
 def sum_to_zero(value: Column | str, levels: Sequence[str]) -> Column:
     """+1 for the first level, -1 for the second; NULL for anything else."""
     first, second = levels

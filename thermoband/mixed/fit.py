@@ -223,7 +223,10 @@ def _newton_step(grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
 
 
 def maximise(stats: DataFrame, model: PeriodicModel, max_passes: int = 40, tol: float = 1e-6):
-    """Newton iterations with an exact gradient and a differenced Hessian, one pass each."""
+    """Newton iterations with an exact gradient and a differenced Hessian, one pass each.
+
+    A search that has not settled after `max_passes` is an error, so every fit there is has converged.
+    """
     n_sd = model.slopes_per_series * len(model.slope_levels)
     starts = [np.r_[math.atanh(phi), np.full(n_sd, sd)] for phi in (0.0, 0.4, 0.8) for sd in (0.1, 0.5, 2.0)]
     values = evaluate(stats, model, starts)
@@ -231,7 +234,9 @@ def maximise(stats: DataFrame, model: PeriodicModel, max_passes: int = 40, tol:
     best, passes, width = None, 1, 1.0
     step = None
     eps = 1e-4
-    while passes < max_passes:
+    while True:
+        if passes >= max_passes:
+            raise ArithmeticError(f"the likelihood has no settled maximum after {passes} passes")
         tries = [theta] + [theta + eps * e for e in np.eye(len(theta))]
         point, *shifted = evaluate(stats, model, tries, gradient=True)
         passes += 1

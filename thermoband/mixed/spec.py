@@ -192,10 +192,6 @@ class PeriodicModel:
                 cells.append(x)
         return F.array(*cells)
 
-    def slope_row(self, hour: Column | str = "hour") -> Column:
-        """The columns a series' own slopes act on."""
-        return F.array(*self.hour_columns(hour)[1:])
-
 
 BODY_MODEL = PeriodicModel(factors=(("type", tuple(TYPE_LABELS)),), hour_harmonics=3)
 ENV_MODEL = PeriodicModel(

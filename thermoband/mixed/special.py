@@ -30,8 +30,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * value / a
+            return front * value / a
+    raise ArithmeticError(f"the incomplete beta function of {a}, {b}, {x} does not converge")
 
 
 def f_tail(f: float, df1: float, df2: float) -> float:

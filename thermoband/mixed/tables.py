@@ -73,7 +73,7 @@ def _critical(fitted: FittedModel, weights: np.ndarray, df: str, level: float) -
 
 
 def estimate_rows(
-    fitted: FittedModel, wanted: Sequence[tuple[str, np.ndarray]], df: str = "normal", level: float = 0.95
+    fitted: FittedModel, wanted: Sequence[tuple[str, np.ndarray]], df: str = "containment", level: float = 0.95
 ) -> list[tuple[str, float, float, float, float]]:
     """(label, estimate, se, lower, upper) of linear functions of the coefficients."""
     rows = []
@@ -86,7 +86,7 @@ def estimate_rows(
 
 
 def means_and_contrasts(
-    fitted: FittedModel, df: DataFrame, cells: Sequence[str], contrasts: Sequence[str], rule: str = "normal"
+    fitted: FittedModel, df: DataFrame, cells: Sequence[str], contrasts: Sequence[str], rule: str = "containment"
 ) -> list[tuple[str, float, float, float, float]]:
     """Marginal means over the `cells` factors, then first-minus-second of each contrast factor."""
     basis = basis_means(df, fitted)

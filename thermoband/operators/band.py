@@ -9,31 +9,28 @@ from pyspark.sql import functions as F
 
 from thermoband.functions.categories import STATE_TO_LOCATION, STATE_TO_TYPE, recode
 from thermoband.functions.strict import mean
+from thermoband.operators.keys import earlier_parts, join_parts, laid_out
 
 BAND = {"tb_med": 0.5, "tb_q1": 0.25, "tb_q3": 0.75}
 
 
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-    count_name: str = "n_obs", bin_width: float = 1 / 1024,
+    count_name: str = "n_obs",
 ) -> DataFrame:
     """Exact quantiles (linear between order statistics) of each group.
 
-    Readings are first counted by distinct value, then ranked in two steps:
-    over the value bins of a group, and inside the few bins that hold a wanted
-    rank. A group that holds much of the data is thus spread by value and never
-    meets in one task: the number of its bins is bounded by the value range, and a
-    bin holds the distinct readings within `bin_width` only. A missing value makes
-    the quantiles of its group NULL.
+    Readings are first counted by distinct value. The counts are laid out in
+    ranges of group and value, and ranked in two steps: over the ranges of a
+    group, and inside the few ranges that hold a wanted rank. So a group that
+    holds much of the data never meets in one task, whatever its values. A
+    missing value makes the quantiles of its group NULL.
     """
     keys = list(keys)
-    cell = [*keys, "_bin"]
+    cell = [*keys, "_part"]
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    counts = (
-        df.select(*keys, v.alias("_v"))
-        .withColumn("_bin", F.floor(F.col("_v") / bin_width))
-        .groupBy(*cell, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    counts = laid_out(
+        df.select(*keys, v.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), [*keys, "_v"]
     )
 
     # 0-based position of each quantile among the sorted values, and the ranks around it.
@@ -41,32 +38,25 @@ def group_quantiles(
     below = {name: f"floor({x})" for name, x in position.items()}
     above = {name: f"ceil({x})" for name, x in position.items()}
 
+    # A missing value comes first in its group; such a group has no quantiles, so its ranks don't matter.
     by_group = Window.partitionBy(*keys)
-    earlier = by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.when(F.col("_bin").isNotNull(), F.col("_bin_n")).otherwise(F.lit(0))
-    bins = (
+    parts = (
         counts.groupBy(*cell)
-        .agg(F.sum("_n").alias("_bin_n"))
+        .agg(F.sum("_n").alias("_part_n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("_part_known"))
         .select(
-            *cell, "_bin_n",
-            F.coalesce(F.sum(known).over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_bin_n").over(by_group).alias("_total"),
-            F.sum(known).over(by_group).alias("_known"),
+            *cell, "_part_n",
+            F.coalesce(F.sum("_part_n").over(earlier_parts(keys)), F.lit(0)).alias("_before"),
+            F.sum("_part_n").over(by_group).alias("_total"),
+            F.sum("_part_known").over(by_group).alias("_known"),
         )
     )
     holds_rank = " OR ".join(
-        f"({rank} >= _before AND {rank} < _before + _bin_n)" for rank in [*below.values(), *above.values()]
+        f"({rank} >= _before AND {rank} < _before + _part_n)" for rank in [*below.values(), *above.values()]
     )
-    picked = bins.filter(f"_bin IS NULL OR {holds_rank}").select(
-        *[F.col(k).alias(f"_of_{k}") for k in cell], "_before", "_total", "_known"
-    )
-
-    same_cell = F.expr(" AND ".join(f"`{k}` <=> `_of_{k}`" for k in cell))
+    picked = parts.filter(holds_rank).drop("_part_n")
     inside = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        counts.join(picked, same_cell)
-        .select(*cell, "_v", "_n", "_before", "_total", "_known")
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    ranked = join_parts(counts, picked, cell).withColumn(
+        "_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     )
 
     def order_stat(rank: str) -> str:

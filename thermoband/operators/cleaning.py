@@ -3,34 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermoband.functions import clock
-from thermoband.operators.keys import code_series, join_dimension
+from thermoband.operators.keys import code_series
 
 EXCLUDED_SITE = "Entrance"
 
 
 def cut_season(
     df: DataFrame, first_day: int, last_day: int, ts: str = "datetime",
-    years: Sequence[int] | None = None,
+    years: Sequence[int] | None = None, read_at: str | None = None,
 ) -> DataFrame:
     """Keep days of year from `first_day` to `last_day`, both included.
 
     A day of year cannot be pushed into a file scan. If the caller knows which
-    years the data cover, plain time ranges are added beside it, which can.
+    years the data cover, ranges of the plain time of reading are added beside
+    it, which can. Rounding moves a time by half an hour at most, so a range of
+    `read_at` (the column that `ts` was rounded from) is that much wider.
     """
+    plain, slack = (read_at, timedelta(minutes=30)) if read_at else (ts, timedelta(0))
     kept = df.filter(clock.day_of_year(ts).between(first_day, last_day))
     if years:
         ranges = None
         for year in years:
-            start = date(year, 1, 1) + timedelta(days=first_day - 1)
-            stop = date(year, 1, 1) + timedelta(days=last_day)
-            inside = (F.col(ts) >= F.lit(start.isoformat()).cast(clock.NTZ)) & (
-                F.col(ts) < F.lit(stop.isoformat()).cast(clock.NTZ)
+            start = datetime(year, 1, 1) + timedelta(days=first_day - 1) - slack
+            stop = datetime(year, 1, 1) + timedelta(days=last_day) + slack
+            inside = (F.col(plain) >= F.lit(start.isoformat(" ")).cast(clock.NTZ)) & (
+                F.col(plain) < F.lit(stop.isoformat(" ")).cast(clock.NTZ)
             )
             ranges = inside if ranges is None else ranges | inside
         kept = kept.filter(ranges)
@@ -46,7 +49,7 @@ def season_rows(
     years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Body readings of the season with `day` and `hour`, still under their own names."""
-    kept = cut_season(raw, first_day, last_day, years=years)
+    kept = cut_season(raw, first_day, last_day, years=years, read_at="read_at" if "read_at" in raw.columns else None)
     if exclude:
         kept = exclude_series(kept, exclude)
     return kept.withColumns(
@@ -62,7 +65,7 @@ def clean_body(
     codes = code_series(raw, "original_id") if codes is None else codes
     rows = season_rows(raw, first_day, last_day, exclude, years)
     rows = rows.select("original_id", "type", "datetime", "day", "hour", "temp")
-    return join_dimension(rows, codes, ["original_id"], "inner").select(
+    return rows.join(codes, ["original_id"]).select(
         "id", "type", "datetime", "day", "hour", "temp"
     )
 

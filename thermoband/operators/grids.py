@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Grid rows that a task makes, about.
+TASK_ROWS = 200_000
+
+
 def evenly_spaced(lo: Column, hi: Column, n: int) -> Column:
     """Array of `n` points from `lo` to `hi`, both included."""
     step = (hi - lo) / F.lit(float(n - 1))
@@ -16,12 +20,18 @@ def evenly_spaced(lo: Column, hi: Column, n: int) -> Column:
     )
 
 
+def _known(value: Column, known: Column, message: str) -> Column:
+    """The value; one that isn't known stops the job instead of going missing. NULL stays NULL."""
+    text = F.concat(F.lit(f"{message}: "), value.cast("string"))
+    return F.when(value.isNull() | known, value).otherwise(F.raise_error(text))
+
+
 def _axis(column: str, n: int | None) -> Column:
     """All days of year that occur, or `n` points over the range of the column."""
     if n is not None:
         x = F.col(column).cast("double")
         return evenly_spaced(F.min(x), F.max(x), n)
-    day = F.when(F.col(column).between(1, 366), F.col(column))
+    day = _known(F.col(column), F.col(column).between(1, 366), f"{column} outside 1..366")
     return F.transform(F.array_sort(F.collect_set(day)), lambda d: d.cast("double"))
 
 
@@ -34,7 +44,7 @@ def group_grid(
     grid unfolds from that one row.
     """
     axes = [
-        F.array_sort(F.collect_set(F.when(F.col(name).isin(list(known)), F.col(name)))).alias(name)
+        F.array_sort(F.collect_set(_known(F.col(name), F.col(name).isin(list(known)), f"unknown level of {name}"))).alias(name)
         for name, known in levels.items()
     ]
     one = df.agg(*axes, _axis("day", days).alias("day"), _axis("hour", hours).alias("hour"))
@@ -46,13 +56,18 @@ def group_grid(
 def series_grid(
     df: DataFrame, dims: DataFrame, hours: int, days: int | None
 ) -> DataFrame:
-    """Days and hours of the table for every row of `dims` (one row per series)."""
-    axes = df.agg(
-        F.struct(_axis("day", days).alias("day"), _axis("hour", hours).alias("hour")).alias("axes")
-    ).scalar()
-    return (
-        dims.withColumn("_axes", axes)
-        .withColumn("day", F.explode("_axes.day"))
-        .withColumn("hour", F.explode("_axes.hour"))
-        .drop("_axes")
-    )
+    """Days and hours of the table for every row of `dims` (one row per series).
+
+    The rows of `dims` are few and the grid is large, so days unfold first and
+    are dealt over as many tasks as the grid needs; hours unfold there.
+    """
+    axes = df.agg(_axis("day", days).alias("day"), _axis("hour", hours).alias("hour")).first()
+    if not axes["day"]:
+        axes = {"day": [], "hour": []}
+    per_series = len(axes["day"]) * len(axes["hour"])
+    tasks = max(1, -(-dims.count() * per_series // TASK_ROWS))
+    values = lambda xs: F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
+    days_of = dims.withColumn("day", F.explode(values(axes["day"])))
+    if tasks > 1:
+        days_of = days_of.repartition(tasks)
+    return days_of.withColumn("hour", F.explode(values(axes["hour"])))

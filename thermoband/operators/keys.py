@@ -1,4 +1,4 @@
-"""Numbering of keys, and joins to a dimension, without a single hot task."""
+"""Range layouts, and numbering of keys without a single hot task."""
 
 from __future__ import annotations
 
@@ -9,9 +9,27 @@ from pyspark.sql import functions as F
 
 from thermoband.session import durable
 
-# A dimension is broadcast only when it was counted and holds no more rows than this.
-BROADCAST_ROWS = 200_000
-SALTS = 32
+
+def laid_out(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """`df` in ranges of `cols`, each with its number in `_part`.
+
+    An ordinary group lies in one or two ranges and one that holds much of the
+    data is cut by position, whatever its values are. The layout is written
+    out, so that everything said about the ranges refers to the same ones.
+    """
+    return durable(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
+
+
+def earlier_parts(within: Sequence[str]):
+    """Window over the ranges of a group that come before the current one."""
+    return Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def join_parts(rows: DataFrame, parts: DataFrame, chunk: Sequence[str]) -> DataFrame:
+    """Rows with what `parts` says about their range; keys may be NULL."""
+    named = parts.withColumnsRenamed({c: f"_of_{c}" for c in chunk})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in chunk]
+    return rows.join(named, same).drop(*[f"_of_{c}" for c in chunk])
 
 
 def number_keys(
@@ -19,28 +37,21 @@ def number_keys(
 ) -> DataFrame:
     """1-based position of each row of `keys` in `order`, inside each `within` group.
 
-    The rows are laid out by range, each range is numbered on its own, and the
-    ranges before it are added from their sizes. No task sees more than one
-    range, however many keys a group has. The layout is written out first, so
-    that sizes and numbers refer to the same ranges.
+    Each range is numbered on its own, and the ranges before it are added from
+    their sizes. No task sees more than one range, however many keys a group has.
     """
     cols = [*within, *order]
-    placed = durable(
-        keys.select(*cols).repartitionByRange(*cols).withColumn("_part", F.spark_partition_id())
-    )
+    placed = laid_out(keys.select(*cols), cols)
     chunk = [*within, "_part"]
-    earlier = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         placed.groupBy(*chunk)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*chunk, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(*chunk, F.coalesce(F.sum("_n").over(earlier_parts(within)), F.lit(0)).alias("_before"))
     )
     numbered = placed.withColumn(
         "_row", F.row_number().over(Window.partitionBy(*chunk).orderBy(*order))
     )
-    offsets = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in chunk], "_before")
-    same_chunk = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in chunk]
-    return numbered.join(offsets, same_chunk).select(
+    return join_parts(numbered, sizes, chunk).select(
         *cols, (F.col("_row") + F.col("_before")).cast("int").alias(name)
     )
 
@@ -49,23 +60,3 @@ def code_series(df: DataFrame, key: str, name: str = "id") -> DataFrame:
     """Dictionary of the distinct values of `key`, numbered in text order."""
     found = df.select(key).filter(F.col(key).isNotNull()).distinct()
     return number_keys(found, [key], name=name)
-
-
-def join_dimension(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join a frame to a dimension that has one row per key.
-
-    The dimension is counted (it should be stored or cheap). Small ones are
-    broadcast; beyond `max_rows` the fact side is salted, so a key that holds
-    much of the data is spread over `SALTS` tasks.
-    """
-    on = list(on)
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return fact.join(F.broadcast(dim), on, how)
-    salted = fact.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[c for c in fact.columns]), F.lit(SALTS)).cast("int")
-    )
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -1,8 +1,8 @@
 """Operators on the time order of a series.
 
 A series may hold much of the data, so no window runs over a whole series of
-readings: windows run inside one minute of a series first, and then over the
-edges of its minutes, whose number the calendar bounds.
+readings: rows are laid out in ranges of series and time, windows run inside a
+range, and then over the ranges of a series, one row each.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoband.functions import clock
-from thermoband.operators.keys import number_keys
+from thermoband.operators.keys import join_parts, laid_out, number_keys
 
 
 def run_metadata(raw: DataFrame, keys: Sequence[str] = ("snakeid", "repro", "run"), ts: str = "datetime") -> DataFrame:
@@ -23,12 +23,12 @@ def run_metadata(raw: DataFrame, keys: Sequence[str] = ("snakeid", "repro", "run
     with an unreadable time has neither times nor gaps.
     """
     keys = list(keys)
-    minute = [*keys, "_minute"]
-    ordered = Window.partitionBy(*minute).orderBy(ts)
+    chunk = [*keys, "_part"]
+    ordered = Window.partitionBy(*chunk).orderBy(ts)
     inside = (
-        raw.select(*keys, F.col(ts).alias(ts), clock.floor_minute(ts).alias("_minute"))
+        laid_out(raw.select(*keys, ts), [*keys, ts])
         .withColumn("_gap", clock.seconds_between(F.lag(ts).over(ordered), F.col(ts)))
-        .groupBy(*minute)
+        .groupBy(*chunk)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.count(ts).alias("_timed"),
@@ -38,7 +38,7 @@ def run_metadata(raw: DataFrame, keys: Sequence[str] = ("snakeid", "repro", "run
             F.min("_gap").alias("_gap_min"),
         )
     )
-    along = Window.partitionBy(*keys).orderBy("_minute")
+    along = Window.partitionBy(*keys).orderBy("_part")
     edge = clock.seconds_between(F.lag("_last").over(along), F.col("_first"))
     runs = (
         inside.withColumn("_edge", edge)
@@ -80,23 +80,20 @@ def consecutive(
     series) and `is_last`. Rows are ordered by `order`, which must start with `ts`.
     """
     own = F.struct(*[F.col(c) for c in payload])
-    minute = Window.partitionBy(series, "_minute").orderBy(*order)
-    rows = (
-        df.select(series, *dict.fromkeys([ts, *order, *payload]), clock.floor_minute(ts).alias("_minute"))
-        .withColumn("_own", own)
-        .withColumns(
-            {"prev": F.lag("_own").over(minute), "_more": F.lead(F.lit(True)).over(minute)}
+    place = F.struct(*[F.col(c) for c in order])
+    chunk = [series, "_part"]
+    placed = laid_out(df.select(series, *dict.fromkeys([ts, *order, *payload])), [series, *order]).withColumn("_own", own)
+    along = Window.partitionBy(series).orderBy("_part")
+    parts = (
+        placed.groupBy(*chunk)
+        .agg(F.max_by("_own", place).alias("_end"))
+        .select(
+            *chunk, F.lag("_end").over(along).alias("_before"),
+            F.lead(F.lit(True)).over(along).isNull().alias("_final"),
         )
     )
-    is_inner = F.col("prev").isNotNull() & F.col("_more").isNotNull()
-    inner = rows.filter(is_inner).withColumn("is_last", F.lit(False))
-
-    along = Window.partitionBy(series).orderBy(*order)
-    edges = rows.filter(~is_inner).withColumns(
-        {
-            "prev": F.coalesce("prev", F.lag("_own").over(along)),
-            "is_last": F.col("_more").isNull() & F.lead(F.lit(True)).over(along).isNull(),
-        }
+    inside = Window.partitionBy(*chunk).orderBy(*order)
+    rows = placed.withColumns({"prev": F.lag("_own").over(inside), "_more": F.lead(F.lit(True)).over(inside)})
+    return join_parts(rows, parts, chunk).select(
+        series, *payload, F.coalesce("prev", "_before").alias("prev"), (F.col("_more").isNull() & F.col("_final")).alias("is_last")
     )
-    cols = [series, *payload, "prev", "is_last"]
-    return inner.select(*cols).unionByName(edges.select(*cols))

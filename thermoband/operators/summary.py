@@ -58,13 +58,6 @@ def cell_mean(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(strict.mean(value).alias(value))
 
 
-def two_stage_mean(
-    df: DataFrame, first: Sequence[str], second: Sequence[str], value: str
-) -> DataFrame:
-    """Mean of the means: every first-stage cell has the same weight."""
-    return cell_mean(cell_mean(df, first, value), second, value)
-
-
 def widen(df: DataFrame, ids: Sequence[str], column: str, levels: Sequence[str], value: str) -> DataFrame:
     """One column per level. The levels are named, so no job has to find them."""
     return df.groupBy(*ids).pivot(column, list(levels)).agg(F.first(value))

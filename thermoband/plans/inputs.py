@@ -16,6 +16,7 @@ from thermoband.sources import events as ev
 # Season and excluded series of the test data.
 FIRST_DAY, LAST_DAY = 5, 25
 EXCLUDED = ("NG7",)
+YEARS = (2024,)
 
 
 @dataclass
@@ -46,12 +47,12 @@ class Inputs:
 
     @cached_property
     def tb(self) -> DataFrame:
-        return cleaning.clean_body(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, codes=self.codes)
+        return cleaning.clean_body(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, codes=self.codes, years=YEARS)
 
     @cached_property
     def tb_rows(self) -> DataFrame:
         """The body table under the animals' own names, for summaries that need no code."""
-        return cleaning.season_rows(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED)
+        return cleaning.season_rows(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, YEARS)
 
     @cached_property
     def te(self) -> DataFrame:

@@ -210,8 +210,15 @@ _SHORT = "regexp_replace(printf('%.2f', CASE WHEN round_even({x}, 2) = 0 THEN 0.
 
 ORACLES: dict[str, str] = {
     "q_scan_lower_rename": "SELECT event_id, ts, user_id AS series, event_type, value AS temp FROM events",
-    "q_unite_parse": """SELECT event_id, strftime(ts, '%-m/%-d/%Y %-H:%M:%S') AS text,
-    date_trunc('second', ts) AS datetime FROM events""",
+    "q_unite_parse": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%-m/%-d/%Y') WHEN 1 THEN strftime(ts, '%m-%d-%Y')
+        WHEN 2 THEN strftime(ts, '%-m.%d.%y') WHEN 3 THEN strftime(ts, '%m %-d %Y') ELSE concat('13/', strftime(ts, '%-d/%Y')) END
+        || ' ' || strftime(ts, '%-H:%M:%S') AS text,
+    CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) END AS datetime FROM events""",
+    "q_parse_mdy_hm": """SELECT event_id, CASE WHEN event_id % 5 < 4 THEN date_trunc('minute', ts) END AS datetime,
+    event_id % 5 = 4 AS unreadable FROM events""",
+    "q_csv_dirs": """SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN ts END AS ts, CASE WHEN event_id % 3 <> 2 THEN value END AS value,
+    CASE WHEN event_id % 3 <> 2 THEN event_type END AS event_type,
+    CASE WHEN event_id % 3 = 2 THEN CAST(user_id AS VARCHAR) END AS extra FROM events""",
     "q_csv_roundtrip": """SELECT event_id, ts, value, f AS format FROM events,
     (SELECT 'csv' AS f UNION ALL SELECT 'parquet')""",
     "q_union_by_name": """SELECT event_id, event_type, value,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoband.functions import categories as cat
@@ -18,9 +18,9 @@ from thermoband.mixed.stats import long_statistics, series_statistics
 from thermoband.operators import band as bands
 from thermoband.operators import cleaning, grids, series, smooth, summary
 from thermoband.operators.deviation import deviation, with_deviation
-from thermoband.operators.keys import join_dimension
+from thermoband.plans.fixed import GRID_HOURS, GROUP_DAYS, JOINT_LIMITS, LIMITS, SERIES_DAYS
 from thermoband.plans.inputs import Inputs
-from thermoband.session import shared_dir
+from thermoband.session import durable, remove_folder, shared_dir
 from thermoband.sources import logs, tables as stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,22 +59,38 @@ def q_scan_lower_rename(t: Inputs) -> DataFrame:
     )
 
 
-@query
-def q_unite_parse(t: Inputs) -> DataFrame:
+def _written_time(form: Column, seconds: bool) -> tuple[Column, Column]:
+    """Date and time of `ts` as text, in one of five forms; the last one is no date."""
     ts = F.col("ts")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    parts = t.events.select(
-        "event_id",
-        F.concat_ws("/", F.month(ts), F.dayofmonth(ts), F.year(ts)).alias("date"),
-        F.concat_ws(
-            ":", F.hour(ts), two(F.minute(ts)), two(F.floor(F.date_part(F.lit("SECOND"), ts)))
-        ).alias("time"),
+    month, day, year = F.month(ts), F.dayofmonth(ts), F.year(ts)
+    date = (
+        F.when(form == 0, F.concat_ws("/", month, day, year))
+        .when(form == 1, F.concat_ws("-", two(month), two(day), year))
+        .when(form == 2, F.concat_ws(".", month, two(day), two(year % 100)))
+        .when(form == 3, F.concat_ws(" ", two(month), day, year))
+        .otherwise(F.concat_ws("/", F.lit(13), day, year))
     )
+    second = [two(F.floor(F.date_part(F.lit("SECOND"), ts)))] if seconds else []
+    return date, F.concat_ws(":", F.hour(ts), two(F.minute(ts)), *second)
+
+
+@query
+def q_unite_parse(t: Inputs) -> DataFrame:
+    date, time = _written_time(F.col("event_id") % 5, seconds=True)
+    parts = t.events.select("event_id", date.alias("date"), time.alias("time"))
     return parts.select("event_id", cat.unite(" ", "date", "time").alias("text")).withColumn(
         "datetime", clock.parse_mdy_hms("text")
     )
 
 
+@query
+def q_parse_mdy_hm(t: Inputs) -> DataFrame:
+    date, time = _written_time(F.col("event_id") % 5, seconds=False)
+    read = t.events.select("event_id", clock.parse_mdy_hm(F.concat_ws(" ", date, time)).alias("datetime"))
+    return read.withColumn("unreadable", F.col("datetime").isNull())
+
+
 @query
 def q_csv_roundtrip(t: Inputs) -> DataFrame:
     root = f"{shared_dir(t.spark)}/roundtrip-{uuid.uuid4().hex}"
@@ -83,18 +99,36 @@ def q_csv_roundtrip(t: Inputs) -> DataFrame:
     stored.save_tables({"events": ev}, root)
     csv = logs.read_log_dir(t.spark, f"{root}/csv", ev.schema).select(ev.columns)
     parquet = stored.load_tables(t.spark, root, ["events"])["events"]
-    return csv.withColumn("format", F.lit("csv")).unionByName(
-        parquet.withColumn("format", F.lit("parquet"))
+    both = durable(
+        csv.withColumn("format", F.lit("csv")).unionByName(parquet.withColumn("format", F.lit("parquet")))
     )
+    remove_folder(t.spark, root)
+    return both
+
+
+@query
+def q_csv_dirs(t: Inputs) -> DataFrame:
+    """One folder of files with columns in another order, missing columns, another ending and an empty file."""
+    root = f"{shared_dir(t.spark)}/logs-{uuid.uuid4().hex}"
+    ev = t.events
+    kind = F.col("event_id") % 3
+    stored.write_csv(ev.filter(kind == 0).select("event_id", "ts", "value", "event_type"), f"{root}/a")
+    stored.write_csv(ev.filter(kind == 1).select("event_type", F.col("value").alias("VALUE"), "event_id"), f"{root}/b", "CSV")
+    stored.write_csv(ev.filter(kind == 2).select("ts", "event_id", F.col("user_id").alias("Extra")), f"{root}/c", "txt")
+    stored.write_csv(ev.filter("false").select("event_id"), f"{root}/d")
+    read = logs.read_log_dir(t.spark, root, ev.select("event_id", "ts", "value", "event_type").schema)
+    kept = durable(read.select("event_id", "ts", "value", "event_type", "extra"))
+    remove_folder(t.spark, root)
+    return kept
 
 
 @query
 def q_union_by_name(t: Inputs) -> DataFrame:
     ev = t.events.select("event_id", "event_type", "value", "props")
-    known = ["click", "view", "purchase", "signup"]
-    slices = [ev.filter(F.col("event_type") == k).select("props", "value", "event_type", "event_id") for k in known]
-    rest = ev.filter(~F.col("event_type").isin(known)).drop("props")
-    return logs.union_by_name(*slices, rest).select("event_id", "event_type", "value", "props")
+    known = F.col("event_type").isin("click", "view", "purchase", "signup")
+    described = ev.filter(known).select("props", "value", "event_type", "event_id")
+    rest = ev.filter(~F.coalesce(known, F.lit(False))).drop("props")
+    return logs.union_by_name(described, rest).select("event_id", "event_type", "value", "props")
 
 
 # --- clock -------------------------------------------------------------------
@@ -181,7 +215,7 @@ def q_run_metadata(t: Inputs) -> DataFrame:
 def q_panel_index(t: Inputs) -> DataFrame:
     # One row per animal carries the counts, so the codes join to animals, not to readings.
     counted = t.tb_rows.groupBy("original_id", "type").agg(F.count(F.lit(1)).alias("n_rows"))
-    coded = join_dimension(counted, t.codes, ["original_id"], "inner")
+    coded = counted.join(t.codes, ["original_id"])
     return series.panel_index(coded, rows="n_rows")
 
 
@@ -344,17 +378,17 @@ def q_interval_text(t: Inputs) -> DataFrame:
 
 
 def _body_grid0(t: Inputs) -> DataFrame:
-    return grids.group_grid(t.tb_rows, {"type": tuple(cat.TYPE_LABELS)}, hours=100, days=None)
+    return grids.group_grid(t.tb_rows, {"type": tuple(cat.TYPE_LABELS)}, hours=GRID_HOURS, days=GROUP_DAYS["tb"])
 
 
 def _env_grid0(t: Inputs) -> DataFrame:
     levels = {"location": cat.LOCATIONS, "treatment": cat.TREATMENTS}
-    return grids.group_grid(t.te, levels, hours=100, days=30)
+    return grids.group_grid(t.te, levels, hours=GRID_HOURS, days=GROUP_DAYS["te"])
 
 
 def _body_dims(t: Inputs) -> DataFrame:
     animals = t.tb_rows.select("original_id", "type").distinct()
-    return join_dimension(animals, t.codes, ["original_id"], "inner")
+    return animals.join(t.codes, ["original_id"])
 
 
 def _env_dims(t: Inputs) -> DataFrame:
@@ -374,12 +408,12 @@ def q_grid_level0_te(t: Inputs) -> DataFrame:
 @query
 def q_grid_level1_tb(t: Inputs) -> DataFrame:
     dims = _body_dims(t).drop("original_id")
-    return grids.series_grid(t.tb_rows, dims, hours=100, days=None)
+    return grids.series_grid(t.tb_rows, dims, hours=GRID_HOURS, days=SERIES_DAYS["tb"])
 
 
 @query
 def q_grid_level1_te(t: Inputs) -> DataFrame:
-    return grids.series_grid(t.te, _env_dims(t), hours=100, days=40)
+    return grids.series_grid(t.te, _env_dims(t), hours=GRID_HOURS, days=SERIES_DAYS["te"])
 
 
 def _basis(df: DataFrame, column: str, harmonics: int, period: float) -> DataFrame:
@@ -420,8 +454,6 @@ def q_design_row(t: Inputs) -> DataFrame:
 
 # --- smoothing ---------------------------------------------------------------
 
-# Axis limits of the smoothed panels.
-LIMITS = {"tb": (10, 35), "te": (-10, 70), "db": (-20, 2), "de": (-32, 40)}
 
 
 def _smooth_input(t: Inputs, what: str) -> tuple[DataFrame, Sequence[str], str]:
@@ -467,7 +499,7 @@ for _what in LIMITS:
 def q_ar1_stats(t: Inputs) -> DataFrame:
     small = PeriodicModel(factors=BODY_MODEL.factors, hour_harmonics=1, day_harmonics=0)
     stats = series_statistics(t.tb_rows, small, "original_id", "temp", "read_at", ["read_at", "obs_id"])
-    coded = join_dimension(stats, t.codes, ["original_id"], "inner")
+    coded = stats.join(t.codes, ["original_id"])
     return rounded(long_statistics(coded, small, "id"), ["s0", "s1", "s2"])
 
 
@@ -508,7 +540,7 @@ def _register_model(what: str) -> None:
         long = predict.long_effects(FITS[what](t))
         if what == "te":
             return long
-        return join_dimension(long, t.codes, ["original_id"], "inner").select("id", "term", "value")
+        return long.join(t.codes, ["original_id"]).select("id", "term", "value")
 
     for name, build in (("coef", coef), ("var", var), ("blup", blup)):
         build.__name__ = f"q_lmm_{name}_{what}"
@@ -518,8 +550,6 @@ def _register_model(what: str) -> None:
 for _what in FITS:
     _register_model(_what)
 
-# Number of joint limits in the two bands.
-JOINT_LIMITS = {"tb": 1344, "te": 8064}
 
 
 @query
@@ -537,7 +567,7 @@ def q_predict_level0_te(t: Inputs) -> DataFrame:
 def q_predict_level1_tb(t: Inputs) -> DataFrame:
     fitted = fit_body(t)
     dims = predict.with_effects(_body_dims(t), fitted).drop("original_id")
-    grid = grids.series_grid(t.tb_rows, dims, hours=100, days=None)
+    grid = grids.series_grid(t.tb_rows, dims, hours=GRID_HOURS, days=SERIES_DAYS["tb"])
     return predict.predict_series(grid, fitted)
 
 
@@ -545,7 +575,7 @@ def q_predict_level1_tb(t: Inputs) -> DataFrame:
 def q_predict_level1_te(t: Inputs) -> DataFrame:
     fitted = fit_env(t)
     dims = predict.with_effects(_env_dims(t), fitted)
-    return predict.predict_series(grids.series_grid(t.te, dims, hours=100, days=40), fitted)
+    return predict.predict_series(grids.series_grid(t.te, dims, hours=GRID_HOURS, days=SERIES_DAYS["te"]), fitted)
 
 
 def _predicted_deviation(t: Inputs, pred: DataFrame, key: str, name: str, keep: Sequence[str]) -> DataFrame:

@@ -21,7 +21,8 @@ from thermoband.mixed.spec import BODY_MODEL, ENV_MODEL
 from thermoband.operators import cleaning, grids, series, smooth, summary
 from thermoband.operators.band import attach_band, lab_summary, reference_band
 from thermoband.operators.deviation import with_deviation
-from thermoband.operators.keys import code_series, join_dimension
+from thermoband.operators.keys import code_series
+from thermoband.plans import fixed
 from thermoband.sources.tables import write_csv
 
 ENV_KEYS = ("location", "treatment")
@@ -55,7 +56,7 @@ def tidy(raw: Raw, season: Season = Season()) -> dict[str, DataFrame]:
     body = cleaning.season_rows(
         raw.body, season.first_day, season.last_day, season.exclude, season.years
     )
-    body = join_dimension(body, codes, ["original_id"], "inner").select(
+    body = body.join(codes, ["original_id"]).select(
         "id", "type", "datetime", "day", "hour", "temp", "read_at", "obs_id"
     )
     return {
@@ -72,7 +73,7 @@ def deviations(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The reference band and the two deviation tables."""
     band = reference_band(tables["gradient"])
     return {
-        "tpref": band,
+        "band": band,
         "db": with_deviation(tables["tb"], band, "type", "temp", "db"),
         "de": with_deviation(tables["te"], band, "location", "temp", "de"),
     }
@@ -84,8 +85,8 @@ def summaries(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Deviations are taken from `tables` if they were saved there, so that the many
     tables made of them do not each derive them again.
     """
-    dev = {k: tables[k] for k in ("tpref", "db", "de")} if "db" in tables else deviations(tables)
-    band, db, de = dev["tpref"], dev["db"], dev["de"]
+    dev = {k: tables[k] for k in ("band", "db", "de")} if "db" in tables else deviations(tables)
+    band, db, de = dev["band"], dev["db"], dev["de"]
     tb, te = tables["tb"], tables["te"]
     te_in, de_in = (cleaning.within_dates_of(df, tb) for df in (te, de))
 
@@ -101,28 +102,24 @@ def summaries(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["hourly_db"] = summary.hourly_mean(labelled(db), ["type", "day"], "db")
     out["hourly_de"] = summary.hourly_mean(de, ENV_KEYS, "de")
 
-    # Axis limits of the smoothed panels and widths of the error bars.
-    smoothed = {
-        "tb": (["type"], "temp", 10, 35), "te": (ENV_KEYS, "temp", -10, 70),
-        "db": (["type"], "db", -20, 2), "de": (ENV_KEYS, "de", -32, 40),
-    }
-    for name, (keys, value, lo, hi) in smoothed.items():
-        kept = smooth.censor(out[f"hourly_{name}"], value, lo, hi)
+    smoothed = {"tb": (["type"], "temp"), "te": (ENV_KEYS, "temp"), "db": (["type"], "db"), "de": (ENV_KEYS, "de")}
+    for name, (keys, value) in smoothed.items():
+        kept = smooth.censor(out[f"hourly_{name}"], value, *fixed.LIMITS[name])
         out[f"smooth_{name}"] = smooth.loess_by_hour(kept, keys, value)
     parts = {
-        "tb": (labelled(tb), ["type"], "temp", 8), "te": (te_in, ENV_KEYS, "temp", 8),
-        "db": (labelled(db), ["type"], "db", 8), "de": (de_in, ENV_KEYS, "de", 5),
+        "tb": (labelled(tb), ["type"], "temp"), "te": (te_in, ENV_KEYS, "temp"),
+        "db": (labelled(db), ["type"], "db"), "de": (de_in, ENV_KEYS, "de"),
     }
-    for name, (df, keys, value, k) in parts.items():
+    for name, (df, keys, value) in parts.items():
         out[f"part_series_{name}"] = summary.daily_parts(df, keys, value)
-        out[f"part_summary_{name}"] = summary.part_summary(df, keys, value, k)
+        out[f"part_summary_{name}"] = summary.part_summary(df, keys, value, fixed.PART_WIDTH[name])
 
     places, cover, groups = LOCATIONS, TREATMENTS, tuple(TYPE_LABELS.values())
-    out["de_tbl"] = summary.cell_mean(de_in, ENV_KEYS, "de")
-    out["de_tbl_daytime"] = summary.contrast(de_in, ENV_KEYS, "location", places, "de", ["treatment"])
-    out["de_tbl_pr"] = summary.contrast(de_in, ENV_KEYS, "location", places, "de")
-    out["de_tbl_es"] = summary.contrast(de_in, ENV_KEYS, "treatment", cover, "de")
-    out["db_tbl"] = summary.contrast(labelled(db), ["type"], "type", groups, "db")
+    out["env_deviation_cells"] = summary.cell_mean(de_in, ENV_KEYS, "de")
+    out["env_deviation_by_daytime"] = summary.contrast(de_in, ENV_KEYS, "location", places, "de", ["treatment"])
+    out["env_deviation_by_location"] = summary.contrast(de_in, ENV_KEYS, "location", places, "de")
+    out["env_deviation_by_treatment"] = summary.contrast(de_in, ENV_KEYS, "treatment", cover, "de")
+    out["body_deviation_by_group"] = summary.contrast(labelled(db), ["type"], "type", groups, "db")
     return out
 
 
@@ -134,7 +131,7 @@ def fit_models(tables: dict[str, DataFrame]) -> dict[str, FittedModel]:
 
 
 def model_results(
-    spark: SparkSession, tables: dict[str, DataFrame], models: dict[str, FittedModel], rule: str = "normal"
+    spark: SparkSession, tables: dict[str, DataFrame], models: dict[str, FittedModel], rule: str = "containment"
 ) -> dict[str, DataFrame]:
     """Marginal means, tests, and predictions for groups and for single series."""
     tb, te, fit_tb, fit_te = tables["tb"], tables["te"], models["tb"], models["te"]
@@ -150,18 +147,18 @@ def model_results(
             spark, model_tables.sequential_tests(fit_tb, model_tables.BODY_TERMS)
         ),
     }
-    grid_tb = grids.group_grid(tb, {"type": tuple(TYPE_LABELS)}, hours=100, days=None)
-    grid_te = grids.group_grid(te, {"location": LOCATIONS, "treatment": TREATMENTS}, hours=100, days=30)
-    out["pred_tb"] = predict.predict_population(grid_tb, fit_tb, m=1344)
-    out["pred_te"] = predict.predict_population(grid_te, fit_te, m=8064)
+    grid_tb = grids.group_grid(tb, {"type": tuple(TYPE_LABELS)}, hours=fixed.GRID_HOURS, days=fixed.GROUP_DAYS["tb"])
+    grid_te = grids.group_grid(te, {"location": LOCATIONS, "treatment": TREATMENTS}, hours=fixed.GRID_HOURS, days=fixed.GROUP_DAYS["te"])
+    out["pred_tb"] = predict.predict_population(grid_tb, fit_tb, m=fixed.JOINT_LIMITS["tb"])
+    out["pred_te"] = predict.predict_population(grid_te, fit_te, m=fixed.JOINT_LIMITS["te"])
     out["pred_db"] = with_deviation(out["pred_tb"], band, "type", "pred", "pred_db")
     out["pred_de"] = with_deviation(out["pred_te"], band, "location", "pred", "pred_de")
     dims = {
-        "tb": (tb, tb.select("id", "type").distinct(), fit_tb, None),
-        "te": (te, te.select("id", "location", "site", "treatment").distinct(), fit_te, 40),
+        "tb": (tb, tb.select("id", "type").distinct(), fit_tb),
+        "te": (te, te.select("id", "location", "site", "treatment").distinct(), fit_te),
     }
-    for name, (df, rows, fitted, days) in dims.items():
-        grid = grids.series_grid(df, predict.with_effects(rows, fitted), hours=100, days=days)
+    for name, (df, rows, fitted) in dims.items():
+        grid = grids.series_grid(df, predict.with_effects(rows, fitted), hours=fixed.GRID_HOURS, days=fixed.SERIES_DAYS[name])
         out[f"pred_series_{name}"] = predict.predict_series(grid, fitted)
     return out
 

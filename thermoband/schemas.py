@@ -1,4 +1,4 @@
-"""Input and tidy schemas. Names use underscores, times carry no zone."""
+"""Schemas of the input files."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 _text, _real, _whole = T.StringType(), T.DoubleType(), T.IntegerType()
-_time = T.TimestampNTZType()
 
 BODY_RAW = _struct(date=_text, time=_text, snakeid=_text, location=_text, temp=_real)
 ENV_RAW = _struct(
@@ -18,10 +17,3 @@ ENV_RAW = _struct(
     site=_text, location=_text, treatment=_text, temp=_real,
 )
 LAB_RAW = _struct(date=_text, time=_text, snakeid=_text, repro=_text, run=_whole, tb=_real)
-
-BODY = _struct(id=_whole, type=_text, datetime=_time, day=_whole, hour=_whole, temp=_real)
-ENV = _struct(
-    id=_text, site=_text, location=_text, treatment=_text, datetime=_time,
-    temp=_real, day=_whole, hour=_whole,
-)
-LAB = _struct(snakeid=_text, repro=_text, tb_med=_real, tb_q1=_real, tb_q3=_real, n_obs=T.LongType())

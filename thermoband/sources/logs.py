@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermoband.functions import clock
 from thermoband.functions.categories import unite
-
 from thermoband.schemas import BODY_RAW, ENV_RAW, LAB_RAW
 from thermoband.sources.tables import CSV_TIME
 
-# More different headers than this point to a wrong folder.
-MAX_HEADERS = 200
-LOG_FILES = "*.csv"
-
-
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, pattern: str = "*"
 ) -> DataFrame:
@@ -43,54 +34,81 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _value(text: Column, dtype: T.DataType) -> Column:
+    """A field's text as a value, by the CSV reader's own rules; unreadable ones are NULL."""
+    if isinstance(dtype, T.StringType):
+        return text
+    schema = T.StructType([T.StructField("v", dtype)])
+    return F.from_csv(text, schema.simpleString()[7:-1].replace(":", " "), {"nullValue": "NA", "timestampNTZFormat": CSV_TIME})["v"]
 
-    for batch in batches:
-        lines = []
-        for uri in batch["path"]:
-            files, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-            with files.open_input_stream(path) as stream:
-                head = b""
-                while b"\n" not in head and (block := stream.read(4096)):
-                    head += block
-            lines.append(head.split(b"\n", 1)[0].decode("utf-8-sig").strip())
-        yield pd.DataFrame({"path": batch["path"], "header": lines})
+
+def _fields(line: Column, n: int) -> Column:
+    """The fields of a line as an array of `n` texts."""
+    names = [f"c{i}" for i in range(n)]
+    row = F.from_csv(line, ", ".join(f"{c} string" for c in names), {"nullValue": "NA"})
+    return F.array(*[row[c] for c in names])
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of every file of a folder: file, block (where its part of the file starts), place (ascending within it), line."""
+    return (
+        spark.read.option("recursiveFileLookup", True).text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
+        )
+        .filter(F.trim("line") != "")
+    )
 
 
 def read_log_dir(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All CSV files of a folder, each read by its own header.
+    """All files of a folder, each read by its own header, whatever their names and number.
 
     A plain folder read matches columns by position and would swap values when
-    a file orders its header differently. Headers are read in parallel, files
-    with the same header are read together, and the reads are united by name.
-    Columns outside `schema` are read as text.
+    a file orders its header differently. Here the folder is read as lines; the
+    first line of a file is its header, which names the fields of its other
+    lines. Columns that a file lacks are NULL; columns outside `schema` are
+    text; files without lines give no rows; a line equal to its file's header is no reading.
+    `_file`, `_block`, `_place` tell where a row stands. Two small jobs learn the names that occur
+    and the largest number of fields, since a plan needs its columns.
     """
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", LOG_FILES).load(path).select("path")
-    )
-    first_lines = listed.mapInPandas(_first_lines, "path string, header string")
-    headers = sorted(r["header"] for r in first_lines.select("header").distinct().limit(MAX_HEADERS + 1).collect())
-    if not headers:
-        raise FileNotFoundError(f"no CSV files in {path}")
-    if len(headers) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers in {path}")
+    lines = log_lines(spark, path)
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "place").alias("header"))
+    commas = F.length("header") - F.length(F.regexp_replace("header", ",", "")) + 1
+    widest = first.agg(F.max(commas)).first()[0]
+    if widest is None:
+        raise FileNotFoundError(f"no lines in the files of {path}")
+    clean = F.regexp_replace("header", "^\ufeff", "")
+    names = F.transform(F.filter(_fields(clean, widest), lambda c: c.isNotNull()), lambda c: F.lower(F.trim(c)))
+    headers = first.select(F.col("file").alias("of_file"), "header", names.alias("names"))
+    found = sorted(r[0] for r in headers.select(F.explode("names")).distinct().collect())
     types = {f.name.lower(): f.dataType for f in schema}
-    # File names are needed only where headers differ; one header reads the folder as it is.
-    files: dict[str, str | list[str]] = {headers[0]: path}
-    if len(headers) > 1:
-        by_header = first_lines.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        files = {r["header"]: r["paths"] for r in by_header.collect()}
-    frames = []
-    for header in headers:
-        names = [n.strip().strip('"').lower() for n in header.split(",")]
-        own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        frames.append(read_csv(spark, files[header], own, LOG_FILES))
-    united = union_by_name(*frames)
-    for name, dtype in types.items():
-        if name not in united.columns:
-            united = united.withColumn(name, F.lit(None).cast(dtype))
-    return united
+    rows = lines.join(headers, F.col("file") == F.col("of_file")).filter("line <> header")
+    rows = rows.withColumn("fields", _fields(F.col("line"), widest))
+
+    def column(name: str) -> Column:
+        text = F.get("fields", (F.array_position("names", name) - 1).cast("int"))
+        # position 0 means that the file has no such column
+        text = F.when(F.array_contains("names", name), text)
+        return _value(text, types.get(name, T.StringType())).alias(name)
+
+    return rows.select(
+        *[column(n) for n in [*types, *(n for n in found if n not in types)]],
+        F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("place").alias("_place"),
+    )
+
+
+def _order() -> Column:
+    """Readings of one time keep the order of their files and lines."""
+    return F.struct("_file", "_block", "_place")
+
+
+def unreadable_times(raw: DataFrame, text: Column, parsed: Column) -> DataFrame:
+    """For each file of `read_log_dir` its readings and how many have a time that can't be read."""
+    bad = text.isNotNull() & parsed.isNull()
+    return raw.groupBy(F.col("_file").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_unreadable")
+    )
 
 
 def body_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +116,7 @@ def body_logs(spark: SparkSession, folder: str) -> DataFrame:
     raw = read_log_dir(spark, folder, BODY_RAW)
     read_at = clock.parse_mdy_hms(unite(" ", "date", "time"))
     return raw.select(
-        F.monotonically_increasing_id().alias("obs_id"),
+        _order().alias("obs_id"),
         read_at.alias("read_at"),
         F.col("snakeid").alias("original_id"),
         F.substring("snakeid", 1, 1).alias("type"),
@@ -111,13 +129,12 @@ def body_logs(spark: SparkSession, folder: str) -> DataFrame:
 def env_logs(spark: SparkSession, file: str) -> DataFrame:
     """Readings of the environment models."""
     raw = read_log_dir(spark, file, ENV_RAW).drop("date", "time", "time_int")
-    return raw.withColumns(
-        {"datetime": clock.parse_mdy_hm("datetime"), "obs_id": F.monotonically_increasing_id()}
-    )
+    read = raw.withColumns({"datetime": clock.parse_mdy_hm("datetime"), "obs_id": _order()})
+    return read.drop("_file", "_block", "_place")
 
 
 def lab_logs(spark: SparkSession, file: str) -> DataFrame:
     """Readings of the lab gradient."""
     raw = read_log_dir(spark, file, LAB_RAW)
-    united = raw.withColumn("datetime", unite(" ", "date", "time")).drop("date", "time")
+    united = raw.withColumn("datetime", unite(" ", "date", "time")).drop("date", "time", "_file", "_block", "_place")
     return united.withColumn("datetime", clock.parse_mdy_hms("datetime"))

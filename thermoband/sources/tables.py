@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV folder with header; missing values are written as NA."""
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA")
+def write_csv(df: DataFrame, path: str, extension: str = "csv") -> None:
+    """CSV folder with header; missing values are written as NA. `extension` (three letters) ends the file names."""
+    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA").option("extension", extension)
     writer.option("timestampNTZFormat", CSV_TIME).csv(path)
 
 
