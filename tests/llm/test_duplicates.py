@@ -12,7 +12,8 @@ import xxhash
 from thermoband.llm.common import LOWER
 from thermoband.llm.components import components
 from thermoband.llm.decontaminate import SuffixArray, block, find_benchmark, remove_affected, search, words
-from thermoband.llm.simhash import compare_keys, links, near_duplicates, one_of_each, spanning_links
+from thermoband.llm.near_copies import one_of_each, similarity, sketch
+from thermoband.llm.simhash import compare_keys, links, near_duplicates, shingles, spanning_links
 from thermoband.llm.vectors import near_duplicate_vectors
 
 
@@ -75,14 +76,65 @@ def test_near_duplicates_of_nothing(no_docs):
     assert one_of_each(no_docs).count() == 0
 
 
-def test_one_of_each(odd_docs, documents):
+def jaccard(a, b):
+    a, b = (set(shingles(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def copies_of(rows, least):
+    """Groups of rows whose texts link at `least`, by comparing all."""
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i].text, rows[j].text) >= least]
+    return parts(range(len(rows)), pairs)
+
+
+@pytest.mark.parametrize("hot,tile", [(20_000, 512), (2, 2)])
+def test_one_of_each(odd_docs, documents, hot, tile):
     for docs in (odd_docs, documents):
         rows = docs.select("doc_id", "text").collect()
-        components_ = {c for _, _, c in near(rows)}
-        kept = one_of_each(docs)
-        assert kept.columns == docs.columns
-        got = [r.doc_id for r in kept.collect()]
-        assert sorted(got, key=lambda x: (x is None, x)) == sorted(components_, key=lambda x: (x is None, x))
+        kept = one_of_each(docs, hot=hot, tile=tile)
+        assert kept.schema == docs.schema
+        got = kept.select("doc_id", "text").collect()
+        # what is surely alike is one row; what surely isn't stays
+        sure, loose = copies_of(rows, 0.9), copies_of(rows, 0.7)
+        assert len(set(loose.values())) <= len(got) <= len(set(sure.values()))
+        stayed = Counter((r.doc_id, r.text) for r in got)
+        assert max(stayed.values()) == 1
+        for g in set(loose.values()):
+            ids = [(rows[i].doc_id, rows[i].text) for i in loose if loose[i] == g]
+            assert any(x in stayed for x in ids)
+            if len(set(ids)) == 1:
+                assert stayed[ids[0]] == 1
+
+
+def test_near_copies_are_found(spark):
+    """Of pairs at 0.8 or more nearly all lose one text; texts that share half stay."""
+    random = np.random.default_rng(11)
+    texts, alike = [], []
+    for _ in range(150):
+        base = [f"w{x}" for x in random.integers(0, 3000, int(random.integers(60, 400)))]
+        texts.append(" ".join(base))
+        edited = list(base)
+        for at in random.choice(len(base), max(1, len(base) // 60), replace=False):
+            edited[at] = f"new{at}"
+        texts.append(" ".join(edited))
+        texts.append(" ".join(base[: len(base) // 2] + [f"o{x}" for x in random.integers(0, 3000, len(base) // 2)]))
+        alike.append(jaccard(texts[-3], texts[-2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in one_of_each(docs).collect()}
+    assert all(3 * k in kept and 3 * k + 2 in kept for k in range(150))
+    lost = [3 * k + 1 not in kept for k, j in enumerate(alike) if j >= 0.85]
+    assert len(lost) > 50 and np.mean(lost) > 0.9
+
+
+def test_sketches():
+    random = np.random.default_rng(12)
+    for share in (0.3, 0.8, 0.95):
+        common = [f"c{k}".encode() for k in range(int(2000 * share))]
+        a = common + [f"a{k}".encode() for k in range((2000 - len(common)) // 2)]
+        b = common + [f"b{k}".encode() for k in range((2000 - len(common)) // 2)]
+        random.shuffle(a)
+        x, y = (np.frombuffer(sketch(p), "<u2")[None, :] for p in (a, b))
+        assert abs(similarity(x, y)[0, 0] - share) < 0.1
 
 
 @pytest.mark.parametrize("hot", [20_000, 5])
@@ -109,7 +161,7 @@ def test_links_join_all_close_fingerprints(spark, hot):
 def test_a_large_group_gives_few_links():
     random = np.random.default_rng(2)
     marks = np.unique(np.array([1 << int(a) | 1 << int(b) for a, b in random.integers(0, 32, (2000, 2))], np.uint64))
-    joined = spanning_links(marks, np.full(len(marks), -1), 3)
+    joined = spanning_links(marks[:, None], np.full(len(marks), -1), 3)
     assert len(joined) < len(marks)
 
 
@@ -121,8 +173,8 @@ def test_keys_over_batches():
     for cut in range(1, 10):
         rows = [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, side, mark)], ["key", "side", "mark"]) for a, b in ((0, cut), (cut, 10))]
         out = pa.Table.from_batches(list(compare_keys(3, 4)(iter(rows)))).to_pylist()
-        assert {(r["a"], r["b"]) for r in out if r["link"]} == {(0, 1), (100, 101)}
-        assert sorted(r["b"] for r in out if not r["link"]) == [10, 11, 12, 13, 14, 15]
+        assert {(r["a0"], r["b0"]) for r in out if r["link"]} == {(0, 1), (100, 101)}
+        assert sorted(r["a0"] for r in out if not r["link"]) == [10, 11, 12, 13, 14, 15]
 
 
 def linked(rows):

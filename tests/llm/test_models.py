@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from thermoband.llm import catalogue, pii, quality, secret_scan, sharding
-from thermoband.llm.simhash import one_of_each
+from thermoband.llm.near_copies import one_of_each
 
 
 def luhn(digits):

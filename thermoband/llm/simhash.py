@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermoband.llm.common import LOWER, slices
@@ -107,38 +107,47 @@ def _bit(mark: str, at: Column) -> Column:
     return F.call_function("shiftrightunsigned", F.col(mark), at).bitwiseAND(F.lit(1).cast("bigint"))
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signatures (the last axis holds their words)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def spanning_links(marks: np.ndarray, sides: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links within `distance` among the fingerprints of one key that join its parts, as index pairs.
+    """Links within `distance` among the signatures (n x words) of one key that join its parts, as index pairs.
 
     Of side -1 all are compared, of sides 0 and 1 only those that differ in it.
     """
     n = len(marks)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = []
+    part = np.arange(n)
+    found = []
     rows, columns = (np.arange(n), np.arange(n)) if sides[0] < 0 else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
     for at in range(0, len(rows), BLOCK):
         some = rows[at : at + BLOCK]
-        near = np.bitwise_count(marks[some][:, None] ^ marks[columns][None, :]) <= distance
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = find(int(some[i])), find(int(columns[j]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((int(some[i]), int(columns[j])))
-    return links
+        near = sum(np.bitwise_count(marks[some, k][:, None] ^ marks[columns, k][None, :]) for k in range(marks.shape[1])) <= distance
+        for i in np.flatnonzero(near.any(axis=1)):
+            others = columns[near[i]]
+            parts, first = np.unique(part[others], return_index=True)
+            new = parts != part[some[i]]
+            if new.any():
+                found += [(int(some[i]), int(others[f])) for f in first[new]]
+                part[np.isin(part, parts)] = part[some[i]]
+    return found
 
 
-def compare_keys(distance: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows (key, side, mark) sorted by key: (link: true, a, b) for links, (false, key, mark) for rows of hot keys."""
+def compare_keys(distance: int, hot: int, words: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (key, side, signature of `words` longs) sorted by key: links as (true, one signature, the other),
+    rows of hot keys as (false, signature, key, zeros)."""
+    names = ["link", *(f"a{k}" for k in range(words)), *(f"b{k}" for k in range(words))]
 
-    def emit(kind: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), pa.array(a), pa.array(b)], ["link", "a", "b"])
+    def emit(kind: bool, *columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind)), *(pa.array(np.ascontiguousarray(c).view("<i8")) for c in columns)], names)
+
+    def linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return emit(True, *a.T, *b.T)
+
+    def passed_on(key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        return emit(False, *mark.T, key, *[np.zeros(len(key), np.int64)] * (words - 1))
 
     def groups(key: np.ndarray, side: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Compare whole keys; those of two rows all at once."""
@@ -146,26 +155,35 @@ def compare_keys(distance: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]]
         size = np.diff(np.concatenate([first, [len(key)]]))
         two = first[size == 2]
         if len(two):
-            x, y = mark[two], mark[two + 1]
-            ok = (np.bitwise_count(x ^ y) <= distance) & ((side[two] < 0) | (side[two] != side[two + 1]))
+            ok = (differing(mark[two], mark[two + 1]) <= distance) & ((side[two] < 0) | (side[two] != side[two + 1]))
             if ok.any():
-                yield emit(True, x[ok].view("<i8"), y[ok].view("<i8"))
+                yield linked(mark[two][ok], mark[two + 1][ok])
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            marks = mark[at : at + n]
-            if links := spanning_links(marks, side[at : at + n], distance):
-                a, b = np.array(links).T
-                yield emit(True, marks[a].view("<i8"), marks[b].view("<i8"))
+            here = mark[at : at + n]
+            if found := spanning_links(here, side[at : at + n], distance):
+                a, b = np.array(found).T
+                yield linked(here[a], here[b])
+
+    def whole(key: np.ndarray, side: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """As `groups`, but keys that are hot go on."""
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        big = count[back] > hot
+        if big.any():
+            yield passed_on(key[big], mark[big])
+            key, side, mark = key[~big], side[~big], mark[~big]
+        if len(key):
+            yield from groups(key, side, mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         over: int | None = None  # the key whose rows are passed on
         for batch in batches:
-            key, side, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            mark = mark.view("<u8")
+            key, side, *parts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            mark = np.stack([p.view("<u8") for p in parts], axis=1)
             if over is not None:
                 same = key == over
                 if same.any():
-                    yield emit(False, key[same], mark[same].view("<i8"))
+                    yield passed_on(key[same], mark[same])
                 key, side, mark = key[~same], side[~same], mark[~same]
                 if not len(key):
                     continue
@@ -178,7 +196,7 @@ def compare_keys(distance: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]]
             tail = int(np.searchsorted(key, key[-1], "left"))
             if len(key) - tail > hot:
                 over = int(key[-1])
-                yield emit(False, key[tail:], mark[tail:].view("<i8"))
+                yield passed_on(key[tail:], mark[tail:])
             else:
                 held = [(key[tail:], side[tail:], mark[tail:])]
             if tail:
@@ -186,16 +204,6 @@ def compare_keys(distance: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]]
         for key, side, mark in held:
             yield from whole(key, side, mark)
 
-    def whole(key: np.ndarray, side: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """As `groups`, but keys that are hot go on."""
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        big = count[back] > hot
-        if big.any():
-            yield emit(False, key[big], mark[big].view("<i8"))
-            key, side, mark = key[~big], side[~big], mark[~big]
-        if len(key):
-            yield from groups(key, side, mark)
-
     return run
 
 
@@ -203,20 +211,20 @@ def links(marks: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
     """Links (a, b) between distinct fingerprints (`mark`) that join all fingerprints within `distance` of each other."""
     if distance != 3:
         raise ValueError("two segments with one deleted bit find 3 differing bits")
-    schema = "link boolean, a bigint, b bigint"
+    schema = "link boolean, a0 bigint, b0 bigint"
 
     def compared(keyed: DataFrame, limit: int) -> DataFrame:
         return durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare_keys(distance, limit), schema))
 
     found = compared(_keyed(marks, [], [(0, 32), (32, 32)]), hot)
-    result = found.where("link").select("a", "b")
+    result = found.where("link").select(F.col("a0").alias("a"), F.col("b0").alias("b"))
     rest = found.where("NOT link")
     if not rest.isEmpty():
         # 3 bits over both halves of the 32 bits that the key doesn't fix: one half differs by at most one bit.
         # Under a key of 16 further bits at most 2^17 fingerprints are left.
-        again = rest.select(F.col("a").alias("within"), F.col("b").alias("mark")).distinct()
+        again = rest.select(F.col("b0").alias("within"), F.col("a0").alias("mark")).distinct()
         result = result.union(
-            compared(_keyed(again, ["within"], [(0, 16), (16, 16), (32, 16), (48, 16)]), 1 << 18).where("link").select("a", "b")
+            compared(_keyed(again, ["within"], [(0, 16), (16, 16), (32, 16), (48, 16)]), 1 << 18).where("link").select("a0", "b0")
         )
     return result
 
@@ -239,32 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, h
     least = marked.groupBy("mark").agg(F.min("doc_id").alias("least"))
     named = least.join(_grouped(least.select("mark"), distance, hot), "mark")
     group_least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return (
-        marked.join(named.select("mark", "group"), "mark")
-        .join(group_least, "group")
-        .select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
-    )
-
-
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """`docs` with one row of each component, all columns as they are.
-
-    The row with the least doc_id stays (one with a null id only if no other
-    is there); of rows with that id, one with the least hash of the text. Rows equal in id and
-    text are told apart by nothing else, so any one of them stays.
-    """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    marked = durable(fingerprints(rows, words, "tie"))
-    named = _grouped(marked.select("mark").distinct(), distance, hot)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie"))
-    per_mark = marked.groupBy("mark").agg(best.alias("best")).join(named, "mark")
-    stays = per_mark.groupBy("group").agg(F.min("best").alias("best")).select(
-        F.col("best.doc_id").alias("stay_id"), F.col("best.tie").alias("stay_tie")
-    )
-    everything = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64("text").alias("own_tie"),
+    known = named.join(group_least, "group").select("mark", "component_id")
+    return marked.join(known, "mark").select(
+        "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
     )
-    kept = everything.join(stays, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_tie") == F.col("stay_tie")), "left_semi")
-    first = Window.partitionBy("own_id", "own_tie").orderBy("own_id")
-    return kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
