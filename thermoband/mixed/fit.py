@@ -267,7 +267,22 @@ def fit(
     pass reads them.
     """
     stats = durable(series_statistics(df, model, series, response, ts, order or [ts]))
-    theta, point, passes = maximise(stats, model)
+    return _fitted(model, series, stats, *maximise(stats, model))
+
+
+def at_parameters(
+    df: DataFrame, model: PeriodicModel, series: str, phi: float, relative_sd: Sequence[float],
+    response: str = "temp", ts: str = "datetime", order: Sequence[str] | None = None,
+) -> FittedModel:
+    """The model at stated variance parameters: generalised least squares without a search."""
+    stats = durable(series_statistics(df, model, series, response, ts, order or [ts]))
+    theta = np.r_[math.atanh(phi), np.asarray(relative_sd, float)]
+    return _fitted(model, series, stats, theta, evaluate(stats, model, [theta])[0], 1)
+
+
+def _fitted(
+    model: PeriodicModel, series: str, stats: DataFrame, theta: np.ndarray, point: Evaluation, passes: int
+) -> FittedModel:
     at = model.positions()
     sigma = math.sqrt(point.sigma2)
     return FittedModel(

@@ -316,3 +316,98 @@ FROM ({_hourly('te', 'location, treatment', 'temp')}) WHERE v BETWEEN -10 AND 70
     **{f"q_loess_{w}": _loess(w) for w in _VIEWS},
     "q_ar1_stats": _ar1(),
 }
+
+# Generalised least squares at a correlation of 0.8 between neighbours, from single rows. Classes don't share
+# coefficients, so each class is a system of three equations.
+_GLS = {
+    "tb": {
+        "series": "id", "order": "ts, event_id", "factors": (("type", ("G", "N")),),
+        "grid": f"SELECT type, day, hour FROM (SELECT DISTINCT type FROM tb), {_DAYS_TB}, {_HOURS_TB}",
+    },
+    "te": {
+        "series": "id", "order": "datetime, event_id",
+        "factors": (("location", ("Prairie", "Rookery")), ("treatment", ("Exposed", "Shaded"))),
+        "grid": f"""SELECT location, treatment, day, hour FROM (SELECT DISTINCT location FROM te),
+            (SELECT DISTINCT treatment FROM te), {_axis('te', 'day', 30)}, {_HOURS_TE}""",
+    },
+}
+_X = {1: "1.0", 2: _sincos(1, "hour", 23, "sin"), 3: _sincos(1, "hour", 23, "cos")}
+
+
+def _gls(what: str, body: str) -> str:
+    """`beta`: per class the coefficients b1..b3 and their covariances v11..v33; `scale`: sigma2, rows and series."""
+    spec = _GLS[what]
+    keys = ", ".join(name for name, _ in spec["factors"])
+    columns = {**{f"x{i}": x for i, x in _X.items()}, "y": "temp"}
+    now = ", ".join(f"{x} AS {c}" for c, x in columns.items())
+    lag = ", ".join(f"lag({c}) OVER w AS p_{c}" for c in columns)
+    white = ", ".join(f"CASE WHEN p_x1 IS NULL THEN {c} ELSE ({c} - 0.8 * p_{c}) / sqrt(1 - 0.8 * 0.8) END AS {c}" for c in columns)
+    sums = ", ".join(f"sum(x{i} * x{j}) AS a{i}{j}" for i in _X for j in _X if i <= j)
+    rhs = ", ".join(f"sum(x{i} * y) AS r{i}" for i in _X)
+    a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+
+    def minor(i: int, j: int) -> str:
+        (p, q), (u, v) = [k for k in _X if k != i], [k for k in _X if k != j]
+        return f"{'-' if (i + j) % 2 else ''}({a(p, u)} * {a(q, v)} - {a(p, v)} * {a(q, u)})"
+
+    det = " + ".join(f"{a(1, j)} * ({minor(1, j)})" for j in _X)
+    inverse = ", ".join(f"({minor(i, j)}) / ({det}) AS c{i}{j}" for i in _X for j in _X)
+    solved = ", ".join(f"c{i}1 * r1 + c{i}2 * r2 + c{i}3 * r3 AS b{i}" for i in _X)
+    cov = ", ".join(f"c{i}{j} * sigma2 AS v{i}{j}" for i in _X for j in _X)
+    return _sql(f"""
+, laid AS (SELECT {keys}, {spec['series']} AS s, {spec['order'].split(',')[0]} AS o1, event_id AS o2, {now} FROM {what}),
+lagged AS (SELECT *, {lag} FROM laid WINDOW w AS (PARTITION BY s ORDER BY o1, o2)),
+white AS (SELECT {keys}, s, {white} FROM lagged),
+sums AS (SELECT {keys}, {sums}, {rhs}, sum(y * y) AS yy, count(*) AS n, count(DISTINCT s) AS m FROM white GROUP BY {keys}),
+inv AS (SELECT *, {inverse} FROM sums),
+est AS (SELECT *, {solved} FROM inv),
+scale AS (SELECT sum(yy - b1 * r1 - b2 * r2 - b3 * r3) / (sum(n) - 3 * count(*)) AS sigma2, CAST(sum(n) AS BIGINT) AS n_rows,
+    CAST(sum(m) AS BIGINT) AS n_series FROM est),
+beta AS (SELECT est.*, {cov} FROM est, scale)
+{body}""").replace("\n,", ",", 1)
+
+
+def _gls_coef(what: str) -> str:
+    factors = _GLS[what]["factors"]
+    parts, k = [], 2 ** len(factors)
+    for mask in range(k):
+        used = [f for i, f in enumerate(factors) if mask >> i & 1]
+        sign = " * ".join([f"CASE WHEN {name} = '{first}' THEN 1 ELSE -1 END" for name, (first, _) in used]) or "1"
+        for j, wave in ((1, ""), (2, "hour_sin1"), (3, "hour_cos1")):
+            term = ":".join([f"{name}1" for name, _ in used] + ([wave] if wave else [])) or "(Intercept)"
+            parts.append(
+                f"SELECT '{term}' AS term, round(sum({sign} * b{j}) / {k}, 6) AS estimate, round(sqrt(sum(v{j}{j})) / {k}, 6) AS se FROM beta"
+            )
+    return _gls(what, " UNION ALL ".join(parts))
+
+
+def _gls_means(what: str) -> str:
+    factors = _GLS[what]["factors"]
+    at = ", ".join(f"avg({x}) AS m{i}" for i, x in _X.items())
+    value = " + ".join(f"b{i} * m{i}" for i in _X)
+    var = " + ".join(f"m{i} * m{j} * v{i}{j}" for i in _X for j in _X)
+    cells = f"(SELECT *, {value} AS e, {var} AS v FROM beta, (SELECT {at} FROM {what}))"
+    label = " || ', ' || ".join(name for name, _ in factors)
+    parts = [f"SELECT {label} AS \"group\", round(e, 6) AS estimate, round(sqrt(v), 6) AS se FROM {cells}"]
+    half = 2 ** (len(factors) - 1)
+    for name, (first, second) in factors:
+        sign = f"CASE WHEN {name} = '{first}' THEN 1 ELSE -1 END"
+        parts.append(f"SELECT '{first} - {second}', round(sum({sign} * e) / {half}, 6), round(sqrt(sum(v)) / {half}, 6) FROM {cells}")
+    return _gls(what, " UNION ALL ".join(parts))
+
+
+def _gls_population(what: str) -> str:
+    keys = [name for name, _ in _GLS[what]["factors"]]
+    point = f"(SELECT *, {', '.join(f'{x} AS x{i}' for i, x in _X.items())} FROM ({_GLS[what]['grid']}))"
+    value = " + ".join(f"b{i} * x{i}" for i in _X)
+    var = " + ".join(f"x{i} * x{j} * v{i}{j}" for i in _X for j in _X)
+    same = " AND ".join(f"g.{k} = beta.{k}" for k in keys)
+    return _gls(what, f"""SELECT {', '.join(f'g.{k}' for k in keys)}, day, hour, round({value}, 6) AS pred, round(sqrt({var}), 6) AS se
+FROM {point} g JOIN beta ON {same}""")
+
+
+for _w in _GLS:
+    ORACLES[f"q_gls_coef_{_w}"] = _gls_coef(_w)
+    ORACLES[f"q_gls_scale_{_w}"] = _gls(_w, "SELECT n_rows, n_series, round(sqrt(sigma2), 6) AS sigma FROM scale")
+    ORACLES[f"q_emm_at_{_w}"] = _gls_means(_w)
+    ORACLES[f"q_predict_at_level0_{_w}"] = _gls_population(_w)

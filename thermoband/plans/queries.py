@@ -12,7 +12,7 @@ from thermoband.functions import categories as cat
 from thermoband.functions import clock, strict
 from thermoband.functions.fourier import fourier_terms
 from thermoband.mixed import predict, tables
-from thermoband.mixed.fit import FittedModel, fit
+from thermoband.mixed.fit import FittedModel, at_parameters, fit
 from thermoband.mixed.spec import BODY_MODEL, ENV_MODEL, PeriodicModel
 from thermoband.mixed.stats import long_statistics, series_statistics
 from thermoband.operators import band as bands
@@ -612,3 +612,51 @@ def q_anova_tb(t: Inputs) -> DataFrame:
 @query
 def q_anova_te(t: Inputs) -> DataFrame:
     return tables.tests_table(t.spark, tables.sequential_tests(fit_env(t), tables.ENV_TERMS))
+
+
+# --- models at stated parameters ---------------------------------------------
+
+# Correlation of neighbouring readings that the search starts from; no slopes, one hour wave and no day terms,
+# so that SQL can solve the same equations from single rows.
+PHI = 0.8
+SMALL = {
+    "tb": PeriodicModel(factors=BODY_MODEL.factors, hour_harmonics=1, day_harmonics=0),
+    "te": PeriodicModel(factors=ENV_MODEL.factors, hour_harmonics=1, day_harmonics=0),
+}
+
+
+def gls(t: Inputs, what: str) -> FittedModel:
+    model = SMALL[what]
+    sd = [0.0] * (model.slopes_per_series * len(model.slope_levels))
+    if what == "tb":
+        return at_parameters(t.tb_rows, model, "original_id", PHI, sd, ts="read_at", order=["read_at", "obs_id"])
+    return at_parameters(t.te_ordered, model, "id", PHI, sd, order=["datetime", "obs_id"])
+
+
+def _register_at(what: str) -> None:
+    def coef(t: Inputs) -> DataFrame:
+        rows = t.spark.createDataFrame(coefficient_rows(gls(t, what)), "ord int, term string, estimate double, se double")
+        return rounded(rows.drop("ord"), ["estimate", "se"])
+
+    def scale(t: Inputs) -> DataFrame:
+        fitted = gls(t, what)
+        rows = [(fitted.n_rows, fitted.n_series, float(fitted.sigma))]
+        return rounded(t.spark.createDataFrame(rows, "n_rows bigint, n_series bigint, sigma double"), ["sigma"])
+
+    def means(t: Inputs) -> DataFrame:
+        keys = ["type"] if what == "tb" else list(ENV_KEYS)
+        found = tables.means_and_contrasts(gls(t, what), t.tb_rows if what == "tb" else t.te, keys, keys)
+        return rounded(tables.means_table(t.spark, found).select("group", "estimate", "se"), ["estimate", "se"])
+
+    def population(t: Inputs) -> DataFrame:
+        grid = _body_grid0(t) if what == "tb" else _env_grid0(t)
+        out = predict.predict_population(grid, gls(t, what), JOINT_LIMITS[what])
+        return rounded(out.drop("lo", "hi"), ["pred", "se"])
+
+    for name, build in (("gls_coef", coef), ("gls_scale", scale), ("emm_at", means), ("predict_at_level0", population)):
+        build.__name__ = f"q_{name}_{what}"
+        query(build)
+
+
+for _what in SMALL:
+    _register_at(_what)
