@@ -186,7 +186,9 @@ FROM te""")
 
 
 def _ar1() -> str:
-    a = {1: "1.0", 2: _sincos(1, "hour", 23, "sin"), 3: _sincos(1, "hour", 23, "cos"), 4: "temp"}
+    hour = ["1.0", *[_sincos(k, "hour", 23, f) for k in (1, 2, 3) for f in ("sin", "cos")]]
+    day = ["1.0", *[_sincos(1, "day", 365, f) for f in ("sin", "cos")]]
+    a = dict(enumerate([*[f"{h} * {d}" for h in hour for d in day], "temp"], start=1))
     cols = ", ".join(f"{x} AS a{i}" for i, x in a.items())
     lags = ", ".join(f"lag(a{i}) OVER w AS p{i}" for i in a)
     pairs = [(i, j) for i in a for j in a if i <= j]

@@ -497,10 +497,9 @@ for _what in LIMITS:
 
 @query
 def q_ar1_stats(t: Inputs) -> DataFrame:
-    small = PeriodicModel(factors=BODY_MODEL.factors, hour_harmonics=1, day_harmonics=0)
-    stats = series_statistics(t.tb_rows, small, "original_id", "temp", "read_at", ["read_at", "obs_id"])
+    stats = series_statistics(t.tb_rows, BODY_MODEL, "original_id", "temp", "read_at", ["read_at", "obs_id"])
     coded = stats.join(t.codes, ["original_id"])
-    return rounded(long_statistics(coded, small, "id"), ["s0", "s1", "s2"])
+    return rounded(long_statistics(coded, BODY_MODEL, "id"), ["s0", "s1", "s2"])
 
 
 def fit_body(t: Inputs) -> FittedModel:
