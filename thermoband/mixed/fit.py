@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermoband.mixed.spec import PeriodicModel
-from thermoband.mixed.stats import series_statistics, unpack, upper
+from thermoband.mixed.stats import class_blocks, series_statistics, unpack, upper
 from thermoband.session import durable
 
 
@@ -80,14 +80,12 @@ def _evaluator(model: PeriodicModel, thetas: np.ndarray, gradient: bool):
 
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            for cls, block in pdf.groupby("cls"):
-                matrices = [unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2")]
-                n = block["n"].to_numpy()
-                for t, theta in enumerate(thetas):
-                    part = sums(*matrices, n, int(cls), theta)
-                    key = (int(cls), t)
-                    totals[key] = totals[key] + part if key in totals else part
+        for cls, block in class_blocks(batches):
+            matrices = [unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2")]
+            n = block["n"].to_numpy()
+            for t, theta in enumerate(thetas):
+                part = sums(*matrices, n, cls, theta)
+                totals[cls, t] = totals[cls, t] + part if (cls, t) in totals else part
         if totals:
             yield pd.DataFrame(
                 {"cls": [c for c, _ in totals], "t": [t for _, t in totals], "v": list(totals.values())}

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from thermoband.functions.fourier import dot
 from thermoband.mixed.fit import FittedModel, _stack, marginal, whitened
-from thermoband.mixed.stats import unpack
+from thermoband.mixed.stats import class_blocks, unpack
 
 
 def simultaneous_quantile(m: int, alpha: float = 0.05) -> float:
@@ -32,13 +32,12 @@ def series_effects(fitted: FittedModel) -> DataFrame:
     phi = fitted.phi
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for cls, block in pdf.groupby("cls"):
-                s0, t1, s2 = (unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2"))
-                m, _ = whitened(s0, t1, s2, block["n"].to_numpy(), phi)
-                g, *_ = marginal(m, sds[cls], slopes)
-                score = g[:, slopes, q] - g[:, slopes, :q] @ means[cls]
-                yield pd.DataFrame({key: block[key].to_numpy(), "cls": cls, "b": list(score * sds[cls] ** 2)})
+        for cls, block in class_blocks(batches):
+            s0, t1, s2 = (unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2"))
+            m, _ = whitened(s0, t1, s2, block["n"].to_numpy(), phi)
+            g, *_ = marginal(m, sds[cls], slopes)
+            score = g[:, slopes, q] - g[:, slopes, :q] @ means[cls]
+            yield pd.DataFrame({key: block[key].to_numpy(), "cls": cls, "b": list(score * sds[cls] ** 2)})
 
     schema = T.StructType(
         [

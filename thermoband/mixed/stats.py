@@ -35,6 +35,18 @@ def unpack(packed: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+# Series whose matrices a task holds unpacked at a time.
+SERIES = 500
+
+
+def class_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(class, rows) of at most SERIES series."""
+    for pdf in batches:
+        for cls, block in pdf.groupby("cls"):
+            for at in range(0, len(block), SERIES):
+                yield int(cls), block.iloc[at : at + SERIES]
+
+
 def _required(column: str, dtype: str):
     return F.coalesce(
         F.col(column).cast(dtype), F.raise_error(F.lit(f"missing {column} in model input")).cast(dtype)

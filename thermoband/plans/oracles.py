@@ -398,14 +398,19 @@ def _gls_means(what: str) -> str:
     return _gls(what, " UNION ALL ".join(parts))
 
 
-def _gls_population(what: str) -> str:
+def _gls_population(what: str, deviation: str = "") -> str:
     keys = [name for name, _ in _GLS[what]["factors"]]
     point = f"(SELECT *, {', '.join(f'{x} AS x{i}' for i, x in _X.items())} FROM ({_GLS[what]['grid']}))"
     value = " + ".join(f"b{i} * x{i}" for i in _X)
     var = " + ".join(f"x{i} * x{j} * v{i}{j}" for i in _X for j in _X)
     same = " AND ".join(f"g.{k} = beta.{k}" for k in keys)
-    return _gls(what, f"""SELECT {', '.join(f'g.{k}' for k in keys)}, day, hour, round({value}, 6) AS pred, round(sqrt({var}), 6) AS se
-FROM {point} g JOIN beta ON {same}""")
+    shown = ", ".join(f"g.{k}" for k in keys)
+    if not deviation:
+        return _gls(what, f"SELECT {shown}, day, hour, round({value}, 6) AS pred, round(sqrt({var}), 6) AS se FROM {point} g JOIN beta ON {same}")
+    return _gls(what, f"""SELECT {', '.join(f'x.{k}' for k in keys)}, day, hour, round(CASE WHEN tb_q1 IS NULL OR tb_q3 IS NULL THEN NULL
+    WHEN sign(pred - tb_q1) * sign(pred - tb_q3) = -1 THEN 0.0
+    WHEN sign(pred - tb_q1) = -1 THEN pred - tb_q1 ELSE pred - tb_q3 END, 6) AS {deviation}
+FROM (SELECT {shown}, day, hour, {value} AS pred FROM {point} g JOIN beta ON {same}) x LEFT JOIN tpref ON x.{keys[0]} = tpref.{keys[0]}""")
 
 
 for _w in _GLS:
@@ -413,3 +418,4 @@ for _w in _GLS:
     ORACLES[f"q_gls_scale_{_w}"] = _gls(_w, "SELECT n_rows, n_series, round(sqrt(sigma2), 6) AS sigma FROM scale")
     ORACLES[f"q_emm_at_{_w}"] = _gls_means(_w)
     ORACLES[f"q_predict_at_level0_{_w}"] = _gls_population(_w)
+    ORACLES[f"q_pred_deviation_at_{_w}"] = _gls_population(_w, {"tb": "pred_db", "te": "pred_de"}[_w])

@@ -652,7 +652,16 @@ def _register_at(what: str) -> None:
         out = predict.predict_population(grid, gls(t, what), JOINT_LIMITS[what])
         return rounded(out.drop("lo", "hi"), ["pred", "se"])
 
-    for name, build in (("gls_coef", coef), ("gls_scale", scale), ("emm_at", means), ("predict_at_level0", population)):
+    def deviated(t: Inputs) -> DataFrame:
+        grid, key, name, keep = (
+            (_body_grid0(t), "type", "pred_db", ["type"]) if what == "tb" else (_env_grid0(t), "location", "pred_de", ENV_KEYS)
+        )
+        pred = predict.predict_population(grid, gls(t, what), JOINT_LIMITS[what])
+        return rounded(_predicted_deviation(t, pred, key, name, keep), [name])
+
+    for name, build in (
+        ("gls_coef", coef), ("gls_scale", scale), ("emm_at", means), ("predict_at_level0", population), ("pred_deviation_at", deviated),
+    ):
         build.__name__ = f"q_{name}_{what}"
         query(build)
 
