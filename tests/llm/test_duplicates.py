@@ -306,3 +306,33 @@ def test_search_with_a_large_vocabulary():
     assert (found[0].n_hit, found[0].items, found[0].longest, found[0].spans) == (28, ["17"], 28, [1, 29])
     assert [f.n_words for f in found] == [30, 0, 2]
 
+
+
+def grown(random, n, edit):
+    """A text of n words and an edited one."""
+    base = [f"w{x}" for x in random.integers(0, 30_000, n)]
+    return " ".join(base), " ".join(edit(base))
+
+
+def lost_copies(spark, pairs, least=0.8):
+    """Of pairs at `least` or more, the share that lose exactly one text; and whether all other pairs stay whole."""
+    texts = [t for p in pairs for t in p]
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    alike = [jaccard(a, b) >= least for a, b in pairs]
+    lost = [(2 * k in kept) + (2 * k + 1 in kept) == 1 for k in range(len(pairs))]
+    return [x for x, y in zip(lost, alike, strict=True) if y], [x for x, y in zip(lost, alike, strict=True) if not y]
+
+
+def test_appended_cut_and_short_texts_are_found(spark):
+    """A passage added or cut off, and single edits of short texts: at 0.85 and more none is missed."""
+    random = np.random.default_rng(21)
+    pairs = []
+    for _ in range(60):
+        for n in (30, 100, 400):
+            add = [f"p{x}" for x in random.integers(0, 30_000, max(1, n // 7))]
+            pairs.append(grown(random, n, lambda base, add=add: base + add))
+            pairs.append(grown(random, n, lambda base, n=n: base[: n - n // 8]))
+        at = int(random.integers(0, 3))
+        pairs.append(grown(random, 40, lambda base, at=at: [*base[:at], "edit", *base[at + 1 :]]))
+    lost, _ = lost_copies(spark, pairs, 0.85)
+    assert len(lost) > 300 and all(lost)

@@ -112,15 +112,18 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def spanning_links(marks: np.ndarray, sides: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def spanning_links(marks: np.ndarray, sides: np.ndarray, distance: int, known: bool = False) -> list[tuple[int, int]]:
     """Links within `distance` among the signatures (n x words) of one key that join its parts, as index pairs.
 
     Of side -1 all are compared, of sides 0 and 1 only those that differ in it.
+    If `known`, all are compared and a side is the part that a signature is already in.
     """
     n = len(marks)
-    part = np.arange(n)
+    part = np.unique(sides, return_inverse=True)[1] if known else np.arange(n)
     found = []
-    rows, columns = (np.arange(n), np.arange(n)) if sides[0] < 0 else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+    if known and part.max() == 0:
+        return found
+    rows, columns = (np.arange(n), np.arange(n)) if known or sides[0] < 0 else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
     for at in range(0, len(rows), BLOCK):
         some = rows[at : at + BLOCK]
         near = sum(np.bitwise_count(marks[some, k][:, None] ^ marks[columns, k][None, :]) for k in range(marks.shape[1])) <= distance
@@ -134,7 +137,7 @@ def spanning_links(marks: np.ndarray, sides: np.ndarray, distance: int) -> list[
     return found
 
 
-def compare_keys(distance: int, hot: int, words: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def compare_keys(distance: int, hot: int, words: int = 1, known: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows (key, side, signature of `words` longs) sorted by key: links as (true, one signature, the other),
     rows of hot keys as (false, signature, key, zeros)."""
     names = ["link", *(f"a{k}" for k in range(words)), *(f"b{k}" for k in range(words))]
@@ -160,7 +163,7 @@ def compare_keys(distance: int, hot: int, words: int = 1) -> Callable[[Iterator[
                 yield linked(mark[two][ok], mark[two + 1][ok])
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             here = mark[at : at + n]
-            if found := spanning_links(here, side[at : at + n], distance):
+            if found := spanning_links(here, side[at : at + n], distance, known):
                 a, b = np.array(found).T
                 yield linked(here[a], here[b])
 
