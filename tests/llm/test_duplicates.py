@@ -336,3 +336,12 @@ def test_appended_cut_and_short_texts_are_found(spark):
         pairs.append(grown(random, 40, lambda base, at=at: [*base[:at], "edit", *base[at + 1 :]]))
     lost, _ = lost_copies(spark, pairs, 0.85)
     assert len(lost) > 300 and all(lost)
+
+
+def test_repeated_lines_do_not_count(spark):
+    """Copies that differ in how often a line is repeated have nearly the same set of shingles."""
+    random = np.random.default_rng(22)
+    line = [f"footer{x}" for x in range(9)]
+    pairs = [grown(random, 400, lambda base, times=times: base + line * times) for times in (5, 20, 40) for _ in range(20)]
+    lost, _ = lost_copies(spark, pairs)
+    assert len(lost) == 60 and all(lost)
