@@ -345,3 +345,20 @@ def test_repeated_lines_do_not_count(spark):
     pairs = [grown(random, 400, lambda base, times=times: base + line * times) for times in (5, 20, 40) for _ in range(20)]
     lost, _ = lost_copies(spark, pairs)
     assert len(lost) == 60 and all(lost)
+
+
+def test_copies_are_verified_exactly(spark):
+    """Just under and at the least similarity the sets of shingles decide, for short texts and long ones."""
+    random = np.random.default_rng(23)
+    pairs = []
+    for n, low, high in ((48, 2, 20), (200, 38, 60), (900, 195, 240)):
+        for more in range(low, high):
+            add = [f"p{x}" for x in random.integers(0, 30_000, more)]
+            pairs.append(grown(random, n, lambda base, add=add: base + add))
+    lost, others = lost_copies(spark, pairs)
+    assert len(lost) > 30 and len(others) > 20 and all(lost) and not any(others)
+    # a row without id, repeated rows and texts that share a tile with long ones
+    long_ = " ".join(f"w{x}" for x in random.integers(0, 30_000, 40_000))
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (1, long_), (2, long_ + " more"), (2, long_ + " more")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), tile=1)
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None"]
