@@ -1,6 +1,6 @@
 """Secret scanning: candidate tokens, and a random forest that takes out the false positives.
 
-Candidates are long tokens that aren't plain words, and values given to a name like
+Candidates are long tokens, and values given to a name like
 `password`. The forest sees a candidate's length, how usual its character
 transitions are (logarithms of the transition rates of all documents, or of
 the documents given), how much of it a dictionary covers, where it comes from
@@ -50,10 +50,8 @@ class Candidate(NamedTuple):
 
 
 def candidates(text: str) -> list[Candidate]:
-    """Where candidates stand, in order; one that lies in another is left out. Tokens of one case without digits aren't proposed."""
-    found = [
-        Candidate(m.start(), m.end()) for m in TOKEN.finditer(text) if not (m[0].isalpha() and (m[0][1:].islower() or m[0].isupper()))
-    ]
+    """Where candidates stand, in order; one that lies in another is left out. Long words are proposed too: the forest takes them out."""
+    found = [Candidate(*m.span()) for m in TOKEN.finditer(text)]
     found += [Candidate(*m.span(1)) for m in ASSIGNED.finditer(text)]
     kept: list[Candidate] = []
     for c in sorted(set(found), key=lambda c: (c.start, -c.end)):
@@ -144,6 +142,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> Iterator[tuple[str, C
     def word() -> str:
         return "".join(syllables[i] for i in random.integers(0, len(syllables), random.integers(2, 5)))
 
+    def longer(least: int) -> str:
+        out = word()
+        while len(out) < least:
+            out += word()
+        return out
+
     def glued(by: str, k: int) -> str:
         return by.join(word() for _ in range(k))
 
@@ -162,6 +166,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> Iterator[tuple[str, C
         lambda: (1, " ", "ghp_" + some(alnum, 36), " "),
         lambda: (1, " Bearer ", "eyJ" + some(alnum, 33) + "-" + some(alnum, 30), " "),
         lambda: (1, " key ", some(alnum, size(32, 64)), " "),
+        lambda: (1, " ", "AKIA" + some(capitals[:26], 16), " "),
+        lambda: (1, " key ", some(lower, size(20, 44)), " "),
+        lambda: (1, " key ", some(capitals[:26], size(20, 44)), " "),
         lambda: (0, " commit ", some(hexes, 40), " "),
         lambda: (0, " sha256 ", some(hexes, 64), " "),
         lambda: (0, " checksum: ", some(hexes, 32), " "),
@@ -179,6 +186,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> Iterator[tuple[str, C
         lambda: (0, " isbn ", "978" + some("0123456789", 13), " "),
         lambda: (0, " ", word() + word() + word() + word() + "1", " "),
         lambda: (0, " ", "-" * size(16, 40), " "),
+        lambda: (0, " ", longer(size(16, 40)), " "),
+        lambda: (0, " ", longer(size(16, 40)).upper(), " "),
+        lambda: (0, " ", longer(size(16, 40)).capitalize(), ". "),
+        lambda: (0, " key ", longer(size(16, 40)), " "),
+        lambda: (0, " ", some(lower, size(1, 4)) * size(16, 40), " "),
     ]
     for k in range(n):
         label, before, value, after = forms[k % len(forms)]()
