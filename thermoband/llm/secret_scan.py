@@ -36,7 +36,10 @@ MASK = "[SECRET]"
 
 NAMES = r"pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential|private[_-]?key|bearer"
 TOKEN = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9+/_~-]{16,}={0,2}")
-ASSIGNED = re.compile(rf"(?i:{NAMES})[\"']?(?: ?[:=] ?| )[\"']?([^\s\"',;]{{6,}})")
+SIGN = r"[ \t]*+(?::=|=>|={1,3}|:)[ \t]*+"
+#: A name and what stands between it and its value, which may start with another name.
+ASSIGNED = re.compile(rf"(?i:{NAMES})[\"']?(?:{SIGN}|[ \t]++)[\"']?(?=[^\s\"',;]{{6}})")
+VALUE_END = re.compile(r"[\s\"',;]")
 NAMED = re.compile(rf"(?i:{NAMES})")
 HARMLESS = re.compile(r"(?i:commit|sha1?|sha256|md5|checksum|digest|hash|uuid|guid|revision|rev|etag|build|version|example|dummy|placeholder|page|order|isbn|fingerprint)")
 TEST_PATH = re.compile(r"(?i:test|example|sample|doc|fixture|mock|demo)")
@@ -49,13 +52,28 @@ class Candidate(NamedTuple):
     end: int
 
 
+def named_values(text: str) -> list[Candidate]:
+    """Values given to names. In a value that holds further names, the value of the last of them is one of its own."""
+    found, end, nested = [], 0, False
+    for m in ASSIGNED.finditer(text):
+        if m.end() >= end:
+            stop = VALUE_END.search(text, m.end())
+            end, nested = stop.start() if stop else len(text), False
+        elif nested:
+            found.pop()
+        else:
+            nested = True
+        found.append(Candidate(m.end(), end))
+    return found
+
+
 def candidates(text: str) -> list[Candidate]:
-    """Where candidates stand, in order; one that lies in another is left out. Long words are proposed too: the forest takes them out."""
-    found = [Candidate(*m.span()) for m in TOKEN.finditer(text)]
-    found += [Candidate(*m.span(1)) for m in ASSIGNED.finditer(text)]
+    """Where candidates stand, in order; one that lies in another is left out, unless it has a name. Long words are proposed too: the forest takes them out."""
+    found = {Candidate(*m.span()) for m in TOKEN.finditer(text)}
+    named = set(named_values(text))
     kept: list[Candidate] = []
-    for c in sorted(set(found), key=lambda c: (c.start, -c.end)):
-        if not kept or c.end > kept[-1].end:
+    for c in sorted(found | named, key=lambda c: (c.start, -c.end)):
+        if not kept or c.end > kept[-1].end or c in named:
             kept.append(c)
     return kept
 
@@ -121,7 +139,7 @@ def described(text: str, c: Candidate, path: str, logs: np.ndarray, words: froze
         float(before.endswith("/") or after.startswith("/") or value.startswith("/")),
         float(bool(TEST_PATH.search(path))),
         float(bool(left)),
-        float(bool(re.search(rf"(?i:{NAMES})[\"']?(?: ?[:=] ?)[\"']?$", before))),
+        float(bool(re.search(rf"(?i:{NAMES})[\"']?{SIGN}[\"']?$", before))),
         float(bool(HARMLESS.search(" ".join(right)))),
         float(before[-1:] in ("=", ":", '"', "'")),
         float(after[:1] in ('"', "'")),
@@ -153,6 +171,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> Iterator[tuple[str, C
 
     hexes, capitals = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     size = lambda a, b: int(random.integers(a, b))
+    signs = [" password:  ", " auth token: ", ' password => "', " db_password = ", " secret\t:=\t", " credential password: "]
     #: label, before, value, after
     forms = [
         lambda: (1, " ", "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), " "),
@@ -161,6 +180,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> Iterator[tuple[str, C
         lambda: (1, " token: ", some(hexes, 32), " "),
         lambda: (1, " password=", some(hexes, 18), " "),
         lambda: (1, " password=", some(alnum + "!@#$%", size(8, 20)), " "),
+        lambda: (1, signs[size(0, len(signs))], some(alnum + "!@#$%", size(8, 20)), " "),
         lambda: (1, ' api_key = "', some(alnum, size(24, 44)), '" '),
         lambda: (1, " secret: ", some(alnum + "+/", 40), " "),
         lambda: (1, " ", "ghp_" + some(alnum, 36), " "),
@@ -182,6 +202,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> Iterator[tuple[str, C
         lambda: (0, " password=", ["changeme", "your_password", "xxxxxxxxxx", "password123", "<password>"][size(0, 5)], " "),
         lambda: (0, " token = ", ["your_token_here", "None,", "example_token", "xxxxxxxxxxxxxxxx"][size(0, 4)], " "),
         lambda: (0, " secret ", word() + word(), ". "),
+        lambda: (0, signs[size(0, len(signs))], ["changeme", "your_password", "xxxxxxxxxx", "password123", "<password>"][size(0, 5)], " "),
+        lambda: (0, [" auth ", " credential ", " secret "][size(0, 3)], ["token:", "password:", "secret:", "password"][size(0, 4)], " "),
         lambda: (0, " ", word().upper() + "-" + word().upper() + "-" + word().upper() + "-" + str(size(1, 9)), " "),
         lambda: (0, " isbn ", "978" + some("0123456789", 13), " "),
         lambda: (0, " ", word() + word() + word() + word() + "1", " "),
@@ -271,8 +293,9 @@ def mask_secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
         at, out = 0, []
         for c, p in sent.value.find(content, path):
             if p >= 0.5:
-                out += [content[at : c.start], MASK]
-                at = c.end
+                if c.start >= at:
+                    out += [content[at : c.start], MASK]
+                at = max(at, c.end)
         return "".join([*out, content[at:]]) if at else content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
