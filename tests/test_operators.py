@@ -206,3 +206,17 @@ def test_types_are_inferred_without_a_schema(spark, tmp_path):
     df = logs.lower_names(logs.read_csv(spark, str(tmp_path)))
     assert df.dtypes == [("id", "int"), ("temp", "double"), ("site", "string")]
     assert sorted(map(tuple, df.collect())) == [(1, 2.5, "S1"), (2, None, "S2")]
+
+
+def test_season_covers_every_year(spark, tmp_path):
+    """Readings of the season count in whatever year they lie."""
+    from thermoband.plans.inputs import Inputs
+
+    times = ["2019-01-10 05:10:00", "2022-12-31 23:50:00", "2023-01-05 00:10:00", "2023-01-25 23:20:00", "2023-03-01 00:00:00", "2024-01-15 08:00:00"]
+    for name, some, years in (("more", times, tuple(range(2019, 2025))), ("none", [], None), ("far", [*times, "2300-01-10 00:00:00"], None)):
+        rows = [(k, t, 10 + k, "view", 20.0) for k, t in enumerate(some)]
+        df = spark.createDataFrame(rows, "event_id bigint, t string, user_id bigint, event_type string, value double")
+        df.selectExpr("event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        inputs = Inputs(spark, f"{tmp_path}/{name}")
+        assert inputs.years == years
+        assert inputs.tb_rows.count() == inputs.tb.count() == len([t for t in some if "-01-" in t])

@@ -16,7 +16,8 @@ from thermoband.sources import events as ev
 # Season and excluded series of the test data.
 FIRST_DAY, LAST_DAY = 5, 25
 EXCLUDED = ("NG7",)
-YEARS = (2024,)
+#: More years than this are not given to the scan as ranges.
+MOST_YEARS = 20
 
 
 @dataclass
@@ -28,6 +29,13 @@ class Inputs:
     def events(self) -> DataFrame:
         return ev.events(self.spark, self.sf_dir)
 
+    @cached_property
+    def years(self) -> tuple[int, ...] | None:
+        """All years of the events, half an hour more on either side for rounding; None if there are none or too many."""
+        bounds = self.events.selectExpr("min(ts) - INTERVAL 30 MINUTES AS first", "max(ts) + INTERVAL 30 MINUTES AS last")
+        first, last = bounds.selectExpr("year(first)", "year(last)").first()
+        return None if first is None or last - first >= MOST_YEARS else tuple(range(first, last + 1))
+
     @cached_property
     def body_raw(self) -> DataFrame:
         return ev.body_raw(self.events)
@@ -47,12 +55,12 @@ class Inputs:
 
     @cached_property
     def tb(self) -> DataFrame:
-        return cleaning.clean_body(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, codes=self.codes, years=YEARS)
+        return cleaning.clean_body(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, codes=self.codes, years=self.years)
 
     @cached_property
     def tb_rows(self) -> DataFrame:
         """The body table under the animals' own names, for summaries that need no code."""
-        return cleaning.season_rows(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, YEARS)
+        return cleaning.season_rows(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, self.years)
 
     @cached_property
     def te(self) -> DataFrame:
