@@ -362,3 +362,20 @@ def test_copies_are_verified_exactly(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (1, long_), (2, long_ + " more"), (2, long_ + " more")]
     kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), tile=1)
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None"]
+
+
+def test_template_in_many_items_is_searched_in_slices(monkeypatch):
+    """No more pairs than PAIRS at a time, and the same result; affected documents are told without any."""
+    from thermoband.llm import decontaminate
+
+    template = " ".join(f"t{k}" for k in range(15))
+    searched = block([(str(k), f"{template} own{k}") for k in range(60)], 10)
+    texts = [f"a{k} {template} own{k} b" for k in range(40)]
+    sizes, matched = [], decontaminate.matched
+    monkeypatch.setattr(decontaminate, "PAIRS", 100, raising=False)
+    monkeypatch.setattr(decontaminate, "matched", lambda sequence, at, *rest: sizes.append(len(at)) or matched(sequence, at, *rest))
+    found = search(texts, searched)
+    assert sizes and max(sizes) <= 100
+    assert [(f.n_hit, f.longest, len(f.items)) for f in found] == [(16, 16, 60)] * 40
+    sizes.clear()
+    assert all(f.n_hit == 16 for f in search(texts, searched, hits_only=True)) and not sizes

@@ -33,6 +33,8 @@ WINDOW = 10
 BLOCK_BYTES = 32 << 20
 #: Text and rows of a shard.
 SHARD_BYTES, SHARD_ROWS = 4 << 20, 4096
+#: Pairs of a place in the documents and one in the block that are looked at together.
+PAIRS = 1 << 20
 #: Bytes of words as they are, A-Z to a-z, everything else to a space.
 WORDS = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
@@ -107,10 +109,15 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.array([x for one in lists for x in one], np.int64)
 
 
-def _spread(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of `which` lists all its positions in the concatenation: (index into `which`, position)."""
+def _spread(starts: np.ndarray, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of `which` lists all its positions in the concatenation, PAIRS at a time: (index into `which`, position)."""
     n = np.diff(starts)[which]
-    return np.repeat(np.arange(len(which)), n), np.repeat(starts[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    for low in range(0, total, PAIRS):
+        nth = np.arange(low, min(low + PAIRS, total))
+        k = np.searchsorted(ends, nth, "right")
+        yield k, starts[which[k]] + nth - (ends[k] - n[k])
 
 
 class SuffixArray:
@@ -193,8 +200,8 @@ class Found(NamedTuple):
     spans: list[int]
 
 
-def search(texts: list[str | None], searched: Block) -> list[Found]:
-    """Find the block's windows in a shard of documents."""
+def search(texts: list[str | None], searched: Block, hits_only: bool = False) -> list[Found]:
+    """Find the block's windows in a shard of documents; if `hits_only`, without items and longest matches."""
     get = searched.vocabulary.get
     numbers, sizes = [np.zeros(1, np.int64)], []
     for text in texts:
@@ -213,7 +220,7 @@ def search(texts: list[str | None], searched: Block) -> list[Found]:
         depth = max(w.length for w in searched.windows)
         array = SuffixArray(sequence, places, len(searched.vocabulary).bit_length(), depth)
         change = np.zeros(len(sequence) + 1, np.int64)
-        pairs, longest = [], np.zeros(len(texts), np.int64)
+        affected, owners, longest = [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         for windows in searched.windows:
             low, high = array.search(searched.text, windows.first, windows.length)
             count = high - low
@@ -224,18 +231,22 @@ def search(texts: list[str | None], searched: Block) -> list[Found]:
             np.add.at(change, at, 1)
             np.add.at(change, at + windows.length, -1)
             document = np.searchsorted(begin, at, "right") - 1
+            affected.append(np.unique(document))
+            if hits_only:
+                continue
             pair = np.unique(np.stack([document, window]), axis=1)
-            k, position = _spread(windows.item_start, pair[1])
-            pairs.append(np.stack([pair[0][k], windows.item[position]]))
-            k, position = _spread(windows.place_start, window)
-            np.maximum.at(longest, document[k], matched(sequence, at[k], searched, windows.place[position], windows.length))
-        if pairs:
+            for k, position in _spread(windows.item_start, pair[1]):
+                some = np.unique(pair[0][k] * len(searched.items) + windows.item[position])
+                owners = np.union1d(owners, some)
+            for k, position in _spread(windows.place_start, window):
+                np.maximum.at(longest, document[k], matched(sequence, at[k], searched, windows.place[position], windows.length))
+        if affected:
             hit = np.cumsum(change[:-1]) > 0
-            owners = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            for d in np.unique(owners[0]):
+            for d in np.unique(np.concatenate(affected)):
                 mine = hit[begin[d] : begin[d] + size[d]]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                names = [searched.items[i] for i in owners[1][owners[0] == d]]
+                low, high = np.searchsorted(owners, [d * len(searched.items), (d + 1) * len(searched.items)])
+                names = [searched.items[i] for i in owners[low:high] % len(searched.items)]
                 found[d] = Found(sizes[d], int(mine.sum()), names, int(longest[d]), edges.tolist())
     return [f or Found(n, 0, [], 0, []) for f, n in zip(found, sizes, strict=True)]
 
@@ -334,7 +345,7 @@ def remove_affected(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     def keep(one) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in shards(batches, text):
-                yield rows.filter(pa.array([not f.n_hit for f in search(rows.column(text).to_pylist(), one.value)]))
+                yield rows.filter(pa.array([not f.n_hit for f in search(rows.column(text).to_pylist(), one.value, hits_only=True)]))
 
         return run
 
