@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thermoband.llm import pii, quality, secret_scan
+from thermoband.llm import merkle, pii, quality, secret_scan, sql
 from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
 from thermoband.llm.frames import round_trip
@@ -86,6 +88,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    leaves = docs.select(
+        "lang",
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        merkle.document_leaf().alias("leaf"),
+        F.when(tampered, merkle.document_leaf(lowered)).alias("altered"),
+    )
+    proofs = merkle.manifest(leaves, "lang", "doc_id", "leaf", "altered")
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("altered", "leaf"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +122,7 @@ QUERIES = {
         op8_pii,
         op9_quality,
         op10_simhash,
+        op12_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -137,4 +161,5 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
 FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 """,
+    "op12_merkle_manifest": sql.MERKLE,
 }
