@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thermoband.llm import merkle, pii, quality, secret_scan, sql
+from thermoband.llm import conversations, merkle, pii, quality, secret_scan, sql
 from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
 from thermoband.llm.frames import round_trip
@@ -109,6 +109,29 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = F.lit(" ")
+    turns = table(spark, sf_dir, "conversations").withColumns({c: F.col(c).cast("bigint") for c in ("conv_id", "turn")})
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    harm = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    damaged = turns.select(
+        "conv_id",
+        "turn",
+        F.when(harm == 4, "user").otherwise(role).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1))).alias("copy"),
+    )
+    found = conversations.report(damaged).withColumnRenamed("conv_id", "of")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return every.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in conversations.COUNTS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +146,7 @@ QUERIES = {
         op9_quality,
         op10_simhash,
         op12_merkle_manifest,
+        op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
