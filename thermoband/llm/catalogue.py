@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thermoband.llm import conversations, merkle, pii, quality, secret_scan, sql
+from thermoband.llm import conversations, host_reputation, merkle, pii, quality, secret_scan, sql
 from thermoband.llm.common import table
 from thermoband.llm.decontaminate import find_benchmark
 from thermoband.llm.frames import round_trip
@@ -88,6 +88,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query.
+URL_RULES = tuple(
+    host_reputation.Rule(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+)
+
+
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = host_reputation.page_outcomes(pages, table(spark, sf_dir, "labels"))
+    return host_reputation.judge(pages, outcomes, URL_RULES)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")) % 3 == 0
@@ -145,6 +157,7 @@ QUERIES = {
         op8_pii,
         op9_quality,
         op10_simhash,
+        op11_url_reputation,
         op12_merkle_manifest,
         op13_conversation_repair,
     )
@@ -185,5 +198,11 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
 FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 """,
+    "op11_url_reputation": sql.REPUTATION.format(
+        suffixes=", ".join(f"'{s}'" for s in host_reputation.SUFFIXES),
+        rules=", ".join(
+            f"({k}, '{r.verdict}', '{r.where.partition('/')[0]}', '/{r.where.partition('/')[2]}')" for k, r in enumerate(URL_RULES)
+        ),
+    ),
     "op12_merkle_manifest": sql.MERKLE,
 }
