@@ -12,8 +12,7 @@ import xxhash
 from thermoband.llm.common import LOWER
 from thermoband.llm.components import components
 from thermoband.llm.decontaminate import SuffixArray, block, find_benchmark, remove_affected, search, words
-from thermoband.llm.near_copies import one_of_each, similarity, sketch
-from thermoband.llm.simhash import compare_keys, links, near_duplicates, shingles, spanning_links
+from thermoband.llm.simhash import compare_keys, links, near_duplicates, one_of_each, spanning_links
 from thermoband.llm.vectors import near_duplicate_vectors
 
 
@@ -76,65 +75,45 @@ def test_near_duplicates_of_nothing(no_docs):
     assert one_of_each(no_docs).count() == 0
 
 
-def jaccard(a, b):
-    a, b = (set(shingles(t, 5)) for t in (a, b))
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def copies_of(rows, least):
-    """Groups of rows whose texts link at `least`, by comparing all."""
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i].text, rows[j].text) >= least]
-    return parts(range(len(rows)), pairs)
+def one_kept(rows, size=3):
+    """The row kept of each component: rows (doc_id, text) as a Counter, and the components' ids and texts."""
+    marks = [fingerprint(r.text, size) for r in rows]
+    distinct = sorted(set(marks))
+    pairs = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= 3]
+    group = parts(distinct, pairs)
+    held = {}
+    for r, m in zip(rows, marks, strict=True):
+        held.setdefault(group[m], []).append((r.doc_id is None, r.doc_id or 0, r.doc_id, r.text))
+    return {g: sorted(x, key=lambda t: t[:2]) for g, x in held.items()}
 
 
-@pytest.mark.parametrize("hot,tile", [(20_000, 512), (2, 2)])
-def test_one_of_each(odd_docs, documents, hot, tile):
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_one_of_each(odd_docs, documents, hot):
+    """One row of each component stays, with its least id and all its columns."""
     for docs in (odd_docs, documents):
-        rows = docs.select("doc_id", "text").collect()
-        kept = one_of_each(docs, hot=hot, tile=tile)
+        rows = docs.collect()
+        kept = one_of_each(docs, hot=hot)
         assert kept.schema == docs.schema
-        got = kept.select("doc_id", "text").collect()
-        # what is surely alike is one row; what surely isn't stays
-        sure, loose = copies_of(rows, 0.9), copies_of(rows, 0.7)
-        assert len(set(loose.values())) <= len(got) <= len(set(sure.values()))
-        stayed = Counter((r.doc_id, r.text) for r in got)
-        assert max(stayed.values()) == 1
-        for g in set(loose.values()):
-            ids = [(rows[i].doc_id, rows[i].text) for i in loose if loose[i] == g]
-            assert any(x in stayed for x in ids)
-            if len(set(ids)) == 1:
-                assert stayed[ids[0]] == 1
-
-
-def test_near_copies_are_found(spark):
-    """Of pairs at 0.8 or more nearly all lose one text; texts that share half stay."""
-    random = np.random.default_rng(11)
-    texts, alike = [], []
-    for _ in range(150):
-        base = [f"w{x}" for x in random.integers(0, 3000, int(random.integers(60, 400)))]
-        texts.append(" ".join(base))
-        edited = list(base)
-        for at in random.choice(len(base), max(1, len(base) // 60), replace=False):
-            edited[at] = f"new{at}"
-        texts.append(" ".join(edited))
-        texts.append(" ".join(base[: len(base) // 2] + [f"o{x}" for x in random.integers(0, 3000, len(base) // 2)]))
-        alike.append(jaccard(texts[-3], texts[-2]))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    kept = {r.doc_id for r in one_of_each(docs).collect()}
-    assert all(3 * k in kept and 3 * k + 2 in kept for k in range(150))
-    lost = [3 * k + 1 not in kept for k, j in enumerate(alike) if j >= 0.85]
-    assert len(lost) > 50 and np.mean(lost) > 0.9
-
-
-def test_sketches():
-    random = np.random.default_rng(12)
-    for share in (0.3, 0.8, 0.95):
-        common = [f"c{k}".encode() for k in range(int(2000 * share))]
-        a = common + [f"a{k}".encode() for k in range((2000 - len(common)) // 2)]
-        b = common + [f"b{k}".encode() for k in range((2000 - len(common)) // 2)]
-        random.shuffle(a)
-        x, y = (np.frombuffer(sketch(p), "<u2")[None, :] for p in (a, b))
-        assert abs(similarity(x, y)[0, 0] - share) < 0.1
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+        groups = one_kept(rows)
+        assert sum(got.values()) == len(groups)
+        for members in groups.values():
+            best = {x[2:] for x in members if x[:2] == members[0][:2]}
+            assert sum(got[x] for x in best) == 1
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in rows}
+
+
+def test_one_of_each_of_nothing(no_docs):
+    kept = one_of_each(no_docs)
+    assert kept.count() == 0 and kept.schema == no_docs.schema
+
+
+def test_equal_ids_and_texts_are_one_row(spark):
+    """Rows equal in id and text, a third of all and more, with other columns that differ; ids that occur with several texts."""
+    other = "quite another text of its own here"
+    rows = [(7, "a text that is there again and again", f"s{k % 3}") for k in range(300)] + [(7, other, "z"), (8, other, "y"), (None, other, "x"), (None, None, "q"), (None, "", "p")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)).collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [rows[0][:2] + ("s0",), (7, other, "z"), next(tuple(r) for r in kept if r.doc_id is None)]))
 
 
 @pytest.mark.parametrize("hot", [20_000, 5])
@@ -307,63 +286,6 @@ def test_search_with_a_large_vocabulary():
     assert [f.n_words for f in found] == [30, 0, 2]
 
 
-
-def grown(random, n, edit):
-    """A text of n words and an edited one."""
-    base = [f"w{x}" for x in random.integers(0, 30_000, n)]
-    return " ".join(base), " ".join(edit(base))
-
-
-def lost_copies(spark, pairs, least=0.8):
-    """Of pairs at `least` or more, the share that lose exactly one text; and whether all other pairs stay whole."""
-    texts = [t for p in pairs for t in p]
-    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    alike = [jaccard(a, b) >= least for a, b in pairs]
-    lost = [(2 * k in kept) + (2 * k + 1 in kept) == 1 for k in range(len(pairs))]
-    return [x for x, y in zip(lost, alike, strict=True) if y], [x for x, y in zip(lost, alike, strict=True) if not y]
-
-
-def test_appended_cut_and_short_texts_are_found(spark):
-    """A passage added or cut off, and single edits of short texts: at 0.85 and more none is missed."""
-    random = np.random.default_rng(21)
-    pairs = []
-    for _ in range(60):
-        for n in (30, 100, 400):
-            add = [f"p{x}" for x in random.integers(0, 30_000, max(1, n // 7))]
-            pairs.append(grown(random, n, lambda base, add=add: base + add))
-            pairs.append(grown(random, n, lambda base, n=n: base[: n - n // 8]))
-        at = int(random.integers(0, 3))
-        pairs.append(grown(random, 40, lambda base, at=at: [*base[:at], "edit", *base[at + 1 :]]))
-    lost, _ = lost_copies(spark, pairs, 0.85)
-    assert len(lost) > 300 and all(lost)
-
-
-def test_repeated_lines_do_not_count(spark):
-    """Copies that differ in how often a line is repeated have nearly the same set of shingles."""
-    random = np.random.default_rng(22)
-    line = [f"footer{x}" for x in range(9)]
-    pairs = [grown(random, 400, lambda base, times=times: base + line * times) for times in (5, 20, 40) for _ in range(20)]
-    lost, _ = lost_copies(spark, pairs)
-    assert len(lost) == 60 and all(lost)
-
-
-def test_copies_are_verified_exactly(spark):
-    """Just under and at the least similarity the sets of shingles decide, for short texts and long ones."""
-    random = np.random.default_rng(23)
-    pairs = []
-    for n, low, high in ((48, 2, 20), (200, 38, 60), (900, 195, 240)):
-        for more in range(low, high):
-            add = [f"p{x}" for x in random.integers(0, 30_000, more)]
-            pairs.append(grown(random, n, lambda base, add=add: base + add))
-    lost, others = lost_copies(spark, pairs)
-    assert len(lost) > 30 and len(others) > 20 and all(lost) and not any(others)
-    # a row without id, repeated rows and texts that share a tile with long ones
-    long_ = " ".join(f"w{x}" for x in random.integers(0, 30_000, 40_000))
-    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (1, long_), (2, long_ + " more"), (2, long_ + " more")]
-    kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), tile=1)
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None"]
-
-
 def test_template_in_many_items_is_searched_in_slices(monkeypatch):
     """No more pairs than PAIRS at a time, and the same result; affected documents are told without any."""
     from thermoband.llm import decontaminate

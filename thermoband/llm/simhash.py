@@ -31,6 +31,8 @@ SEED = 42
 DISTANCE = 3
 #: Fingerprints that one task compares with each other under one key.
 HOT = 20_000
+#: Fingerprints that one task unfolds into their keys, 66 each.
+MARKS = 16_384
 #: Rows of a block of comparisons: BLOCK x HOT x 8 bytes, 80 MB.
 BLOCK = 512
 
@@ -233,7 +235,8 @@ def links(marks: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
 
 
 def _grouped(marks: DataFrame, distance: int, hot: int) -> DataFrame:
-    """Each of the distinct `marks` with the mark that stands for its component."""
+    """Each of the distinct `marks`, which are written already, with the mark that stands for its component."""
+    marks = marks.repartition(max(1, -(-marks.count() // MARKS)), "mark")
     reached = components(links(marks, distance, hot)).withColumnRenamed("node", "mark")
     return marks.join(reached, "mark", "left").select("mark", F.coalesce("component", "mark").alias("group"))
 
@@ -247,10 +250,38 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, h
     null component_id. Other columns are not read; an empty table gives no rows.
     """
     marked = durable(fingerprints(docs, words))
-    least = marked.groupBy("mark").agg(F.min("doc_id").alias("least"))
+    least = durable(marked.groupBy("mark").agg(F.min("doc_id").alias("least")))
     named = least.join(_grouped(least.select("mark"), distance, hot), "mark")
     group_least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     known = named.join(group_least, "group").select("mark", "component_id")
     return marked.join(known, "mark").select(
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """`docs` with one row of each component of linked fingerprints, all columns as they are.
+
+    The row with the least doc_id stays (one with a null id only if no other is there), of rows with that id the one
+    with the least hash of its text, and of rows equal in both the one that is least as JSON. Fingerprints are those of
+    `near_duplicates`. Only slim rows are grouped; rows equal in id and text are merged before any shuffle. An empty
+    table gives no rows.
+    """
+    own = {"_own": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "_id": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64("text")}
+    whole = docs.select(*[c.alias(n) for n, c in own.items()])
+    marked = durable(fingerprints(docs.select("doc_id", "text", own["_tie"].alias("tie")), words, "tie"))
+    rows = marked.groupBy("mark", "doc_id", "tie").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tie", "n")).alias("best")
+    least = durable(rows.groupBy("mark").agg(best))
+    groups = least.join(_grouped(least.select("mark"), distance, hot), "mark").groupBy("group").agg(F.min("best").alias("best"))
+    stays = durable(groups.select("best.doc_id", "best.tie", "best.n"))
+
+    def staying(which: str) -> DataFrame:
+        same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))
+        return whole.join(stays.where(which), same, "left_semi")
+
+    alone = staying("n = 1").select("_own.*")
+    if stays.where("n > 1").isEmpty():
+        return alone
+    repeated = staying("n > 1").groupBy("_id", "_tie").agg(F.min_by("_own", F.to_json("_own")).alias("_own"))
+    return alone.union(repeated.select("_own.*"))
