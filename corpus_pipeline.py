@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from thermoband.llm import quality, secret_scan
 from thermoband.llm.common import remove_folder, table
 from thermoband.llm.decontaminate import remove_affected
-from thermoband.llm.near_copies import one_of_each
 from thermoband.llm.packing import pack
+from thermoband.llm.simhash import one_of_each
 from thermoband.session import shared_dir, ship_package
 
 
@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group whose SimHash fingerprints link."""
     ship_package(spark)
     return one_of_each(docs)
 
