@@ -95,9 +95,9 @@ def _weight(children: DataFrame) -> float:
     return min(max(1 / held - 1, LEAST_WEIGHT), MOST_WEIGHT) if held > 0 else MOST_WEIGHT
 
 
-def _below(above: DataFrame, children: DataFrame, on: str) -> tuple[DataFrame, float]:
-    """`children` with the rate of the level above and their own shrunk `rate`, and the weight of the prior."""
-    known = durable(children.join(above.select(on, F.col("rate").alias("prior_rate")), on))
+def _shrunk(children: DataFrame) -> tuple[DataFrame, float]:
+    """`children` (n, bad, prior_rate of the level above) with their own shrunk `rate`, and the weight of the prior."""
+    known = durable(children)
     weight = _weight(known)
     return known.withColumn("rate", (F.col("bad") + F.col("prior_rate") * weight) / (F.col("n") + weight)), weight
 
@@ -116,12 +116,12 @@ def reputations(
     hosts = durable(hosts.withColumns({"domain": domain, "suffix": suffix}))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    tops = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(True))
+    tops = domains.groupBy("suffix").agg(*sums)
     # Over everything: one page of either outcome beside those that are known.
-    every = tops.groupBy("all").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("rate"))
-    tops, _ = _below(every, tops, "all")
-    domains, _ = _below(tops, domains, "suffix")
-    hosts, weight = _below(domains, hosts.drop("suffix"), "domain")
+    every = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("rate")).first().rate
+    tops, _ = _shrunk(tops.withColumn("prior_rate", F.lit(every)))
+    domains, _ = _shrunk(domains.join(tops.select("suffix", F.col("rate").alias("prior_rate")), "suffix"))
+    hosts, weight = _shrunk(hosts.drop("suffix").join(domains.select("domain", F.col("rate").alias("prior_rate")), "domain"))
     a, b = F.col("bad") + F.col("prior_rate") * weight, F.col("n") - F.col("bad") + (1 - F.col("prior_rate")) * weight
     known = hosts.withColumns({"a": a, "b": b})
     return known.select("host", "domain", "n", "bad", "a", "b", "rate", (1 - beta_cdf(F.lit(limit), F.col("a"), F.col("b"))).alias("beyond"))
