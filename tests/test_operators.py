@@ -201,13 +201,6 @@ def test_union_fills_missing_columns(spark):
     assert sorted(map(tuple, logs.union_by_name(a, b).collect())) == [(1, "x"), (2, None)]
 
 
-def test_types_are_inferred_without_a_schema(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("ID,Temp,Site\n1,2.5,S1\n2,NA,S2\n")
-    df = logs.lower_names(logs.read_csv(spark, str(tmp_path)))
-    assert df.dtypes == [("id", "int"), ("temp", "double"), ("site", "string")]
-    assert sorted(map(tuple, df.collect())) == [(1, 2.5, "S1"), (2, None, "S2")]
-
-
 def test_season_covers_every_year(spark, tmp_path):
     """Readings of the season count in whatever year they lie."""
     from thermoband.plans.inputs import Inputs
@@ -220,3 +213,37 @@ def test_season_covers_every_year(spark, tmp_path):
         inputs = Inputs(spark, f"{tmp_path}/{name}")
         assert inputs.years == years
         assert inputs.tb_rows.count() == inputs.tb.count() == len([t for t in some if "-01-" in t])
+
+
+def season_plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_season_ranges_are_clipped_and_joined():
+    known = (datetime(2021, 6, 1), datetime(2023, 2, 1))
+    ranges = cleaning.season_ranges(range(2021, 2024), 182, 237, known)
+    assert [(a.year, b.year) for a, b in ranges] == [(2021, 2021), (2022, 2022)]  # the third starts after the last time
+    many = cleaning.season_ranges(range(1990, 2024), 182, 237, slack=timedelta(minutes=30))
+    assert many == [(datetime(1990, 6, 30, 23, 30), datetime(2023, 8, 26, 0, 30))]
+    assert cleaning.season_ranges(range(2021, 2022), 182, 237, (datetime(2021, 1, 1), datetime(2021, 1, 2))) == []
+
+
+@pytest.mark.parametrize("first_day,last_day", [(1, 1), (1, 366), (365, 366), (366, 366)])
+def test_season_at_the_turn_of_the_year(spark, first_day, last_day):
+    """Times rounded up into the next year, or lying in a leap day, are kept whatever is pushed into the scan."""
+    times = ["2019-12-31 23:20:00", "2019-12-31 23:40:00", "2020-01-01 00:10:00", "2020-12-30 23:50:00", "2020-12-31 23:29:59", "2020-12-31 23:30:00"]
+    rows = spark.createDataFrame([(t,) for t in times], "t string").selectExpr("CAST(t AS TIMESTAMP_NTZ) AS read_at")
+    rows = rows.withColumn("datetime", clock.round_hour("read_at"))
+    read = [datetime.fromisoformat(t) for t in times]
+    whole = cleaning.cut_season(rows, first_day, last_day)
+    known = cleaning.cut_season(rows, first_day, last_day, read_at="read_at", known=(read[0], read[-1]))
+    assert sorted(whole.collect()) == sorted(known.collect())
+    assert whole.count() > 0 and "read_at" in season_plan(known)
+
+
+def test_many_years_are_one_range(spark):
+    rows = spark.range(60).selectExpr("make_timestamp_ntz(1960 + CAST(id AS INT), 1, 10, 12, 0, 0) AS datetime")
+    kept = cleaning.cut_season(rows, 5, 25, known=(datetime(1960, 1, 10), datetime(2019, 1, 10)))
+    assert kept.count() == 60
+    text = season_plan(kept)
+    assert "1960-01-05" in text and "2019-01-26" in text and "1961" not in text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -14,28 +14,49 @@ from thermoband.operators.keys import code_series
 EXCLUDED_SITE = "Entrance"
 
 
+#: More ranges than this are replaced by one from the first to the last.
+MOST_RANGES = 20
+
+
+def season_ranges(
+    years: Iterable[int], first_day: int, last_day: int, known: tuple[datetime, datetime] | None = None,
+    slack: timedelta = timedelta(0),
+) -> list[tuple[datetime, datetime]]:
+    """The seasons of some years, end excluded, `slack` wider on either side, without those outside `known` (first and last time of
+    the data). More than MOST_RANGES are one range."""
+    found = []
+    for year in years:
+        new_year = datetime(year, 1, 1)
+        start, stop = new_year + timedelta(days=first_day - 1) - slack, new_year + timedelta(days=last_day) + slack
+        if known is None or (start <= known[1] and stop > known[0]):
+            found.append((start, stop))
+    return found if len(found) <= MOST_RANGES else [(found[0][0], found[-1][1])]
+
+
 def cut_season(
     df: DataFrame, first_day: int, last_day: int, ts: str = "datetime",
-    years: Sequence[int] | None = None, read_at: str | None = None,
+    years: Iterable[int] | None = None, read_at: str | None = None, known: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """Keep days of year from `first_day` to `last_day`, both included.
 
     A day of year cannot be pushed into a file scan. If the caller knows which
-    years the data cover, ranges of the plain time of reading are added beside
-    it, which can. Rounding moves a time by half an hour at most, so a range of
-    `read_at` (the column that `ts` was rounded from) is that much wider.
+    years the data cover (`years`, or the first and last time, `known`), ranges
+    of the plain time of reading are added beside it, which can. Rounding moves
+    a time by half an hour at most, so a range of `read_at` (the column that
+    `ts` was rounded from) is that much wider, and a time may be rounded up into
+    the next year.
     """
     plain, slack = (read_at, timedelta(minutes=30)) if read_at else (ts, timedelta(0))
     kept = df.filter(clock.day_of_year(ts).between(first_day, last_day))
+    if years is None and known:
+        years = range(known[0].year, (known[1] + slack).year + 1)
     if years:
-        ranges = None
-        for year in years:
-            start = datetime(year, 1, 1) + timedelta(days=first_day - 1) - slack
-            stop = datetime(year, 1, 1) + timedelta(days=last_day) + slack
+        ranges = F.lit(False)
+        for start, stop in season_ranges(years, first_day, last_day, known, slack):
             inside = (F.col(plain) >= F.lit(start.isoformat(" ")).cast(clock.NTZ)) & (
                 F.col(plain) < F.lit(stop.isoformat(" ")).cast(clock.NTZ)
             )
-            ranges = inside if ranges is None else ranges | inside
+            ranges = ranges | inside
         kept = kept.filter(ranges)
     return kept
 
@@ -46,10 +67,11 @@ def exclude_series(df: DataFrame, names: Sequence[str], key: str = "original_id"
 
 def season_rows(
     raw: DataFrame, first_day: int, last_day: int, exclude: Sequence[str] = (),
-    years: Sequence[int] | None = None,
+    years: Iterable[int] | None = None, known: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """Body readings of the season with `day` and `hour`, still under their own names."""
-    kept = cut_season(raw, first_day, last_day, years=years, read_at="read_at" if "read_at" in raw.columns else None)
+    read_at = "read_at" if "read_at" in raw.columns else None
+    kept = cut_season(raw, first_day, last_day, years=years, read_at=read_at, known=known)
     if exclude:
         kept = exclude_series(kept, exclude)
     return kept.withColumns(
@@ -59,11 +81,11 @@ def season_rows(
 
 def clean_body(
     raw: DataFrame, first_day: int, last_day: int, exclude: Sequence[str] = (),
-    codes: DataFrame | None = None, years: Sequence[int] | None = None,
+    codes: DataFrame | None = None, years: Iterable[int] | None = None, known: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """The tidy body table. Codes are given before series are excluded, so gaps stay."""
     codes = code_series(raw, "original_id") if codes is None else codes
-    rows = season_rows(raw, first_day, last_day, exclude, years)
+    rows = season_rows(raw, first_day, last_day, exclude, years, known)
     rows = rows.select("original_id", "type", "datetime", "day", "hour", "temp")
     return rows.join(codes, ["original_id"]).select(
         "id", "type", "datetime", "day", "hour", "temp"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from thermoband.sources import events as ev
 # Season and excluded series of the test data.
 FIRST_DAY, LAST_DAY = 5, 25
 EXCLUDED = ("NG7",)
-#: More years than this are not given to the scan as ranges.
-MOST_YEARS = 20
+#: More years than this are not named one by one.
+MOST_YEARS = cleaning.MOST_RANGES
 
 
 @dataclass
@@ -29,12 +30,19 @@ class Inputs:
     def events(self) -> DataFrame:
         return ev.events(self.spark, self.sf_dir)
 
+    @cached_property
+    def known(self) -> tuple[datetime, datetime] | None:
+        """First and last time of the events, None if there are none: one aggregate over a single column."""
+        first, last = self.events.selectExpr("min(ts)", "max(ts)").first()
+        return None if first is None else (first, last)
+
     @cached_property
     def years(self) -> tuple[int, ...] | None:
-        """All years of the events, half an hour more on either side for rounding; None if there are none or too many."""
-        bounds = self.events.selectExpr("min(ts) - INTERVAL 30 MINUTES AS first", "max(ts) + INTERVAL 30 MINUTES AS last")
-        first, last = bounds.selectExpr("year(first)", "year(last)").first()
-        return None if first is None or last - first >= MOST_YEARS else tuple(range(first, last + 1))
+        """All years that rounded times of the events lie in; None if there are none or more than MOST_YEARS."""
+        if self.known is None:
+            return None
+        first, last = self.known[0].year, (self.known[1] + timedelta(minutes=30)).year
+        return None if last - first >= MOST_YEARS else tuple(range(first, last + 1))
 
     @cached_property
     def body_raw(self) -> DataFrame:
@@ -55,12 +63,12 @@ class Inputs:
 
     @cached_property
     def tb(self) -> DataFrame:
-        return cleaning.clean_body(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, codes=self.codes, years=self.years)
+        return cleaning.clean_body(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, codes=self.codes, years=self.years, known=self.known)
 
     @cached_property
     def tb_rows(self) -> DataFrame:
         """The body table under the animals' own names, for summaries that need no code."""
-        return cleaning.season_rows(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, self.years)
+        return cleaning.season_rows(self.body_raw, FIRST_DAY, LAST_DAY, EXCLUDED, self.years, self.known)
 
     @cached_property
     def te(self) -> DataFrame:

@@ -12,8 +12,8 @@ CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def write_csv(df: DataFrame, path: str, extension: str = "csv") -> None:
-    """CSV folder with header; missing values are written as NA. `extension` (three letters) ends the file names."""
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA").option("extension", extension)
+    """CSV folder with header; missing values are written as NA, quotes in a value doubled. `extension` (three letters) ends the file names."""
+    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA").option("extension", extension).option("escape", '"')
     writer.option("timestampNTZFormat", CSV_TIME).csv(path)
 
 
