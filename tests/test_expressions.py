@@ -65,6 +65,22 @@ def test_parse(spark):
     assert got == [datetime(2020, 7, 1, 13, 5), None]
 
 
+def test_parse_names_and_halves_of_the_day(spark):
+    """English month names, whole or three letters, and AM or PM after hours from 1 to 12."""
+    right = {
+        "July 1, 2020 13:05:09": datetime(2020, 7, 1, 13, 5, 9), "jul 1 20 1:05:09 pm": datetime(2020, 7, 1, 13, 5, 9), "MAY-31-2020 12:00:00 AM": datetime(2020, 5, 31),
+        "sep/9/1999 12:00:00PM": datetime(1999, 9, 9, 12), "7/1/2020 11:59:59 am": datetime(2020, 7, 1, 11, 59, 59), "  February 29, 2024   0:00:00 ": datetime(2024, 2, 29),
+    }
+    wrong = [
+        "Juli 1, 2020 13:05:09", "Ju 1, 2020 13:05:09", "7/1/2020 13:05:09 PM", "7/1/2020 0:05:09 AM", "February 30, 2024 1:00:00", "7/1/2020 1:05:09 xm",
+        "1 July 2020 13:05:09", "7/1/2020 1:05:09 PM later", "", " ", "July 2020 13:05:09",
+    ]
+    texts = [*right, *wrong]
+    assert values(spark, [(s,) for s in texts], "s string", clock.parse_mdy_hms("s")) == [right.get(s) for s in texts]
+    got = values(spark, [("December 31, 2020 11:59 PM",), ("Dec 31 20 0:10",), ("7/1/2020 1:05:09 PM",)], "s string", clock.parse_mdy_hm("s"))
+    assert got == [datetime(2020, 12, 31, 23, 59), datetime(2020, 12, 31, 0, 10), None]
+
+
 def test_day_to_date(spark):
     got = values(spark, [(182,), (237,)], "d int", clock.date_of_day("d"))
     assert got == [date(2020, 6, 30), date(2020, 8, 24)]

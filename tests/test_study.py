@@ -66,3 +66,33 @@ def test_study(spark, files, tmp_path):
     days = tidy["tb"].select("day").distinct().count()
     assert out["pred_series_tb"].filter("pred IS NOT NULL").count() == n_series * days * 100
     assert out["pred_de"].filter("pred_de IS NOT NULL AND se > 0").count() == 12_000
+
+
+def bundle(spark, k):
+    return {"a": spark.range(k).toDF("x"), "b": spark.range(k).selectExpr("id AS y", "id % 2 AS part")}
+
+
+def sizes(spark, root):
+    return {name: df.count() for name, df in tables.load_bundle(spark, root).items()}
+
+
+def test_bundle_is_saved_as_one(spark, tmp_path):
+    """A save that stops after the first table leaves the old bundle whole."""
+    root = f"file://{tmp_path}/bundle"
+    with pytest.raises(FileNotFoundError):
+        tables.load_bundle(spark, root)
+    tables.save_bundle(bundle(spark, 5), root)
+    fails = spark.range(3).selectExpr("CAST(raise_error('stop') AS string) AS y")
+    with pytest.raises(Exception, match="stop"):
+        tables.save_bundle({"a": spark.range(9).toDF("x"), "b": fails}, root)
+    assert sizes(spark, root) == {"a": 5, "b": 5}
+    old = tables.load_bundle(spark, root)
+    tables.save_bundle(bundle(spark, 7), root, by={"b": ["part"]})
+    assert sizes(spark, root) == {"a": 7, "b": 7}
+    assert old["a"].count() == 5  # who has loaded the version before can read on
+    tables.save_bundle({"c": spark.range(2).toDF("x")}, root)
+    assert sizes(spark, root) == {"c": 2}
+    left = sorted(p.name for p in (tmp_path / "bundle").iterdir() if p.is_dir())
+    assert len(left) == 2 and [n.split("-")[0] for n in left] == ["00000002", "00000003"]
+    with pytest.raises(ValueError, match="needs tables"):
+        tables.save_bundle({}, root)

@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 NTZ = "timestamp_ntz"
 # Two-digit years up to this one are read as 20xx, later ones as 19xx.
 YEAR_PIVOT = 68
-# Month, day and year stand in this order between slashes, hyphens, points or blanks.
-_MDY = r"^\s*(\d{1,2})[/. \-](\d{1,2})[/. \-](\d{4}|\d{2})\s+(\d{1,2}):(\d{1,2})"
+# English names of the months; three letters stand for them too.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+)
+# Month (number or name), day and year stand in this order between slashes, hyphens, points, commas or blanks.
+_MDY = r"(?i)^\s*(\d{1,2}|[a-z]{3,9})[/. ,\-]+(\d{1,2})[/. ,\-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{1,2})"
+# Hours from 1 to 12 may be followed by AM or PM.
+_HALF = r"\s*([ap]m)?\s*$"
 
 
 def _column(c: Column | str) -> Column:
@@ -23,27 +30,35 @@ def _column(c: Column | str) -> Column:
 def _parse(text: Column | str, pattern: str, with_seconds: bool) -> Column:
     text = _column(text)
 
+    def found(i: int) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int")
+        return found(i).cast("int")
 
+    names = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS, 1) for key in dict.fromkeys((name, name[:3])) for x in (key, i)])
+    month = F.coalesce(found(1).try_cast("int"), F.try_element_at(names, F.lower(found(1))))
     year = part(3)
     full_year = (
-        F.when(F.length(F.regexp_extract(text, pattern, 3)) == 4, year)
+        F.when(F.length(found(3)) == 4, year)
         .when(year <= YEAR_PIVOT, year + 2000)
         .otherwise(year + 1900)
     )
     second = part(6) if with_seconds else F.lit(0)
-    return F.try_make_timestamp_ntz(full_year, part(1), part(2), part(4), part(5), second)
+    hour, half = part(4), F.lower(found(7 if with_seconds else 6))
+    of_half = F.when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    return F.try_make_timestamp_ntz(full_year, month, part(2), F.when(half.isNull(), hour).otherwise(of_half), part(5), second)
 
 
 def parse_mdy_hms(text: Column | str) -> Column:
-    """`7/1/2020 13:05:09`, `07-01-20 13:05:09`, `7.1.2020 13:05:09`; anything else is NULL."""
-    return _parse(text, _MDY + r":(\d{1,2})\s*$", with_seconds=True)
+    """`7/1/2020 13:05:09`, `07-01-20 13:05:09`, `7.1.2020 1:05:09 PM`, `July 1, 2020 13:05:09`, `Jul 1 2020 1:05:09 pm`; anything
+    else is NULL."""
+    return _parse(text, _MDY + r":(\d{1,2})" + _HALF, with_seconds=True)
 
 
 def parse_mdy_hm(text: Column | str) -> Column:
-    """`7/1/2020 13:05`, `07-01-20 13:05`, `7.1.2020 13:05`; anything else is NULL."""
-    return _parse(text, _MDY + r"\s*$", with_seconds=False)
+    """The same without seconds."""
+    return _parse(text, _MDY + _HALF, with_seconds=False)
 
 
 def floor_hour(ts: Column | str) -> Column:

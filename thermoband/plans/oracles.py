@@ -210,17 +210,33 @@ SELECT id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, s0, s1, s2 FROM ({union})""
 
 _SHORT = "regexp_replace(printf('%.2f', CASE WHEN round_even({x}, 2) = 0 THEN 0.0 ELSE round_even({x}, 2) END), '\\.?0+$', '')"
 
+_WRITTEN = """CASE event_id % 7 WHEN 0 THEN strftime(ts, '%-m/%-d/%Y') WHEN 1 THEN strftime(ts, '%m-%d-%Y')
+        WHEN 2 THEN strftime(ts, '%-m.%d.%y') WHEN 3 THEN strftime(ts, '%m %-d %Y') WHEN 4 THEN strftime(ts, '%B %-d, %Y')
+        WHEN 5 THEN upper(strftime(ts, '%b')) || strftime(ts, '-%-d-%Y') ELSE concat('13/', strftime(ts, '%-d/%Y')) END"""
+
 ORACLES: dict[str, str] = {
     "q_scan_lower_rename": "SELECT event_id, ts, user_id AS series, event_type, value AS temp FROM events",
-    "q_unite_parse": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%-m/%-d/%Y') WHEN 1 THEN strftime(ts, '%m-%d-%Y')
-        WHEN 2 THEN strftime(ts, '%-m.%d.%y') WHEN 3 THEN strftime(ts, '%m %-d %Y') ELSE concat('13/', strftime(ts, '%-d/%Y')) END
-        || ' ' || strftime(ts, '%-H:%M:%S') AS text,
-    CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) END AS datetime FROM events""",
-    "q_parse_mdy_hm": """SELECT event_id, CASE WHEN event_id % 5 < 4 THEN date_trunc('minute', ts) END AS datetime,
-    event_id % 5 = 4 AS unreadable FROM events""",
+    "q_unite_parse": f"""SELECT event_id, {_WRITTEN} || ' ' || CASE WHEN event_id % 7 IN (1, 4) THEN strftime(ts, '%-I:%M:%S %p') ELSE strftime(ts, '%-H:%M:%S') END AS text,
+    CASE WHEN event_id % 7 < 6 THEN date_trunc('second', ts) END AS datetime FROM events""",
+    "q_parse_mdy_hm": """SELECT event_id, CASE WHEN event_id % 7 < 6 THEN date_trunc('minute', ts) END AS datetime,
+    event_id % 7 = 6 AS unreadable FROM events""",
     "q_csv_dirs": """SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN ts END AS ts, CASE WHEN event_id % 3 <> 2 THEN value END AS value,
     CASE WHEN event_id % 3 <> 2 THEN event_type END AS event_type,
-    CASE WHEN event_id % 3 = 2 THEN CAST(user_id AS VARCHAR) END AS extra FROM events""",
+    CASE WHEN event_id % 3 = 2 THEN CAST(user_id AS VARCHAR) END AS extra,
+    CASE WHEN event_id % 3 = 0 THEN 'said "' || event_type || '",' || chr(10) || chr(10) || 'then,' || chr(10) || '"' || event_id || '"' || chr(10) END AS note
+FROM events""",
+    "q_infer_types": """WITH ev AS (SELECT *, event_id % 3 AS k FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+has AS (SELECT count(*) FILTER (WHERE k = 0) > 0 AS a, count(*) FILTER (WHERE k = 1) > 0 AS b, count(*) FILTER (WHERE k = 2) > 0 AS c FROM ev)
+SELECT name, kind, apart FROM (
+    SELECT 'event_id' AS name, 'integer' AS kind, FALSE AS apart FROM has
+    UNION ALL SELECT 'amount', CASE WHEN a THEN 'double' WHEN b THEN 'integer' ELSE 'logical' END, a AND b FROM has
+    UNION ALL SELECT 'day', CASE WHEN a AND b THEN 'text' WHEN a THEN 'date' WHEN b THEN 'time' ELSE 'logical' END, a AND b FROM has
+    UNION ALL SELECT 'flag', 'logical', FALSE FROM has
+    UNION ALL SELECT 'ts', CASE WHEN a OR c THEN 'time' ELSE 'logical' END, FALSE FROM has
+    UNION ALL SELECT 'none', 'logical', FALSE FROM has
+    UNION ALL SELECT 'note', CASE WHEN b THEN 'text' WHEN c THEN 'integer' ELSE 'logical' END, b AND c FROM has)""",
+    "q_bundle": """SELECT CASE WHEN event_type = 'click' THEN 'clicks' ELSE 'rest' END AS name, event_id, event_type, value
+FROM events WHERE event_type IS NOT NULL""",
     "q_csv_roundtrip": """SELECT event_id, ts, value, f AS format FROM events,
     (SELECT 'csv' AS f UNION ALL SELECT 'parquet')""",
     "q_union_by_name": """SELECT event_id, event_type, value,

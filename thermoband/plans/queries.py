@@ -21,7 +21,8 @@ from thermoband.operators.deviation import deviation, with_deviation
 from thermoband.plans.fixed import GRID_HOURS, GROUP_DAYS, JOINT_LIMITS, LIMITS, SERIES_DAYS
 from thermoband.plans.inputs import Inputs
 from thermoband.session import durable, remove_folder, shared_dir
-from thermoband.sources import logs, tables as stored
+from thermoband.sources import logs, types
+from thermoband.sources import tables as stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,8 +60,11 @@ def q_scan_lower_rename(t: Inputs) -> DataFrame:
     )
 
 
+FORMS = 7
+
+
 def _written_time(form: Column, seconds: bool) -> tuple[Column, Column]:
-    """Date and time of `ts` as text, in one of five forms; the last one is no date."""
+    """Date and time of `ts` as text, in one of seven forms; the last one is no date."""
     ts = F.col("ts")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     month, day, year = F.month(ts), F.dayofmonth(ts), F.year(ts)
@@ -69,15 +73,18 @@ def _written_time(form: Column, seconds: bool) -> tuple[Column, Column]:
         .when(form == 1, F.concat_ws("-", two(month), two(day), year))
         .when(form == 2, F.concat_ws(".", month, two(day), two(year % 100)))
         .when(form == 3, F.concat_ws(" ", two(month), day, year))
+        .when(form == 4, F.concat(F.date_format(ts, "MMMM"), F.lit(" "), day, F.lit(", "), year))
+        .when(form == 5, F.concat_ws("-", F.upper(F.date_format(ts, "MMM")), day, year))
         .otherwise(F.concat_ws("/", F.lit(13), day, year))
     )
-    second = [two(F.floor(F.date_part(F.lit("SECOND"), ts)))] if seconds else []
-    return date, F.concat_ws(":", F.hour(ts), two(F.minute(ts)), *second)
+    rest = F.concat_ws(":", two(F.minute(ts)), *([two(F.floor(F.date_part(F.lit("SECOND"), ts)))] if seconds else []))
+    half = F.concat((F.hour(ts) + 11) % 12 + 1, F.lit(":"), rest, F.when(F.hour(ts) < 12, " AM").otherwise(" PM"))
+    return date, F.when(form.isin(1, 4), half).otherwise(F.concat(F.hour(ts), F.lit(":"), rest))
 
 
 @query
 def q_unite_parse(t: Inputs) -> DataFrame:
-    date, time = _written_time(F.col("event_id") % 5, seconds=True)
+    date, time = _written_time(F.col("event_id") % FORMS, seconds=True)
     parts = t.events.select("event_id", date.alias("date"), time.alias("time"))
     return parts.select("event_id", cat.unite(" ", "date", "time").alias("text")).withColumn(
         "datetime", clock.parse_mdy_hms("text")
@@ -86,7 +93,7 @@ def q_unite_parse(t: Inputs) -> DataFrame:
 
 @query
 def q_parse_mdy_hm(t: Inputs) -> DataFrame:
-    date, time = _written_time(F.col("event_id") % 5, seconds=False)
+    date, time = _written_time(F.col("event_id") % FORMS, seconds=False)
     read = t.events.select("event_id", clock.parse_mdy_hm(F.concat_ws(" ", date, time)).alias("datetime"))
     return read.withColumn("unreadable", F.col("datetime").isNull())
 
@@ -106,22 +113,79 @@ def q_csv_roundtrip(t: Inputs) -> DataFrame:
     return both
 
 
+# Blocks that the small test files are cut into, so that records lie across their borders.
+BLOCK = "16384"
+
+
+def _in_blocks(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` gives, read in small blocks and written."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, (BLOCK, "1"), strict=True):
+        spark.conf.set(n, value)
+    try:
+        return durable(build())
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+
+
 @query
 def q_csv_dirs(t: Inputs) -> DataFrame:
-    """One folder of files with columns in another order, missing columns, another ending and an empty file."""
+    """One folder of files with columns in another order, missing columns, other endings and names that start with an
+    underscore, quoted line breaks (in blocks that cut records), an empty file, and a folder that is no part of it."""
     root = f"{shared_dir(t.spark)}/logs-{uuid.uuid4().hex}"
     ev = t.events
     kind = F.col("event_id") % 3
-    stored.write_csv(ev.filter(kind == 0).select("event_id", "ts", "value", "event_type"), f"{root}/a")
-    stored.write_csv(ev.filter(kind == 1).select("event_type", F.col("value").alias("VALUE"), "event_id"), f"{root}/b", "CSV")
-    stored.write_csv(ev.filter(kind == 2).select("ts", "event_id", F.col("user_id").alias("Extra")), f"{root}/c", "txt")
-    stored.write_csv(ev.filter("false").select("event_id"), f"{root}/d")
-    read = logs.read_log_dir(t.spark, root, ev.select("event_id", "ts", "value", "event_type").schema)
-    kept = durable(read.select("event_id", "ts", "value", "event_type", "extra"))
+    said = F.concat(F.lit('said "'), "event_type", F.lit('",\n\nthen,\n"'), "event_id", F.lit('"\n'))
+    first = ev.filter(kind == 0).select("event_id", "ts", said.alias("note"), "value", "event_type")
+    stored.write_csv(first, root)
+    stored.write_csv(ev.filter(kind == 2).select("ts", "event_id", F.col("user_id").alias("Extra")), root, "txt", append=True)
+    stored.write_csv(ev.filter("false").select("event_id"), root, "nil", append=True)
+    stored.write_csv(first, f"{root}/sub")
+    stored.write_csv(ev.filter(kind == 1).select("event_type", F.col("value").alias("VALUE"), "event_id"), f"{root}/other", "CSV")
+    stored.move_files(t.spark, f"{root}/other", root, prefix="_")
+    wanted = ev.select("event_id", "ts", "value", "event_type").schema
+    kept = _in_blocks(t.spark, lambda: logs.read_log_dir(t.spark, root, wanted).select(*wanted.names, "extra", "note"))
     remove_folder(t.spark, root)
     return kept
 
 
+@query
+def q_infer_types(t: Inputs) -> DataFrame:
+    """Types of the columns of a folder, whose files don't have the same columns and don't agree on all of them."""
+    root = f"{shared_dir(t.spark)}/types-{uuid.uuid4().hex}"
+    ev = t.events.filter("ts IS NOT NULL AND value IS NOT NULL")
+    kind, even = F.col("event_id") % 3, F.when(F.col("event_id") % 2 == 0, "TRUE").otherwise("FALSE")
+    none = F.lit(None).cast("string").alias("none")
+    stored.write_csv(
+        ev.filter(kind == 0).select("event_id", F.col("value").alias("amount"), F.to_date("ts").alias("day"), even.alias("flag"), "ts", none), root
+    )
+    stored.write_csv(
+        ev.filter(kind == 1).select(F.col("ts").alias("day"), F.col("user_id").alias("AMOUNT"), "event_id", F.concat("event_type", F.lit("\n")).alias("note")),
+        root, append=True,
+    )
+    stored.write_csv(ev.filter(kind == 2).select("ts", even.substr(1, 1).alias("flag"), none, F.col("user_id").alias("note")), root, append=True)
+    found = durable(types.folder_types(t.spark, root).select("name", "kind", (F.col("n_apart") > 0).alias("apart")))
+    remove_folder(t.spark, root)
+    return found
+
+
+@query
+def q_bundle(t: Inputs) -> DataFrame:
+    """Tables saved as one bundle twice, and the second one loaded."""
+    root = f"{shared_dir(t.spark)}/bundle-{uuid.uuid4().hex}"
+    ev = t.events.select("event_id", "event_type", "value")
+    clicks = F.col("event_type") == "click"
+    stored.save_bundle({"clicks": ev.filter(clicks), "rest": ev.filter("false")}, root)
+    stored.save_bundle({"clicks": ev.filter(clicks), "rest": ev.filter(~clicks)}, root, by={"rest": ["event_type"]})
+    loaded = stored.load_bundle(t.spark, root)
+    named = [df.select(F.lit(name).alias("name"), "event_id", "event_type", "value") for name, df in sorted(loaded.items())]
+    both = durable(logs.union_by_name(*named))
+    remove_folder(t.spark, root)
+    return both
+
+
 @query
 def q_union_by_name(t: Inputs) -> DataFrame:
     ev = t.events.select("event_id", "event_type", "value", "props")
