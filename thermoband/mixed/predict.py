@@ -7,12 +7,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermoband.functions.fourier import dot
+from thermoband.functions.special import upper_normal
 from thermoband.mixed.fit import FittedModel, _stack, marginal, whitened
+from thermoband.mixed.spec import PeriodicModel
 from thermoband.mixed.stats import class_blocks, unpack
 
 
@@ -21,6 +23,11 @@ def simultaneous_quantile(m: int, alpha: float = 0.05) -> float:
     return NormalDist().inv_cdf(1 - (alpha / m) / 2)
 
 
+def joint_quantile(spark: SparkSession, m: int, alpha: float = 0.05) -> Column:
+    """The same as part of a plan, computed once in it."""
+    return spark.range(1).select(upper_normal(F.lit((alpha / m) / 2)).alias("z")).scalar()
+
+
 def series_effects(fitted: FittedModel) -> DataFrame:
     """Predicted slopes of every series, one row per series: `series`, `b` array."""
     model, key = fitted.model, fitted.series
@@ -86,10 +93,10 @@ def _class_roots(fitted: FittedModel) -> list[np.ndarray]:
     return roots
 
 
-def _with_basis(df: DataFrame, fitted: FittedModel) -> tuple[DataFrame, list[str], list[str]]:
+def _with_basis(df: DataFrame, model: PeriodicModel) -> tuple[DataFrame, list[str], list[str]]:
     """Hour and day terms as columns of their own, so each is computed once per row."""
-    hour = {f"_h{i}": c for i, c in enumerate(fitted.model.hour_columns())}
-    day = {f"_d{i}": c for i, c in enumerate(fitted.model.day_columns())}
+    hour = {f"_h{i}": c for i, c in enumerate(model.hour_columns())}
+    day = {f"_d{i}": c for i, c in enumerate(model.day_columns())}
     return df.withColumns({**hour, **day}), list(hour), list(day)
 
 
@@ -111,10 +118,10 @@ def predict_population(grid: DataFrame, fitted: FittedModel, m: int, alpha: floa
     and the coefficients and covariance factor of that class; no product over
     pairs of rows is ever formed.
     """
-    crit = simultaneous_quantile(m, alpha)
+    crit = joint_quantile(grid.sparkSession, m, alpha)
     coefs = F.lit([c.tolist() for c in _class_coefficients(fitted)])
     roots = F.lit([r.tolist() for r in _class_roots(fitted)])
-    based, hour, day = _with_basis(grid.withColumn("_cls", fitted.model.class_column()), fitted)
+    based, hour, day = _with_basis(grid.withColumn("_cls", fitted.model.class_column()), fitted.model)
     basis = F.array(*[F.col(h) * F.col(d) for h in hour for d in day])
     rows = based.withColumns({"_u": basis, "_coef": F.get(coefs, "_cls"), "_root": F.get(roots, "_cls")})
     variance = F.aggregate("_root", F.lit(0.0), lambda s, r: s + F.pow(dot(F.col("_u"), r), F.lit(2)))
@@ -122,7 +129,7 @@ def predict_population(grid: DataFrame, fitted: FittedModel, m: int, alpha: floa
         rows.withColumns({"pred": _value(F.col("_coef"), hour, day), "se": F.sqrt(variance)})
         .drop("_cls", "_u", "_coef", "_root", *hour, *day)
         .withColumns(
-            {"lo": F.col("pred") - F.lit(crit) * F.col("se"), "hi": F.col("pred") + F.lit(crit) * F.col("se")}
+            {"lo": F.col("pred") - crit * F.col("se"), "hi": F.col("pred") + crit * F.col("se")}
         )
     )
 
@@ -145,7 +152,8 @@ def with_effects(dims: DataFrame, fitted: FittedModel) -> DataFrame:
     return dims.join(effects.select(fitted.series, coef.alias("coef")), fitted.series, "left")
 
 
-def predict_series(grid: DataFrame, fitted: FittedModel) -> DataFrame:
+def predict_series(grid: DataFrame, fitted: FittedModel | PeriodicModel) -> DataFrame:
     """Prediction for single series; `grid` holds their coefficients in column `coef`."""
-    based, hour, day = _with_basis(grid, fitted)
+    model = fitted.model if isinstance(fitted, FittedModel) else fitted
+    based, hour, day = _with_basis(grid, model)
     return based.withColumn("pred", _value(F.col("coef"), hour, day)).drop("coef", *hour, *day)

@@ -12,3 +12,9 @@ PART_WIDTH = {"tb": 8, "te": 8, "db": 8, "de": 5}
 GRID_HOURS = 100
 GROUP_DAYS = {"tb": None, "te": 30}
 SERIES_DAYS = {"tb": None, "te": 40}
+# Variance parameters (correlation of neighbours, relative deviations of the slopes) that the models are also
+# evaluated at without a search.
+STATED = {
+    "tb": ((0.8, (0.5, 0.3)), (0.4, (1.2, 0.1))),
+    "te": ((0.8, (0.5, 0.3, 0.2, 0.6)), (0.4, (1.2, 0.1, 0.4, 0.9))),
+}

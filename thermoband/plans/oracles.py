@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from thermoband.plans.fixed import JOINT_LIMITS, STATED
+
 # Domain tables of the test data.
 _CTES = """
 tb_raw AS (SELECT event_id, ts, user_id,
@@ -352,16 +354,25 @@ _GLS = {
 _X = {1: "1.0", 2: _sincos(1, "hour", 23, "sin"), 3: _sincos(1, "hour", 23, "cos")}
 
 
-def _gls(what: str, body: str) -> str:
-    """`beta`: per class the coefficients b1..b3 and their covariances v11..v33; `scale`: sigma2, rows and series."""
+def _gls(what: str, body: str, phi: float = 0.8, sd: tuple[float, ...] = (0.0,) * 4) -> str:
+    """`beta`: per class the coefficients b1..b3 and their covariances v11..v33; `scale`: sigma2, rows and series;
+    `marg`: per series the products g11..g44 (4 is the response) without its slopes on the two waves, whose deviations
+    are `sd`, for the environment by treatment."""
     spec = _GLS[what]
     keys = ", ".join(name for name, _ in spec["factors"])
+    by = {i: f"CASE WHEN treatment = 'Exposed' THEN {sd[i]} ELSE {sd[i + 2]} END" if what == "te" else str(sd[i]) for i in (0, 1)}
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    every = [(i, j) for i in (1, 2, 3, 4) for j in (1, 2, 3, 4) if i <= j]
+    name = lambda i: "y" if i == 4 else f"x{i}"
+    products = ", ".join(f"sum({name(i)} * {name(j)}) AS {m(i, j)}" for i, j in every)
+    taken = lambda i, j: " + ".join(f"{m(i, a)} * c{a}{b} * {m(b, j)}" for a in (2, 3) for b in (2, 3))
+    without = ", ".join(f"{m(i, j)} - ({taken(i, j)}) AS g{i}{j}" for i, j in every)
     columns = {**{f"x{i}": x for i, x in _X.items()}, "y": "temp"}
     now = ", ".join(f"{x} AS {c}" for c, x in columns.items())
     lag = ", ".join(f"lag({c}) OVER w AS p_{c}" for c in columns)
-    white = ", ".join(f"CASE WHEN p_x1 IS NULL THEN {c} ELSE ({c} - 0.8 * p_{c}) / sqrt(1 - 0.8 * 0.8) END AS {c}" for c in columns)
-    sums = ", ".join(f"sum(x{i} * x{j}) AS a{i}{j}" for i in _X for j in _X if i <= j)
-    rhs = ", ".join(f"sum(x{i} * y) AS r{i}" for i in _X)
+    white = ", ".join(f"CASE WHEN p_x1 IS NULL THEN {c} ELSE ({c} - {phi} * p_{c}) / sqrt(1 - {phi} * {phi}) END AS {c}" for c in columns)
+    sums = ", ".join(f"sum(g{i}{j}) AS a{i}{j}" for i in _X for j in _X if i <= j)
+    rhs = ", ".join(f"sum(g{i}4) AS r{i}" for i in _X)
     a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
 
     def minor(i: int, j: int) -> str:
@@ -376,8 +387,13 @@ def _gls(what: str, body: str) -> str:
 , laid AS (SELECT {keys}, {spec['series']} AS s, {spec['order'].split(',')[0]} AS o1, event_id AS o2, {now} FROM {what}),
 lagged AS (SELECT *, {lag} FROM laid WINDOW w AS (PARTITION BY s ORDER BY o1, o2)),
 white AS (SELECT {keys}, s, {white} FROM lagged),
-sums AS (SELECT {keys}, {sums}, {rhs}, sum(y * y) AS yy, count(*) AS n, count(DISTINCT s) AS m FROM white GROUP BY {keys}),
-inv AS (SELECT *, {inverse} FROM sums),
+series AS (SELECT {keys}, s, {products}, count(*) AS n, {by[0]} AS d2, {by[1]} AS d3 FROM white GROUP BY {keys}, s),
+inner_det AS (SELECT *, (1 + d2 * d2 * m22) * (1 + d3 * d3 * m33) - d2 * d2 * d3 * d3 * m23 * m23 AS det FROM series),
+slopes AS (SELECT *, d2 * d2 * (1 + d3 * d3 * m33) / det AS c22, d3 * d3 * (1 + d2 * d2 * m22) / det AS c33,
+    -d2 * d2 * d3 * d3 * m23 / det AS c23, -d2 * d2 * d3 * d3 * m23 / det AS c32 FROM inner_det),
+marg AS (SELECT {keys}, s, n, d2, d3, {without}, ln(det) + (n - 1) * ln(1 - {phi} * {phi}) AS log_det FROM slopes),
+sums AS (SELECT {keys}, {sums}, {rhs}, sum(g44) AS yy, sum(n) AS n, count(*) AS m, sum(log_det) AS log_det FROM marg GROUP BY {keys}),
+inv AS (SELECT *, {inverse}, {det} AS det_x FROM sums),
 est AS (SELECT *, {solved} FROM inv),
 scale AS (SELECT sum(yy - b1 * r1 - b2 * r2 - b3 * r3) / (sum(n) - 3 * count(*)) AS sigma2, CAST(sum(n) AS BIGINT) AS n_rows,
     CAST(sum(m) AS BIGINT) AS n_series FROM est),
@@ -399,6 +415,45 @@ def _gls_coef(what: str) -> str:
     return _gls(what, " UNION ALL ".join(parts))
 
 
+def _beta_fraction(x: str, a: str, b: str) -> str:
+    """The incomplete beta function where x < (a + 1) / (a + b + 2), its continued fraction from the last term inwards."""
+    m = "floor(k / 2)"
+    even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
+    odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1))"
+    terms = f"CAST(list_reverse(range(1, 101 + CAST(floor(10 * sqrt(greatest({a}, {b}))) AS BIGINT))) AS DOUBLE[])"
+    rest = f"list_reduce({terms}, lambda rest, k: CASE WHEN k % 2 = 0 THEN {even} ELSE {odd} END / (1 + rest), CAST(0 AS DOUBLE))"
+    return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / {a} / (1 + {rest})"
+
+
+def _beta_cdf(x: str, a: str, b: str) -> str:
+    x, a, b = f"({x})", f"({a})", f"({b})"
+    return f"""CASE WHEN {x} >= 1 THEN 1 WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {_beta_fraction(x, a, b)}
+    ELSE 1 - ({_beta_fraction(f"(1 - {x})", b, a)}) END"""
+
+
+def _steps(n: int) -> str:
+    return f"CAST(range({n}) AS DOUBLE[])"
+
+
+def _upper_t(q: float, df: str) -> str:
+    """The t that a t variable exceeds with probability q: Newton steps from below on its convex tail."""
+    tail = f"0.5 * ({_beta_cdf(f'{df} / ({df} + t * t)', f'{df} / 2', 'CAST(0.5 AS DOUBLE)')})"
+    density = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - ({df} + 1) / 2 * ln(1 + t * t / {df})) / sqrt({df} * pi())"
+    return f"list_reduce({_steps(60)}, lambda t, u: t + (({tail}) - {q}) / ({density}), CAST(1 AS DOUBLE))"
+
+
+def _upper_normal(q: float) -> str:
+    rest = "list_reduce(CAST(list_reverse(range(1, 301)) AS DOUBLE[]), lambda r, k: z + k / r, z)"
+    density = "(exp(-z * z / 2) / sqrt(2 * pi()))"
+    return f"list_reduce({_steps(60)}, lambda z, u: z + ({density} / ({rest}) - {q!r}) / {density}, CAST(1 AS DOUBLE))"
+
+
+def _degrees(what: str) -> tuple[str, str]:
+    """Degrees of freedom between and within series."""
+    classes = 2 ** len(_GLS[what]["factors"])
+    return f"(n_series - {classes})", f"(n_rows - n_series - {2 * classes})"
+
+
 def _gls_means(what: str) -> str:
     factors = _GLS[what]["factors"]
     at = ", ".join(f"avg({x}) AS m{i}" for i, x in _X.items())
@@ -406,12 +461,16 @@ def _gls_means(what: str) -> str:
     var = " + ".join(f"m{i} * m{j} * v{i}{j}" for i in _X for j in _X)
     cells = f"(SELECT *, {value} AS e, {var} AS v FROM beta, (SELECT {at} FROM {what}))"
     label = " || ', ' || ".join(name for name, _ in factors)
-    parts = [f"SELECT {label} AS \"group\", round(e, 6) AS estimate, round(sqrt(v), 6) AS se FROM {cells}"]
+    parts = [f"SELECT {label} AS \"group\", e, sqrt(v) AS se FROM {cells}"]
     half = 2 ** (len(factors) - 1)
     for name, (first, second) in factors:
         sign = f"CASE WHEN {name} = '{first}' THEN 1 ELSE -1 END"
-        parts.append(f"SELECT '{first} - {second}', round(sum({sign} * e) / {half}, 6), round(sqrt(sum(v)) / {half}, 6) FROM {cells}")
-    return _gls(what, " UNION ALL ".join(parts))
+        parts.append(f"SELECT '{first} - {second}', sum({sign} * e) / {half}, sqrt(sum(v)) / {half} FROM {cells}")
+    df = f"CAST(least({', '.join(_degrees(what))}) AS DOUBLE)"
+    return _gls(what, f"""SELECT "group", round(e, 6) AS estimate, round(se, 6) AS se, round(lo, 6) AS lower, round(hi, 6) AS upper,
+    '( ' || {_SHORT.format(x='lo')} || ' ,  ' || {_SHORT.format(x='hi')} || ' )' AS ci
+FROM (SELECT "group", e, se, e - crit * se AS lo, e + crit * se AS hi
+    FROM ({' UNION ALL '.join(parts)}), (SELECT {_upper_t(0.025, 'df')} AS crit FROM (SELECT {df} AS df FROM scale)))""")
 
 
 def _gls_population(what: str, deviation: str = "") -> str:
@@ -422,16 +481,107 @@ def _gls_population(what: str, deviation: str = "") -> str:
     same = " AND ".join(f"g.{k} = beta.{k}" for k in keys)
     shown = ", ".join(f"g.{k}" for k in keys)
     if not deviation:
-        return _gls(what, f"SELECT {shown}, day, hour, round({value}, 6) AS pred, round(sqrt({var}), 6) AS se FROM {point} g JOIN beta ON {same}")
+        crit = _upper_normal(0.05 / JOINT_LIMITS[what] / 2)
+        return _gls(what, f"""SELECT * EXCLUDE (p, e, crit), round(p, 6) AS pred, round(e, 6) AS se, round(p - crit * e, 6) AS lo, round(p + crit * e, 6) AS hi
+FROM (SELECT {shown}, day, hour, {value} AS p, sqrt({var}) AS e FROM {point} g JOIN beta ON {same}), (SELECT {crit} AS crit)""")
     return _gls(what, f"""SELECT {', '.join(f'x.{k}' for k in keys)}, day, hour, round(CASE WHEN tb_q1 IS NULL OR tb_q3 IS NULL THEN NULL
     WHEN sign(pred - tb_q1) * sign(pred - tb_q3) = -1 THEN 0.0
     WHEN sign(pred - tb_q1) = -1 THEN pred - tb_q1 ELSE pred - tb_q3 END, 6) AS {deviation}
 FROM (SELECT {shown}, day, hour, {value} AS pred FROM {point} g JOIN beta ON {same}) x LEFT JOIN tpref ON x.{keys[0]} = tpref.{keys[0]}""")
 
 
+def _reml(what: str) -> str:
+    """Restricted log likelihood at each stated parameter set."""
+    p = 3 * 2 ** len(_GLS[what]["factors"])
+    parts = []
+    for i, (phi, sd) in enumerate(STATED[what], 1):
+        body = f"""SELECT CAST({i} AS INT) AS at, any_value(n_rows) AS n_rows, any_value(n_series) AS n_series, round(sqrt(any_value(sigma2)), 6) AS sigma,
+    round(-0.5 * ((any_value(n_rows) - {p}) * ln(any_value(sigma2) * (any_value(n_rows) - {p})) + sum(log_det) + sum(ln(det_x)) + {p} * ln({p // 3})), 6) AS reml
+FROM est, scale"""
+        parts.append(f"SELECT * FROM ({_gls(what, body, phi, sd)})")
+    return " UNION ALL ".join(parts)
+
+
+def _g(i: int, j: int) -> str:
+    return f"g{min(i, j)}{max(i, j)}"
+
+
+def _with_slopes(what: str, body: str) -> str:
+    """`own`: per series its keys, s, the class's b1..b3 and its own slopes u2, u3, at the first stated parameters."""
+    keys = [name for name, _ in _GLS[what]["factors"]]
+    slopes = ", ".join(
+        f"d{z} * d{z} * ({_g(z, 4)} - {' - '.join(f'{_g(z, j)} * b{j}' for j in _X)}) AS u{z}" for z in (2, 3)
+    )
+    shown = ", ".join(f"marg.{k}" for k in keys)
+    same = " AND ".join(f"marg.{k} = beta.{k}" for k in keys)
+    phi, sd = STATED[what][0]
+    return _gls(what, f", own AS (SELECT {shown}, s, b1, b2, b3, {slopes} FROM marg JOIN beta ON {same})\n{body}", phi, sd).replace(
+        ")\n, own AS", "),\nown AS"
+    )
+
+
+def _blup(what: str) -> str:
+    by = " || ':treatment' || treatment" if what == "te" else ""
+    return _with_slopes(what, f"""SELECT s AS id, 'hour_sin1'{by} AS term, round(u2, 6) AS value FROM own
+UNION ALL SELECT s, 'hour_cos1'{by}, round(u3, 6) FROM own""")
+
+
+def _series_prediction(what: str) -> str:
+    shown = {"tb": "id, type", "te": "id, location, site, treatment"}[what]
+    days = _DAYS_TB if what == "tb" else _axis("te", "day", 40)
+    value = f"b1 * ({_X[1]}) + (b2 + u2) * ({_X[2]}) + (b3 + u3) * ({_X[3]})"
+    return _with_slopes(what, f"""SELECT g.*, round({value}, 4) AS pred
+FROM (SELECT * FROM (SELECT DISTINCT {shown} FROM {what}), {days}, {_HOURS_TB if what == 'tb' else _HOURS_TE}) g
+JOIN (SELECT s, b1, b2, b3, u2, u3 FROM own) ON g.id = s""")
+
+
+def _anova(what: str) -> str:
+    """Sequential tests: the whole design, in the order of its terms, swept column by column on single numbers."""
+    factors = _GLS[what]["factors"]
+    wave = 1 << len(factors)
+    masks = sorted(range(2 * wave), key=lambda m: (m.bit_count(), m))
+    columns = [(m & (wave - 1), w) for m in masks for w in ((2, 3) if m & wave else (1,))]
+    p = len(columns)
+
+    def sign(mask: int) -> str:
+        used = [f for i, f in enumerate(factors) if mask >> i & 1]
+        return " * ".join(f"(CASE WHEN {name} = '{first}' THEN 1 ELSE -1 END)" for name, (first, _) in used) or "1"
+
+    def product(r: tuple[int, int], c: tuple[int, int]) -> str:
+        (mr, i), (mc, j) = r, c
+        part = "yy" if i == j == 4 else f"r{min(i, j)}" if 4 in (i, j) else f"a{min(i, j)}{max(i, j)}"
+        return f"sum({sign(mr)} * {sign(mc)} * {part})"
+
+    full = [*columns, (0, 4)]
+    matrix = "[" + ", ".join("[" + ", ".join(product(r, c) for c in full) + "]" for r in full) + "]"
+    steps = [f"s0 AS (SELECT {matrix} AS a FROM sums)"]
+    for k in range(1, p + 1):
+        cell = f"CASE WHEN i <= {k} OR j <= {k} THEN 0 ELSE a[i][j] - a[i][{k}] * a[{k}][j] / a[{k}][{k}] END"
+        steps.append(f"s{k} AS (SELECT list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 2}), lambda j: {cell})) AS a FROM s{k - 1})")
+    words = {"type": "Group", "location": "Location", "treatment": "Exposure"}
+    between, within = _degrees(what)
+    rows, at = [], 1
+    for number, m in enumerate(masks[1:], 1):
+        size = 2 if m & wave else 1
+        label = ":".join([words[name] for i, (name, _) in enumerate(factors) if m >> i & 1] + (["Hour"] if m & wave else []))
+        rss = f"(SELECT a[{p + 1}][{p + 1}] FROM s{at}) - (SELECT a[{p + 1}][{p + 1}] FROM s{at + size})"
+        rows.append(f"SELECT {number} AS ord, '{label}' AS term, {size} AS num_df, {within if m & wave else between} AS den_df, ({rss}) / {size} / sigma2 AS f FROM scale")
+        at += size
+    phi, sd = STATED[what][0]
+    tested = f", tested AS ({' UNION ALL '.join(rows)})"
+    tail = _beta_cdf("den / (den + num * f)", "den / 2", "num / 2")
+    return _gls(what, f""", {', '.join(steps)}{tested}
+SELECT CAST(ord AS INT) AS ord, term, CAST(num_df AS INT) AS num_df, CAST(den_df AS INT) AS den_df, round(f, 6) AS f, round({tail}, 6) AS p
+FROM (SELECT *, CAST(num_df AS DOUBLE) AS num, CAST(den_df AS DOUBLE) AS den FROM tested)""", phi, sd).replace(")\n, s0 AS", "),\ns0 AS")
+
+
 for _w in _GLS:
     ORACLES[f"q_gls_coef_{_w}"] = _gls_coef(_w)
     ORACLES[f"q_gls_scale_{_w}"] = _gls(_w, "SELECT n_rows, n_series, round(sqrt(sigma2), 6) AS sigma FROM scale")
     ORACLES[f"q_emm_at_{_w}"] = _gls_means(_w)
     ORACLES[f"q_predict_at_level0_{_w}"] = _gls_population(_w)
     ORACLES[f"q_pred_deviation_at_{_w}"] = _gls_population(_w, {"tb": "pred_db", "te": "pred_de"}[_w])
+    ORACLES[f"q_reml_{_w}"] = _reml(_w)
+    ORACLES[f"q_blup_at_{_w}"] = _blup(_w)
+    ORACLES[f"q_predict_at_level1_{_w}"] = _series_prediction(_w)
+    ORACLES[f"q_anova_at_{_w}"] = _anova(_w)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 from thermoband.functions import categories as cat
 from thermoband.functions import clock, strict
 from thermoband.functions.fourier import fourier_terms
-from thermoband.mixed import predict, tables
+from thermoband.mixed import plain, predict, tables
 from thermoband.mixed.fit import FittedModel, at_parameters, fit
 from thermoband.mixed.spec import BODY_MODEL, ENV_MODEL, PeriodicModel
 from thermoband.mixed.stats import long_statistics, series_statistics
 from thermoband.operators import band as bands
 from thermoband.operators import cleaning, grids, series, smooth, summary
 from thermoband.operators.deviation import deviation, with_deviation
-from thermoband.plans.fixed import GRID_HOURS, GROUP_DAYS, JOINT_LIMITS, LIMITS, SERIES_DAYS
+from thermoband.plans.fixed import GRID_HOURS, GROUP_DAYS, JOINT_LIMITS, LIMITS, PART_WIDTH, SERIES_DAYS, STATED
 from thermoband.plans.inputs import Inputs
 from thermoband.session import durable, remove_folder, shared_dir
 from thermoband.sources import logs, types
@@ -369,10 +370,6 @@ def _parts(t: Inputs, what: str) -> tuple[DataFrame, Sequence[str], str]:
     }[what]()
 
 
-# Width of the error bars in standard errors.
-ERROR_BARS = {"tb": 8, "te": 8, "db": 8, "de": 5}
-
-
 def _register_parts(what: str) -> None:
     def part_series(t: Inputs) -> DataFrame:
         df, keys, value = _parts(t, what)
@@ -382,7 +379,7 @@ def _register_parts(what: str) -> None:
     def part_summary(t: Inputs) -> DataFrame:
         df, keys, value = _parts(t, what)
         return rounded(
-            summary.part_summary(df, keys, value, ERROR_BARS[what]), ["avg", "se", "lo", "hi"], MEAN_DIGITS
+            summary.part_summary(df, keys, value, PART_WIDTH[what]), ["avg", "se", "lo", "hi"], MEAN_DIGITS
         )
 
     part_series.__name__ = f"q_part_series_{what}"
@@ -391,7 +388,7 @@ def _register_parts(what: str) -> None:
     query(part_summary)
 
 
-for _what in ERROR_BARS:
+for _what in PART_WIDTH:
     _register_parts(_what)
 
 
@@ -709,12 +706,12 @@ def _register_at(what: str) -> None:
     def means(t: Inputs) -> DataFrame:
         keys = ["type"] if what == "tb" else list(ENV_KEYS)
         found = tables.means_and_contrasts(gls(t, what), t.tb_rows if what == "tb" else t.te, keys, keys)
-        return rounded(tables.means_table(t.spark, found).select("group", "estimate", "se"), ["estimate", "se"])
+        return rounded(tables.means_table(t.spark, found).drop("ord"), ["estimate", "se", "lower", "upper"])
 
     def population(t: Inputs) -> DataFrame:
         grid = _body_grid0(t) if what == "tb" else _env_grid0(t)
         out = predict.predict_population(grid, gls(t, what), JOINT_LIMITS[what])
-        return rounded(out.drop("lo", "hi"), ["pred", "se"])
+        return rounded(out, ["pred", "se", "lo", "hi"])
 
     def deviated(t: Inputs) -> DataFrame:
         grid, key, name, keep = (
@@ -732,3 +729,65 @@ def _register_at(what: str) -> None:
 
 for _what in SMALL:
     _register_at(_what)
+
+
+# --- models at stated parameters, with slopes, in columns ----------------------
+
+SLOPED = {"tb": SMALL["tb"], "te": replace(SMALL["te"], slopes_by="treatment")}
+TERMS = {
+    "tb": [x for x in tables.BODY_TERMS if "Day" not in x.split(":")],
+    "te": [x for x in tables.ENV_TERMS if "Day" not in x.split(":")],
+}
+SERIES = {"tb": "original_id", "te": "id"}
+# Digits of series predictions: there are so many that some lie close to a rounding at six.
+SERIES_DIGITS = 4
+
+
+def _statistics(t: Inputs, what: str) -> DataFrame:
+    rows, ts, order = (t.tb_rows, "read_at", ["read_at", "obs_id"]) if what == "tb" else (t.te_ordered, "datetime", ["datetime", "obs_id"])
+    return durable(series_statistics(rows, SLOPED[what], SERIES[what], "temp", ts, order))
+
+
+def _stated(stats: DataFrame, what: str, which: int) -> tuple[DataFrame, DataFrame, Sequence[float]]:
+    """Matrices of the series, fits of the classes, and the deviations of the slopes."""
+    phi, sd = STATED[what][which]
+    marginal = plain.marginal_matrices(stats, SLOPED[what], phi, sd)
+    return marginal, plain.class_fits(marginal, SLOPED[what]), sd
+
+
+def _register_stated(what: str) -> None:
+    model = SLOPED[what]
+
+    def reml(t: Inputs) -> DataFrame:
+        stats = _statistics(t, what)
+        rows = [
+            plain.criterion(_stated(stats, what, i)[1], model).withColumn("at", F.lit(i + 1)) for i in range(len(STATED[what]))
+        ]
+        return rounded(logs.union_by_name(*rows), ["sigma", "reml"])
+
+    def anova(t: Inputs) -> DataFrame:
+        found = plain.sequential_tests(_stated(_statistics(t, what), what, 0)[1], model, TERMS[what])
+        return rounded(found, ["f", "p"])
+
+    def blup(t: Inputs) -> DataFrame:
+        marginal, fits, sd = _stated(_statistics(t, what), what, 0)
+        slopes = plain.series_slopes(marginal, fits, model, sd, SERIES[what])
+        if what == "tb":
+            slopes = slopes.join(t.codes, ["original_id"]).select("id", "term", "value")
+        return rounded(slopes, ["value"])
+
+    def level1(t: Inputs) -> DataFrame:
+        marginal, fits, sd = _stated(_statistics(t, what), what, 0)
+        coefs = plain.series_coefficients(marginal, fits, model, sd, SERIES[what])
+        dims = (_body_dims(t) if what == "tb" else _env_dims(t)).join(coefs, SERIES[what], "left")
+        rows = t.tb_rows if what == "tb" else t.te
+        grid = grids.series_grid(rows, dims.drop("original_id"), hours=GRID_HOURS, days=SERIES_DAYS[what])
+        return rounded(predict.predict_series(grid, model), ["pred"], SERIES_DIGITS)
+
+    for name, build in (("reml", reml), ("anova_at", anova), ("blup_at", blup), ("predict_at_level1", level1)):
+        build.__name__ = f"q_{name}_{what}"
+        query(build)
+
+
+for _what in SLOPED:
+    _register_stated(_what)
