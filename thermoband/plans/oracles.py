@@ -112,21 +112,54 @@ def _hourly(table: str, keys: str, value: str) -> str:
     FROM {table} GROUP BY {keys}, CAST(datetime AS DATE), hour"""
 
 
-def _loess(what: str) -> str:
-    """Local quadratic fit straight from its definition, on single rows."""
+def _loess(what: str, vertices: bool = False) -> str:
+    """Local quadratic fit straight from its definition, on single rows: at the points themselves, or at the vertices of
+    a tree of cells, with cubics between them."""
     table, keys, value, (lo, hi) = {
         "tb": ("tb", "type", "temp", (10, 35)),
         "te": ("te", "location, treatment", "temp", (-10, 70)),
         "db": ("db", "type", "db", (-20, 2)),
         "de": ("de", "location, treatment", "de", (-32, 40)),
     }[what]
+    points = f"SELECT panel.*, CAST(g.i AS INT) AS i, x_lo + g.i * (x_hi - x_lo) / 199 AS x0 FROM panel, range(200) AS g(i)"
+    tree = f"""
+ends AS (SELECT p.*, list_sort(xs) AS s, list_filter(range(1, n), lambda r: list_sort(xs)[r] <> list_sort(xs)[r + 1]) AS e FROM panel p),
+cells AS (
+    SELECT {keys}, CAST(1 AS BIGINT) AS f, n AS l, x_lo - margin AS a, x_hi + margin AS b FROM ends
+    UNION ALL
+    SELECT {keys}, CASE WHEN half = 0 THEN f ELSE cut + 1 END, CASE WHEN half = 0 THEN cut ELSE l END, CASE WHEN half = 0 THEN a ELSE t END,
+        CASE WHEN half = 0 THEN t ELSE b END
+    FROM (SELECT *, (s[cut] + s[cut + 1]) / 2 AS t
+        FROM (SELECT *, CASE WHEN up IS NULL AND down IS NULL THEN m WHEN down IS NULL OR up - m <= m - down THEN up ELSE down END AS cut
+            FROM (SELECT *, CASE WHEN above - m - 1 <= m - f THEN above END AS up, CASE WHEN m - below < l - m THEN below END AS down
+                FROM (SELECT *, list_min(list_filter(e, lambda r: r >= m AND r < l)) AS above, list_max(list_filter(e, lambda r: r < m AND r >= f)) AS below
+                    FROM (SELECT c.*, s, e, most, (f + l) // 2 AS m FROM cells c JOIN ends USING ({keys}) WHERE l - f + 1 > most))))),
+        (SELECT unnest([0, 1]) AS half)
+    WHERE t <> a AND t <> b),
+corners AS (SELECT {keys}, unnest([a, b]) AS x0 FROM cells),
+pts AS (SELECT panel.*, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY x0) AS INT) AS i, x0 FROM panel JOIN (SELECT DISTINCT * FROM corners) USING ({keys})),"""
+    at = tree if vertices else f"\npts AS ({points}),"
+    quadratic = "abs(det3) > 1e-10 * m0*m2*m4"
+    fit = f"""CASE
+    WHEN {quadratic} THEN (b0*(m2*m4 - m3*m3) - m1*(b1*m4 - b2*m3) + m2*(b1*m3 - b2*m2)) / det3
+    WHEN abs(det2) > 1e-10 * m0*m2 THEN (b0*m2 - b1*m1) / det2
+    WHEN m0 > 0 THEN b0 / m0 ELSE edge END"""
+    slope = f"""CASE
+    WHEN {quadratic} THEN (m0*(b1*m4 - b2*m3) - b0*(m1*m4 - m2*m3) + m2*(m1*b2 - m2*b1)) / det3
+    WHEN abs(det2) > 1e-10 * m0*m2 THEN (m0*b1 - m1*b0) / det2 ELSE 0 END"""
+    result = f"SELECT {keys}, i, round(x0, 6) AS x0, round({fit}, 6) AS fit FROM solved"
+    if vertices:
+        result = f""", v AS (SELECT {keys}, x0 AS va, {fit} AS fa, {slope} AS sa FROM solved),
+pieces AS (SELECT *, lead(va) OVER w AS vb, lead(fa) OVER w AS fb, lead(sa) OVER w AS sb FROM v WINDOW w AS (PARTITION BY {keys} ORDER BY va)),
+laid AS (SELECT g.*, fa, fb, sa, sb, vb - va AS h, (x0 - va) / (vb - va) AS t FROM ({points}) g JOIN pieces USING ({keys}) WHERE x0 >= va AND x0 < vb)
+SELECT {keys}, i, round(x0, 6) AS x0, round((2*t*t*t - 3*t*t + 1) * fa + (3*t*t - 2*t*t*t) * fb + (t*t*t - 2*t*t + t) * h * sa + (t*t*t - t*t) * h * sb, 6) AS fit
+FROM laid"""
     return _sql(f"""
 , rows_in AS (SELECT {keys}, CAST(hour AS DOUBLE) AS x, v AS y
     FROM ({_hourly(table, keys, value)}) WHERE v BETWEEN {lo} AND {hi}),
-panel AS (SELECT {keys}, min(x) AS x_lo, max(x) AS x_hi,
-    CAST(floor(count(*) * 0.3 + 1e-5) AS BIGINT) AS q FROM rows_in GROUP BY {keys}),
-pts AS (SELECT panel.*, CAST(g.i AS INT) AS i, x_lo + g.i * (x_hi - x_lo) / 199 AS x0
-    FROM panel, range(200) AS g(i)),
+panel AS (SELECT {keys}, min(x) AS x_lo, max(x) AS x_hi, count(*) AS n, list(x) AS xs,
+    CAST(floor(count(*) * 0.3 + 1e-5) AS BIGINT) AS q, greatest(CAST(floor(count(*) * CAST(0.06 AS DOUBLE)) AS BIGINT), 1) AS most,
+    0.005 * greatest(max(x) - min(x), 1e-3 * greatest(abs(min(x)), abs(max(x))) + 1e-30) AS margin FROM rows_in GROUP BY {keys}),{at}
 near AS (SELECT {keys}, i, x0, q, y, x - x0 AS u,
     row_number() OVER (PARTITION BY {keys}, i ORDER BY abs(x - x0)) AS nth
     FROM pts JOIN rows_in USING ({keys})),
@@ -141,12 +174,7 @@ mom AS (SELECT {keys}, i, x0, sum(w) AS m0, sum(w*u) AS m1, sum(w*u*u) AS m2, su
     FROM wt GROUP BY {keys}, i, x0),
 solved AS (SELECT *, m0*(m2*m4 - m3*m3) - m1*(m1*m4 - m2*m3) + m2*(m1*m3 - m2*m2) AS det3,
     m0*m2 - m1*m1 AS det2 FROM mom)
-SELECT {keys}, i, round(x0, 6) AS x0, round(CASE
-    WHEN abs(det3) > 1e-10 * m0*m2*m4
-        THEN (b0*(m2*m4 - m3*m3) - m1*(b1*m4 - b2*m3) + m2*(b1*m3 - b2*m2)) / det3
-    WHEN abs(det2) > 1e-10 * m0*m2 THEN (b0*m2 - b1*m1) / det2
-    WHEN m0 > 0 THEN b0 / m0 ELSE edge END, 6) AS fit
-FROM solved""").replace(")\n, rows_in", "),\nrows_in")
+{result}""").replace(")\n, rows_in", "),\nrows_in").replace(")\n, v AS", "),\nv AS").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _basis(column: str, harmonics: int, period: int) -> str:
@@ -334,6 +362,7 @@ UNION ALL
 SELECT location || '.' || treatment AS panel, count(*) AS n_kept
 FROM ({_hourly('te', 'location, treatment', 'temp')}) WHERE v BETWEEN -10 AND 70 GROUP BY location, treatment"""),
     **{f"q_loess_{w}": _loess(w) for w in _VIEWS},
+    **{f"q_loess_vertices_{w}": _loess(w, vertices=True) for w in _VIEWS},
     "q_ar1_stats": _ar1(),
 }
 

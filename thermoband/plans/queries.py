@@ -545,8 +545,14 @@ def _register_loess(what: str) -> None:
         kept = smooth.censor(df, value, *LIMITS[what])
         return rounded(smooth.loess_by_hour(kept, keys, value), ["x0", "fit"])
 
-    loess.__name__ = f"q_loess_{what}"
-    query(loess)
+    def between_vertices(t: Inputs) -> DataFrame:
+        df, keys, value = _smooth_input(t, what)
+        kept = smooth.censor(df, value, *LIMITS[what])
+        return rounded(smooth.loess_by_hour(kept, keys, value, surface="interpolate"), ["x0", "fit"])
+
+    for name, build in (("loess", loess), ("loess_vertices", between_vertices)):
+        build.__name__ = f"q_{name}_{what}"
+        query(build)
 
 
 for _what in LIMITS:

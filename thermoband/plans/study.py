@@ -105,7 +105,7 @@ def summaries(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     smoothed = {"tb": (["type"], "temp"), "te": (ENV_KEYS, "temp"), "db": (["type"], "db"), "de": (ENV_KEYS, "de")}
     for name, (keys, value) in smoothed.items():
         kept = smooth.censor(out[f"hourly_{name}"], value, *fixed.LIMITS[name])
-        out[f"smooth_{name}"] = smooth.loess_by_hour(kept, keys, value)
+        out[f"smooth_{name}"] = smooth.loess_by_hour(kept, keys, value, surface="interpolate")
     parts = {
         "tb": (labelled(tb), ["type"], "temp"), "te": (te_in, ENV_KEYS, "temp"),
         "db": (labelled(db), ["type"], "db"), "de": (de_in, ENV_KEYS, "de"),
