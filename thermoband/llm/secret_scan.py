@@ -39,6 +39,10 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9+/_~-]{16,}={0,2}")
 SIGN = r"[ \t]*+(?::=|=>|={1,3}|:)[ \t]*+"
 #: A name and what stands between it and its value, which may start with another name.
 ASSIGNED = re.compile(rf"(?i:{NAMES})[\"']?(?:{SIGN}|[ \t]++)[\"']?(?=[^\s\"',;]{{6}})")
+#: Each of the names holds one of these, whatever its case.
+STEMS = ("pass", "pwd", "secret", "token", "api", "access", "auth", "credential", "private", "bearer")
+#: Letters that the pattern takes for `s` and `i`, but that are not so in lower case.
+FOLDED = ("\u017f", "\u0131", "\u0130")
 VALUE_END = re.compile(r"[\s\"',;]")
 NAMED = re.compile(rf"(?i:{NAMES})")
 HARMLESS = re.compile(r"(?i:commit|sha1?|sha256|md5|checksum|digest|hash|uuid|guid|revision|rev|etag|build|version|example|dummy|placeholder|page|order|isbn|fingerprint)")
@@ -52,8 +56,16 @@ class Candidate(NamedTuple):
     end: int
 
 
+def may_name(text: str) -> bool:
+    """Whether a name can stand in the text: a quick look before the pattern, which is tried at every character."""
+    lower = text.lower()
+    return any(x in lower for x in STEMS) or (not text.isascii() and any(x in text for x in FOLDED))
+
+
 def named_values(text: str) -> list[Candidate]:
     """Values given to names. In a value that holds further names, the value of the last of them is one of its own."""
+    if not may_name(text):
+        return []
     found, end, nested = [], 0, False
     for m in ASSIGNED.finditer(text):
         if m.end() >= end:
