@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -58,61 +59,71 @@ def spelled(text: str) -> str:
 
 
 class Bounded(dict):
-    """A memo that is emptied when it is full, so that a worker's memory stays bounded."""
+    """A memo of at most LIMIT entries in two generations, so that a worker's memory stays bounded.
 
-    LIMIT = 300_000
+    A full generation becomes the older one, and the one before is dropped. What is used again moves to the younger
+    generation, so frequent entries stay. Subclasses say how an entry is made.
+    """
 
-    def keep(self, key, value):
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if len(key) <= 64:
+    LIMIT = 300_000
+    LONGEST = 64
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.LIMIT // 2:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 
 
 class _Pieces(Bounded):
     def __init__(self, model) -> None:
+        super().__init__()
         self.model = model
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled(piece)))
-        return self.keep(piece, ids)
-
-
-class _Chunks(Bounded):
-    #: The pre-tokens of word_bpe_49k.json (fixed value).
-    PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-    def __init__(self, model) -> None:
-        self.pieces = _Pieces(model)
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.keep(chunk, b"".join(map(self.pieces.__getitem__, self.PRETOKEN.findall(chunk))))
+    def make(self, piece: str) -> bytes:
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled(piece)))
 
 
 class WordEncoder:
     """Ids of word_bpe_49k.json, equal to the library's, as little-endian 32-bit integers.
 
-    The vocabulary drops white space, so a text is encoded by its chunks
-    between white space, and repeated chunks are looked up. That holds for
-    Latin-1 texts, where normalising is lower-casing and Python's white space
-    is the library's (but for four control characters). Every other text, and
-    one with the start of a special token's string, is left to the library whole.
+    A text is cut into pre-tokens, and repeated ones are looked up. That holds
+    for Latin-1 texts, where normalising is lower-casing and Python's white
+    space is the library's (but for four control characters). Every other text,
+    and one with the start of a special token's string, is left to the library
+    whole.
     """
 
+    #: Letters and digits of Latin-1 in lower case (fixed values).
+    LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    #: The pre-tokens of word_bpe_49k.json (fixed value) in such texts.
+    PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
     PLAIN = regex.compile("[^\\x00-\\x1b\\x20-\\xff]|<\\|")
+    #: The same for ASCII texts.
+    UNLIKE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, definition: str) -> None:
         self.library = Tokenizer.from_str(definition)
-        self.chunks = _Chunks(self.library.model)
+        self.pieces = _Pieces(self.library.model)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.PLAIN.search(text):
+        if any(x in text for x in self.UNLIKE) if text.isascii() else self.PLAIN.search(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.pieces.__getitem__, self.PRETOKEN.findall(text.lower())))
 
 
 _encoders: dict[str, WordEncoder] = {}

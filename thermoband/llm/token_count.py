@@ -44,10 +44,11 @@ class _Merged(Bounded):
     """Number of tokens of a pre-token that isn't proven."""
 
     def __init__(self, model) -> None:
+        super().__init__()
         self.model = model
 
-    def __missing__(self, piece: str) -> int:
-        return self.keep(piece, len(self.model.tokenize(spelled(piece))))
+    def make(self, piece: str) -> int:
+        return len(self.model.tokenize(spelled(piece)))
 
 
 class TokenCounter:
