@@ -14,9 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from thermoband.llm.common import WordEncoder
+from thermoband.llm.common import Bounded, WordEncoder
 from thermoband.llm.frames import FRAME_BYTES, FrameReader, FrameWriter, read_frames, round_trip, write_frames
-from thermoband.llm.packing import OPEN, SumOfSquares, pack
+from thermoband.llm.packing import SumOfSquares, pack
 from thermoband.llm.token_count import TokenCounter, count_tokens, proven_tokens
 
 BYTES = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,13 +67,39 @@ any_counter = TokenCounter(BYTES_FILE, proven_tokens(BYTES_FILE))
 any_encoder = WordEncoder(WORDS_FILE)
 
 
+def test_all_of_latin_1():
+    """Every pair of characters up to U+00FF, with letters around it."""
+    letters = [chr(c) for c in range(256)]
+    for a in letters:
+        text = " ".join(f"x{a}{b}y {b}{a}" for b in letters)
+        assert any_encoder(text) == ids(text, 0)[:-1].tobytes(), a
+
+
 def test_memo_stays_bounded():
     encoder = WordEncoder(WORDS_FILE)
-    encoder.chunks.LIMIT = 10
-    encoder.chunks.pieces.LIMIT = 10
+    encoder.pieces.LIMIT = 10
     text = " ".join(f"w{k}x" for k in range(100)) + " " + "y" * 100
     assert encoder(text) == ids(text, 0)[:-1].tobytes()
-    assert len(encoder.chunks) <= 10
+    assert len(encoder.pieces) <= 5 and len(encoder.pieces.older) <= 5
+
+
+def test_frequent_entries_stay():
+    """An entry that is used between others is made once, however many they are."""
+    made = []
+
+    class Memo(Bounded):
+        LIMIT = 20
+
+        def make(self, key):
+            made.append(key)
+            return key
+
+    memo = Memo()
+    for k in range(200):
+        assert memo[f"k{k}"] == f"k{k}"
+        if k % 5 == 0:
+            assert memo["often"] == "often"
+    assert made.count("often") == 1
 
 
 def check_packing(rows, docs, window=2048):
@@ -104,45 +130,91 @@ def test_packing(odd_docs, documents):
     for docs in (odd_docs, documents):
         rows = pack(docs).collect()
         pieces = check_packing(rows, docs.select("doc_id", "text").collect())
-        parts = docs.rdd.getNumPartitions()
-        assert sum(sum(r.length for r in p) < 2048 for p in pieces.values()) <= parts
+        assert len(pieces) == -(-sum(r.length for r in rows) // 2048)  # one task, see LEAST_ROWS
 
 
 def test_packing_nothing(no_docs):
     assert pack(no_docs).count() == 0
 
 
+def moves(windows, size, anew=True):
+    """Every place for `size` ids with the sum of squares it leads to; a cut leaves its rest as a new window."""
+    top = windows.window
+    for level in range(top):
+        if (level and not windows.count[level]) or (not level and not anew):
+            continue
+        count = windows.count.copy()
+        count[level] -= level > 0
+        end = level + size
+        if end != top:
+            count[end if end < top else end - top] += 1
+        yield level, int((count**2).sum()) + (windows.cut if end > top else 0)
+
+
 def test_least_sum_of_squares():
-    """Each placement has the least sum of squares over all levels."""
+    """Each placement, cuts included, has the least sum of squares over all levels."""
     random = np.random.default_rng(1)
-    windows = SumOfSquares(16, 0)
-    for k in range(400):
-        size = int(random.integers(1, 16))
-        best = []
-        for level in range(0, 16 - size + 1):
-            if level and not windows.count[level]:
-                continue
-            count = windows.count.copy()
-            if level:
-                count[level] -= 1
-            if level + size < 16:
-                count[level + size] += 1
-            best.append((int((count**2).sum()), level))
-        level = windows.level_for(size)
-        assert min(best)[0] == dict((lv, s) for s, lv in best)[level]
+    for sizes in (lambda: random.integers(1, 16), lambda: random.integers(9, 12)):
+        windows = SumOfSquares(16, 0, cut=6)
+        for k in range(600):
+            size = int(sizes())
+            best = dict(moves(windows, size))
+            assert best[windows.place_for(size)] == min(best.values())
+            windows.add(k, bytes(4 * size))
+            assert [len(x) for x in windows.at_level] == windows.count.tolist()
+    assert windows.cuts
+
+
+def held_rows(windows):
+    out = {}
+    for doc_id, start, length, _, total, sequence, offset in windows.closed:
+        out.setdefault(doc_id, []).append((start, length, total))
+    for pieces in out.values():
+        at = 0
+        for start, length, total in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == total
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(68, 69), (75, 88), (1, 128), (120, 128), (37, 44)])
+def test_open_windows_stay_few_for_any_sizes(sizes):
+    """Sizes that never fit each other lead to cuts, not to ever more open windows; a task has no window too many."""
+    random, windows, total = np.random.default_rng(3), SumOfSquares(128, 0), 0
+    for k in range(20_000):
+        size = int(random.integers(*sizes))
+        total += size
         windows.add(k, bytes(4 * size))
-        assert windows.open == windows.count.sum() == sum(map(len, windows.at_level))
-
-
-def test_open_windows_stay_bounded():
-    windows = SumOfSquares(2048, 0)
-    for k in range(3 * OPEN):
-        windows.add(k, bytes(4 * 1100))  # two never fit
-        assert windows.open <= OPEN
-    windows.refill(last=True)
-    total = sum(r[2] for r in windows.closed)
-    assert total == 3 * OPEN * 1100
-    assert windows.sequence == -(-total // 2048)
+        assert windows.count.sum() <= 128 * (windows.cut // 2 + 2)
+    windows.finish()
+    assert windows.sequence == -(-total // 128)
+    assert sum(len(p) for p in held_rows(windows).values()) == 20_000 + windows.cuts
+
+
+def test_only_the_end_cuts_where_sizes_fit():
+    random, windows = np.random.default_rng(4), SumOfSquares(2048, 0)
+    for k in range(20_000):
+        windows.add(k, bytes(4 * int(random.lognormal(6, 1))))
+    assert windows.cuts == 0
+    left = int(windows.count.sum())
+    windows.finish()
+    assert windows.cuts <= left < 1000
+
+
+def test_the_end_keeps_whole_what_fits():
+    windows = SumOfSquares(100, 0)
+    for k, size in enumerate((85, 10, 95)):  # three open windows, as earlier placements may leave them
+        windows.at_level[size].append([(k, 0, bytes(4 * size), size)])
+        windows.count[size] += 1
+    windows.finish()
+    assert windows.cuts == 0 and windows.sequence == 2
+
+
+def test_tasks_have_a_least_size(spark, documents):
+    docs = documents.repartition(16)
+    for r in pack(docs).select("sequence_id").distinct().collect():
+        assert r.sequence_id >> 36 == 0
 
 
 def test_token_files(odd_docs, documents):
