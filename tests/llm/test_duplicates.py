@@ -201,7 +201,7 @@ def test_no_vectors(spark):
 
 def contaminated(text, items, window=10):
     tokens = words(text)
-    hit, names, longest = set(), set(), 0
+    hit, names, longest, ends = set(), set(), 0, []
     for name, item in items:
         there = words(item)
         size = min(window, len(there))
@@ -209,12 +209,15 @@ def contaminated(text, items, window=10):
             for i in range(len(tokens) - size + 1):
                 if tokens[i : i + size] == there[j : j + size]:
                     hit.update(range(i, i + size))
-                    names.add(str(name))
+                    names.add(None if name is None else str(name))
                     n = size
                     while i + n < len(tokens) and j + n < len(there) and tokens[i + n] == there[j + n]:
                         n += 1
                     longest = max(longest, n)
-    return len(tokens), len(hit), sorted(names), longest
+                    ends.append((n, i, None if name is None else str(name), j))
+    first = min((i for n, i, *_ in ends if n == longest), default=None)
+    places = {x[1:] for x in ends if x[0] == longest and x[1] == first} or {(None, None, None)}
+    return len(tokens), len(hit), sorted(names, key=lambda n: (n is not None, n or "")), longest, places
 
 
 ITEMS = [
@@ -235,23 +238,75 @@ FOUND = [
 def test_benchmark_passages(spark, odd_docs, block_bytes):
     items = spark.createDataFrame([(*i, "clash") for i in ITEMS], "item_id bigint, text string, doc_id string")
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(FOUND)], "doc_id bigint, text string, items string")
-    named = [("null" if i is None else i, t) for i, t in ITEMS]
+    named = ITEMS
     for some in (docs, odd_docs):
         rows = some.select("doc_id", "text").collect()
         if some is odd_docs:
             rows = [r for r in rows if len(r.text or "") < 10_000]
             some = some.where("text IS NULL OR length(text) < 10000")
         got = find_benchmark(some, items, block_bytes=block_bytes).collect()
-        want = Counter((r.doc_id, *map(str, contaminated(r.text, named))) for r in rows)
+        want = Counter((r.doc_id, *map(str, contaminated(r.text, named)[:4])) for r in rows)
         assert Counter((r.doc_id, str(r.n_words), str(r.n_hit), str(r["items"]), str(r.longest)) for r in got) == want
+        places = {}
+        for r in rows:
+            places.setdefault(r.doc_id, set()).update(contaminated(r.text, named)[4])
         for r in got:
             assert sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_hit
+            assert (r.longest_at, r.longest_item, r.longest_item_at) in places[r.doc_id]
         clean = [r.doc_id for r in rows if not contaminated(r.text, named)[1]]
         kept = remove_affected(some, items, block_bytes=block_bytes)
         assert kept.schema == some.schema
         assert Counter(r.doc_id for r in kept.collect()) == Counter(clean)
 
 
+def test_items_without_id_are_not_those_named_null(spark):
+    items = spark.createDataFrame([("null", "one two three"), (None, "four five six"), (None, "seven eight")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "seven eight"), (3, "one two")], "doc_id bigint, text string")
+    for block_bytes in (1 << 20, 8):
+        got = {r.doc_id: r["items"] for r in find_benchmark(docs, items, block_bytes=block_bytes).collect()}
+        assert got == {1: [None, "null"], 2: [None], 3: []}
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    """Blocks are made one after the other, and each is given up before the next."""
+    from thermoband.llm import decontaminate
+
+    made, alive = [], set()
+    one_block = decontaminate.block
+
+    def counted(items, window):
+        assert not alive
+        made.append(one_block(items, window))
+        alive.add(len(made))
+        return made[-1]
+
+    destroy = decontaminate.Broadcast.destroy
+    monkeypatch.setattr(decontaminate, "block", counted)
+    monkeypatch.setattr(decontaminate.Broadcast, "destroy", lambda self: (alive.clear(), destroy(self))[1])
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(30)]
+    docs = spark.createDataFrame([(k, f"a {t} b") for k, t in items], "doc_id bigint, text string")
+    got = find_benchmark(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=400).collect()
+    assert len(made) > 3 and sorted((r.doc_id, r["items"], r.n_hit, r.longest_at) for r in got) == sorted((k, [str(k)], 12, 1) for k, _ in items)
+
+
+def test_first_words_decide_what_is_searched():
+    """Only windows whose first words a shard has are searched, whatever their length."""
+    random = np.random.default_rng(31)
+    items = [(str(k), " ".join(f"w{x}" for x in random.integers(0, 50_000, random.integers(1, 40)))) for k in range(2000)]
+    searched = block(items, 10)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 50_000, 50)) for _ in range(40)] + [f"x {items[k][1]} y" for k in range(0, 2000, 50)]
+    numbers = [np.zeros(1, np.int64)]
+    for t in texts:
+        numbers += [np.array([searched.vocabulary.get(w, 0) for w in words(t)], np.int64), np.zeros(1, np.int64)]
+    sequence = np.concatenate(numbers)
+    array = SuffixArray(sequence, np.flatnonzero(sequence), searched.bits, 10)
+    for windows in searched.windows:
+        low, high = array.search(searched.text, windows.first, windows.length)
+        possible = array.possible(windows)
+        assert set(np.flatnonzero(high > low)) <= set(possible.tolist()) and len(np.unique(possible)) == len(possible)
+    assert len(array.possible(searched.windows[-1])) < 0.2 * len(searched.windows[-1].first)
+
+
 def test_no_benchmark(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert all(r.n_hit == 0 for r in find_benchmark(odd_docs, none).collect())

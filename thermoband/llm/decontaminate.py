@@ -2,17 +2,20 @@
 
 The documents of a task form shards of bounded size. Each shard's words become
 one array of numbers and, sorted by what follows, its suffix array. Every
-suffix of every benchmark item is searched in it by bisection; that gives the
-places where its first words (a window) stand verbatim, and from there the
-longest match is read off. Documents with a window of an item are affected.
+suffix of every benchmark item is searched in it by bisection, unless a look at
+its first words, which are sorted once per block, shows that no suffix of the
+shard begins with them; that gives the places where a window of the item
+stands verbatim, and from there the longest match and its place are read off.
+Documents with a window of an item are affected.
 
 Words that no item holds get number 0, which matches nothing. A suffix can
 only hold a window if it starts a run of known words at least as long as the
 shortest window; only those suffixes are sorted, and the others could not be found.
 
 The benchmark is the query set. It is broadcast in blocks of at most
-BLOCK_BYTES of text (one longer item is a block); each block is searched in
-all documents. Documents are never shuffled.
+BLOCK_BYTES of text (one longer item is a block), one after the other: each is
+made, searched in all documents and given up before the next one is made. What
+is found so far is written in between. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +52,13 @@ def words(text: str | None) -> list[bytes]:
 class Windows(NamedTuple):
     """The distinct windows of one length: the places of each in the block's words, and its items.
 
-    Those of window k are place[place_start[k] : place_start[k + 1]] and item[item_start[k] : item_start[k + 1]].
+    Those of window k are place[place_start[k] : place_start[k + 1]] and item[item_start[k] : item_start[k + 1]]. `lead`
+    has the packed first words of the windows in order, `order` the windows in that order.
     """
 
     length: int
+    lead: np.ndarray
+    order: np.ndarray
     place_start: np.ndarray
     place: np.ndarray
     item_start: np.ndarray
@@ -67,19 +74,25 @@ class Block(NamedTuple):
 
     vocabulary: dict[bytes, int]
     text: np.ndarray
-    end: np.ndarray  # of the item that each place lies in
+    start: np.ndarray  # of the text that each place lies in
+    end: np.ndarray
+    owner: np.ndarray  # number of the item that each place lies in
     windows: list[Windows]
-    items: list[str]
+    items: list[str | None]
+
+    @property
+    def bits(self) -> int:
+        return len(self.vocabulary).bit_length()
 
     @property
     def shortest(self) -> int:
         return min((w.length for w in self.windows), default=0)
 
 
-def block(items: Iterable[tuple[str, str | None]], window: int) -> Block:
+def block(items: Iterable[tuple[str | None, str | None]], window: int) -> Block:
     vocabulary: dict[bytes, int] = {}
-    names: dict[str, int] = {}
-    text, end = [0], [0]
+    names: dict[str | None, int] = {}
+    text, start, end, owner = [0], [0], [0], [0]
     places: dict[int, dict[tuple, tuple[list[int], set[int]]]] = {}
     for name, content in items:
         numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(content)]
@@ -92,15 +105,34 @@ def block(items: Iterable[tuple[str, str | None]], window: int) -> Block:
             where, owners = here.setdefault(tuple(numbers[at : at + size]), ([], set()))
             where.append(len(text) + at)
             owners.add(item)
+        start += [len(text)] * len(numbers)
         text += numbers
         end += [len(text)] * len(numbers)
-        text.append(0)
-        end.append(0)
-    windows = [
-        Windows(size, *_flat(list(here[k][0] for k in here)), *_flat(list(sorted(here[k][1]) for k in here)))
-        for size, here in sorted(places.items())
-    ]
-    return Block(vocabulary, np.array(text, np.int64), np.array(end), windows, list(names))
+        owner += [item] * len(numbers)
+        for one in (text, start, end, owner):
+            one.append(0)
+    numbers_, bits = np.array(text, np.int64), len(vocabulary).bit_length()
+    windows = []
+    for size, here in sorted(places.items()):
+        flat = _flat(list(here[k][0] for k in here))
+        first = flat[1][flat[0][:-1]]
+        lead = _packed(numbers_, first, bits, min(size, _step(bits)))
+        order = np.argsort(lead, kind="stable")
+        windows.append(Windows(size, lead[order], order, *flat, *_flat(list(sorted(here[k][1]) for k in here))))
+    return Block(vocabulary, numbers_, np.array(start), np.array(end), np.array(owner), windows, list(names))
+
+
+def _step(bits: int) -> int:
+    """Words that fit into one key."""
+    return 62 // bits
+
+
+def _packed(numbers: np.ndarray, places: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """The n words from each place on as one key."""
+    key = np.zeros(len(places), np.int64)
+    for k in range(n):
+        key = (key << bits) | numbers[places + k]
+    return key
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +160,12 @@ class SuffixArray:
     """
 
     def __init__(self, numbers: np.ndarray, places: np.ndarray, bits: int, depth: int) -> None:
-        self.bits, self.step = bits, 62 // bits
+        self.bits, self.step = bits, _step(bits)
         self.numbers = np.concatenate([numbers, np.zeros(self.step, numbers.dtype)])
         key = self.key(places, 0)
         order = np.argsort(key, kind="stable")
         self.places, key = places[order], key[order]
+        self.first = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         tied = np.arange(len(key))
         level = 1
         while level * self.step < depth and len(tied) > 1:
@@ -160,11 +193,15 @@ class SuffixArray:
 
     def key(self, places: np.ndarray, offset: int) -> np.ndarray:
         """The words from `offset` on after each place, packed; none beyond the end."""
-        at = np.minimum(places + offset, len(self.numbers) - self.step)
-        key = np.zeros(len(places), np.int64)
-        for k in range(self.step):
-            key = (key << self.bits) | self.numbers[at + k]
-        return key
+        return _packed(self.numbers, np.minimum(places + offset, len(self.numbers) - self.step), self.bits, self.step)
+
+    def possible(self, windows: Windows) -> np.ndarray:
+        """The windows whose first words some suffix begins with: for each different beginning a look into `lead`."""
+        begun = self.first >> (self.bits * (self.step - min(windows.length, self.step)))
+        begun = begun[np.concatenate([[True], begun[1:] != begun[:-1]])] if len(begun) else begun
+        low, high = np.searchsorted(windows.lead, begun, "left"), np.searchsorted(windows.lead, begun, "right")
+        n = high - low
+        return np.sort(windows.order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
 
     def bisect(self, low: np.ndarray, high: np.ndarray, offset: int, wanted: np.ndarray) -> np.ndarray:
         """Between low and high, the first place whose key at `offset` is not less than wanted."""
@@ -191,13 +228,15 @@ class SuffixArray:
 
 
 class Found(NamedTuple):
-    """Of one document: words, hit words, names of items, words of the longest match, hit ranges of words."""
+    """Of one document: words, hit words, names of items, words of the longest match, hit ranges of words, and where
+    the longest match starts (word of the document, item, word of the item's text)."""
 
     n_words: int
     n_hit: int
-    items: list[str]
+    items: list[str | None]
     longest: int
     spans: list[int]
+    place: tuple[int | None, str | None, int | None] = (None, None, None)
 
 
 def search(texts: list[str | None], searched: Block, hits_only: bool = False) -> list[Found]:
@@ -218,15 +257,17 @@ def search(texts: list[str | None], searched: Block, hits_only: bool = False) ->
     found: list[Found | None] = [None] * len(texts)
     if len(places) and searched.windows:
         depth = max(w.length for w in searched.windows)
-        array = SuffixArray(sequence, places, len(searched.vocabulary).bit_length(), depth)
+        array = SuffixArray(sequence, places, searched.bits, depth)
         change = np.zeros(len(sequence) + 1, np.int64)
-        affected, owners, longest = [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        affected, owners = [], np.zeros(0, np.int64)
+        longest = np.zeros((3, len(texts)), np.int64)  # words, place in the sequence and in the block's text
         for windows in searched.windows:
-            low, high = array.search(searched.text, windows.first, windows.length)
+            possible = array.possible(windows)
+            low, high = array.search(searched.text, windows.first[possible], windows.length)
             count = high - low
             if not count.sum():
                 continue
-            window = np.repeat(np.arange(len(count)), count)
+            window = np.repeat(possible, count)
             at = array.places[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             np.add.at(change, at, 1)
             np.add.at(change, at + windows.length, -1)
@@ -239,7 +280,8 @@ def search(texts: list[str | None], searched: Block, hits_only: bool = False) ->
                 some = np.unique(pair[0][k] * len(searched.items) + windows.item[position])
                 owners = np.union1d(owners, some)
             for k, position in _spread(windows.place_start, window):
-                np.maximum.at(longest, document[k], matched(sequence, at[k], searched, windows.place[position], windows.length))
+                place = windows.place[position]
+                _lengthen(longest, document[k], matched(sequence, at[k], searched, place, windows.length), at[k], place)
         if affected:
             hit = np.cumsum(change[:-1]) > 0
             for d in np.unique(np.concatenate(affected)):
@@ -247,10 +289,23 @@ def search(texts: list[str | None], searched: Block, hits_only: bool = False) ->
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
                 low, high = np.searchsorted(owners, [d * len(searched.items), (d + 1) * len(searched.items)])
                 names = [searched.items[i] for i in owners[low:high] % len(searched.items)]
-                found[d] = Found(sizes[d], int(mine.sum()), names, int(longest[d]), edges.tolist())
+                words_, at_, place_ = longest[:, d].tolist()
+                where = (at_ - int(begin[d]), searched.items[searched.owner[place_]], place_ - int(searched.start[place_])) if words_ else (None,) * 3
+                found[d] = Found(sizes[d], int(mine.sum()), names, words_, edges.tolist(), where)
     return [f or Found(n, 0, [], 0, []) for f, n in zip(found, sizes, strict=True)]
 
 
+def _lengthen(longest: np.ndarray, document: np.ndarray, total: np.ndarray, at: np.ndarray, place: np.ndarray) -> None:
+    """Keep the longest match of each document; of equal ones the first in the document, then in the block."""
+    order = np.lexsort((place, at, -total, document))
+    order = order[np.concatenate([[True], document[order][1:] != document[order][:-1]])]
+    d, new = document[order], np.stack([total[order], at[order], place[order]])
+    old = longest[:, d]
+    same = new[0] == old[0]
+    better = (new[0] > old[0]) | (same & ((new[1] < old[1]) | ((new[1] == old[1]) & (new[2] < old[2]))))
+    longest[:, d[better]] = new[:, better]
+
+
 def matched(sequence: np.ndarray, at: np.ndarray, searched: Block, place: np.ndarray, length: int) -> np.ndarray:
     """How many words from `at` on equal the item's words from `place` on; the first `length` do."""
     total = np.full(len(at), length)
@@ -275,52 +330,74 @@ def shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
             at = to
 
 
-def blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> Iterator:
-    """The benchmark's items as broadcast blocks, one after the other. Null ids are named 'null'."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+def in_blocks(
+    docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, step: Callable[[DataFrame, Broadcast, bool, bool], DataFrame]
+) -> DataFrame:
+    """`step(docs, block, first, last)` for one block of the benchmark's items after the other.
+
+    What a step gives is written before the next block is made, and its block is given up. Of the benchmark the driver
+    holds one block at a time.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast(block(((r.item, r.text) for r in part.toLocalIterator()), window))
-
-
-FOUND = "n_words bigint, n_hit bigint, items array<string>, longest bigint, spans array<bigint>"
+        found = block(((r.item, r.text) for r in part.toLocalIterator()), window)
+        sent = docs.sparkSession.sparkContext.broadcast(found)
+        docs = step(docs, sent, k == 0, k == n - 1)
+        if k < n - 1:
+            docs = durable(docs)
+            sent.destroy()
+    return docs
+
+
+FOUND = (
+    "n_words bigint, n_hit bigint, items array<string>, longest bigint, spans array<bigint>, "
+    "longest_at bigint, longest_item string, longest_item_at bigint"
+)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit (words inside an occurrence of a window), items (names of
     the items with such windows, as sorted texts), longest (words of the longest verbatim match), spans (the hit
-    ranges as start, end, start, end ... in words).
+    ranges as start, end, start, end ... in words), and where the longest match starts: longest_at (word of the
+    document), longest_item and longest_item_at (word of that item's text); the first one in the document if there are more.
 
     A null or empty text has no words. An item shorter than a window is one window; one without words is never
-    found. Items with the same id are one item. Rows are kept as often as they occur and null ids stay null;
-    other columns are not read. An empty table gives no rows, an empty benchmark no hits.
+    found. Items with the same id are one item, those without id are one, too, whose name is null. Rows are kept as
+    often as they occur and null ids stay null; other columns are not read. An empty table gives no rows, an empty
+    benchmark no hits.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    every = list(blocks(benchmark, window, block_bytes))
-    for k, one in enumerate(every):
-        last = k == len(every) - 1
+
+    def step(rows: DataFrame, one: Broadcast, first: bool, last: bool) -> DataFrame:
         kept = "doc_id bigint, " + ("" if last else "text string, ")
-        rows = rows.mapInArrow(_report(one, first=k == 0, last=last), kept + FOUND)
-        if not last:
-            rows = durable(rows)
-    return rows
+        return rows.mapInArrow(_report(one, first, last), kept + FOUND)
 
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return in_blocks(rows, benchmark, window, block_bytes, step)
 
-def _report(one, first: bool, last: bool) -> Callable:
+
+def _by_name(name: str | None) -> tuple[bool, str]:
+    return name is not None, name or ""
+
+
+def _report(one: Broadcast, first: bool, last: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched = one.value
         for rows in shards(batches, 1):
             found = search(rows.column(1).to_pylist(), searched)
             if not first:
-                before = (Found(*x) for x in zip(*(rows.column(i).to_pylist() for i in range(2, 7)), strict=True))
+                before = (Found(*x[:5], tuple(x[5:])) for x in zip(*(rows.column(i).to_pylist() for i in range(2, 10)), strict=True))
                 found = [_joined(a, b) for a, b in zip(before, found, strict=True)]
-            n_words, n_hit, items, longest, spans = zip(*found, strict=True)
+            n_words, n_hit, items, longest, spans, places = zip(*found, strict=True)
             columns = {"doc_id": rows.column(0)} | ({} if last else {"text": rows.column(1)})
             columns |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())}
-            columns |= {"items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+            columns |= {"items": pa.array([sorted(x, key=_by_name) for x in items], pa.list_(pa.string()))}
             columns |= {"longest": pa.array(longest, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64()))}
+            at, item, item_at = zip(*places, strict=True)
+            columns |= {"longest_at": pa.array(at, pa.int64()), "longest_item": pa.array(item, pa.string())}
+            columns |= {"longest_item_at": pa.array(item_at, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -335,21 +412,22 @@ def _joined(a: Found, b: Found) -> Found:
         else:
             spans.append([start, end])
     hit = sum(end - start for start, end in spans)
-    return Found(a.n_words, hit, sorted({*a.items, *b.items}), max(a.longest, b.longest), [x for s in spans for x in s])
+    best = min((a, b), key=lambda f: (-f.longest, f.place[0] or 0))
+    return Found(a.n_words, hit, sorted({*a.items, *b.items}, key=_by_name), best.longest, [x for s in spans for x in s], best.place)
 
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` without the rows whose text holds a window of an item; all columns and other rows as they are."""
     text = docs.columns.index("text")
 
-    def keep(one) -> Callable:
+    def keep(one: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in shards(batches, text):
                 yield rows.filter(pa.array([not f.n_hit for f in search(rows.column(text).to_pylist(), one.value, hits_only=True)]))
 
         return run
 
-    kept = docs
-    for one in blocks(benchmark, window, block_bytes):
-        kept = kept.mapInArrow(keep(one), docs.schema)
-    return kept
+    def step(rows: DataFrame, one: Broadcast, first: bool, last: bool) -> DataFrame:
+        return rows.mapInArrow(keep(one), docs.schema)
+
+    return in_blocks(docs, benchmark, window, block_bytes, step)
