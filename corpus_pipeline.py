@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from thermoband.llm import quality, secret_scan
-from thermoband.llm.common import remove_folder, table
+from thermoband.llm.common import table
 from thermoband.llm.decontaminate import remove_affected
 from thermoband.llm.packing import pack
 from thermoband.llm.simhash import one_of_each
-from thermoband.session import shared_dir, ship_package
+from thermoband.session import remove_folder, shared_dir, ship_package
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
