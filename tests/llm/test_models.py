@@ -251,6 +251,40 @@ def test_rebalanced_map(spark, documents, tmp_path):
     assert {r.shard for r in smaller.collect()} == {0, 1, 2}
 
 
+def test_a_stored_version_is_never_touched(spark, documents, tmp_path):
+    sizes = sharding.slot_sizes(sharding.records(documents, 64))
+    first, folder = sharding.first_map(sizes, 4), f"file://{tmp_path}/maps"
+    assert sharding.save_map(first, folder) == 1
+    with pytest.raises(FileExistsError):
+        sharding.save_map(first, folder)
+    assert sharding.load_map(spark, folder).count() == sizes.count() > 50
+    with pytest.raises(ValueError, match="one version"):
+        sharding.save_map(first.union(first.withColumn("version", F.lit(2))), folder)
+    with pytest.raises(FileNotFoundError):
+        sharding.load_map(spark, folder, 7)
+
+
+def test_records_follow_the_stored_map(spark, documents, no_docs, tmp_path):
+    folder = f"file://{tmp_path}/maps"
+    assert sharding.shard(no_docs, folder=folder).count() == 0
+    few = documents.where("doc_id % 2 = 0")
+    one = {r.doc_id: r.shard for r in sharding.shard(few, 5, 8192, folder=folder).collect()}
+    two = {r.doc_id: r.shard for r in sharding.shard(few.where("doc_id % 4 = 0"), 9, 8192, folder=folder).collect()}
+    assert two and all(one[k] == two[k] for k in two)  # the stored map counts, not a new one
+    stored = {r.virtual_slot: r.shard for r in sharding.load_map(spark, folder).collect()}
+    assert all(stored[r.virtual_slot] == r.shard for r in sharding.shard(few, 5, 8192, folder=folder).collect())
+    with pytest.raises(Exception, match="rebalance"):
+        sharding.shard(documents, 5, 8192, folder=folder).collect()
+
+
+def test_equal_records_are_dealt_over_cells(spark):
+    same = spark.range(5000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'the same text' AS text").repartition(8)
+    rows = sharding.records(same)
+    counts = [r["count"] for r in rows.groupBy("virtual_slot", "cell").count().collect()]
+    assert max(counts) < 5000 / 32
+    check_shards(sharding.shard(same, 3).collect(), same.collect(), 3)
+
+
 def test_pipeline(spark, sf_dir, documents):
     docs = documents
     sizes = []

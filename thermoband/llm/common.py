@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of intermediate files, in whatever store it lies."""
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there, in whatever store it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

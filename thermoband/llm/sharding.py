@@ -7,16 +7,20 @@ version. Rebalancing, for more shards or changed sizes, is an edit of the map:
 each shard keeps the slots that fit its share, and only the others move.
 
 Nothing but the slot table (SLOTS rows) is ever brought together. Places in a
-shard are counted per cell, a slot's rows being dealt over CELLS cells by
-another hash, and then offset by the cells and slots before.
+shard are counted per cell, a slot's rows being dealt over CELLS cells by the
+part of the input that they lie in, equal rows too, and then offset by the
+cells and slots before.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thermoband.session import durable
+from thermoband.llm.common import exists
+from thermoband.session import durable, remove_folder, shared_dir
 
 SLOTS = 8192
 CELLS = 64
@@ -26,7 +30,8 @@ RECORD = 8
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, cell of each row; the slot comes from doc_id alone, or from the text if that is null."""
+    """doc_id, size, text_crc32, virtual_slot, cell of each row; the slot comes from doc_id alone, or from the text if
+    that is null. The cell is a matter of where the row stands, so rows that need it are written first."""
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("bigint")
     crc = F.crc32(text.cast("binary"))
@@ -35,7 +40,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + RECORD).cast("bigint").alias("size"),
         crc.alias("text_crc32"),
         F.pmod(F.xxhash64(F.coalesce(doc_id, crc)), F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.pmod(F.xxhash64(F.lit("cell"), doc_id, crc, F.octet_length(text)), F.lit(CELLS)).cast("int").alias("cell"),
+        F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(CELLS)).cast("int").alias("cell"),
     )
 
 
@@ -92,9 +97,17 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     return stay.union(moved).select(F.lit(number).alias("version"), "virtual_slot", "shard")
 
 
-def save_map(slot_map: DataFrame, folder: str) -> None:
-    """Add a version to the maps stored below `folder`; an existing version is never overwritten."""
-    slot_map.write.mode("append").partitionBy("version").parquet(folder)
+def save_map(slot_map: DataFrame, folder: str) -> int:
+    """Add a version to the maps stored below `folder` and return its number; a stored version is never touched again:
+    saving one that is there is an error, as is a map of no or several versions."""
+    versions = [r.version for r in slot_map.select("version").distinct().limit(2).collect()]
+    if len(versions) != 1 or versions[0] is None:
+        raise ValueError("a map has one version")
+    target = f"{folder.rstrip('/')}/version={versions[0]}"
+    if exists(slot_map.sparkSession, target):
+        raise FileExistsError(f"version {versions[0]} is stored already in {folder}")
+    slot_map.select("virtual_slot", "shard").write.mode("errorifexists").parquet(target)
+    return versions[0]
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
@@ -102,7 +115,10 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     maps = spark.read.parquet(folder).select("version", "virtual_slot", "shard")
     if version is None:
         version = maps.agg(F.max("version")).first()[0]
-    return maps.where(F.col("version") == version)
+    found = maps.where(F.col("version") == version)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no version {version} in {folder}")
+    return found
 
 
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -110,7 +126,9 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     cells = rows.groupBy("virtual_slot", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("virtual_slot").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("in_slot", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    slots = cells.groupBy("virtual_slot").agg(F.sum("n").alias("slot_rows")).join(slot_map, "virtual_slot")
+    slots = cells.groupBy("virtual_slot").agg(F.sum("n").alias("slot_rows")).join(slot_map, "virtual_slot", "left")
+    unknown = F.raise_error(F.lit("a virtual slot is not in the map: rebalance it first")).cast("int")
+    slots = slots.withColumn("shard", F.coalesce("shard", unknown))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("in_shard"))
     offsets = cells.join(slots, "virtual_slot").select(
@@ -125,16 +143,27 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard, slot of each row of `docs`.
 
-    Without a map one is made from the sizes (law: near equal bytes). A null
-    text has no bytes and the checksum of the empty text. Rows with equal ids
-    share a virtual slot and each have a place of their own; rows equal in
-    everything are told apart by their order only. Other columns are not read;
-    an empty table gives no rows.
+    The map is the given one, or the latest of `folder`; if nothing is stored there yet, the first one is made from the
+    sizes (law: near equal bytes) and stored. Without a folder it is stored in the shared one for the time being. A map
+    has to know all slots that occur. A null text has no bytes and the checksum of the empty text. Rows with equal ids
+    share a virtual slot and each have a place of their own; rows equal in everything are told apart by their order
+    only. Other columns are not read; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = durable(records(docs, slots))
     if slot_map is None:
-        slot_map = durable(first_map(slot_sizes(rows), shards))
+        store = folder or f"{shared_dir(spark).rstrip('/')}/slots-{uuid.uuid4().hex}"
+        if not exists(spark, store):
+            first = durable(first_map(slot_sizes(rows), shards))
+            if first.isEmpty():
+                return placed(rows, first.select("virtual_slot", "shard"))
+            save_map(first, store)
+        slot_map = durable(load_map(spark, store))
+        if not folder:
+            remove_folder(spark, store)
     return placed(rows, slot_map.select("virtual_slot", "shard"))
