@@ -333,3 +333,35 @@ def test_named_values_are_proposed(spark, scanner):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     masked = secret_scan.mask_secrets(docs, scanner).first().text
     assert "Xy7" not in masked and "aB3" not in masked and masked.endswith(" there")
+
+
+#: Texts written by hand, apart from the rules that make the labelled ones.
+BY_HAND = {
+    "Please charge my card 3782 822463 10005 tomorrow.": ["card:22:39"],
+    "Her Amex is 3714-496353-98431, expiring soon": ["card:12:29"],
+    "the reference 3782 822463 10006 is not a card": [],
+    "Ring the office on 020 7946 0958 before five": ["phone:19:32"],
+    "Tél. 01 42 68 53 00 pour réserver": ["phone:5:19"],
+    "Bitte rufen Sie 030/4567890 an": ["phone:16:27"],
+    "(089) 555 1234 ist meine Nummer": ["phone:0:14"],
+    "on 05.03.2021 10.45 the meeting began": [],
+    "the ratio was 0.123456789 in all": [],
+    "see /01 42 68 53 00/x for the file": [],
+}
+
+
+def test_cards_of_15_digits_and_national_numbers(spark, selector):
+    docs = spark.createDataFrame(list(enumerate(BY_HAND)), "doc_id bigint, text string")
+    rows = pii.find_personal_data(docs, selector).select("doc_id", pii.named(F.col("spans")).alias("spans")).collect()
+    got = {r.doc_id: list(filter(None, r.spans.split(","))) for r in rows}
+    assert got == dict(enumerate(BY_HAND.values()))
+
+
+def test_all_generators_propose_what_is_labelled(spark):
+    """Every labelled span is proposed by some generator, also where another one proposes an overlapping span."""
+    made = pii.labelled_texts(spark, 1500)
+    value = lambda c: F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"])
+    kinds = F.array(*map(F.lit, pii.KINDS))
+    found = F.transform(pii.candidates(F.col("text")), lambda c: F.struct(F.element_at(kinds, c["kind"] + 1).alias("kind"), value(c).alias("value")))
+    missed = made.select("text", F.array_except("own", found).alias("missed")).where("size(missed) > 0")
+    assert missed.limit(3).collect() == []

@@ -51,7 +51,10 @@ MORE = (
     Generator("email", r"[(\[]at[)\]]", rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}} ?[(\[]at[)\]] ?[A-Za-z0-9-]{{1,63}}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{{1,63}}){{1,4}}"),
     Generator("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
     Generator("card", r"[0-9](?:[ -]?[0-9]){12}", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
+    Generator("card", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", r"(?<![0-9])3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"),
     Generator("phone", r"[0-9]{4}", r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
+    # national numbers: a trunk 0, an area code, and groups of any size, nine to eleven digits in all
+    Generator("phone", r"(?<![0-9])\(?0[0-9]{1,4}\)?[ ./-]", r"(?<![0-9])(?=[(]?(?:[0-9][ ()./-]{0,3}){9,11}(?![0-9]))(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ ./-]{1,2}[0-9]{2,8}(?:[ .-][0-9]{2,5}){0,4}(?![0-9])"),
 )
 
 
@@ -139,6 +142,9 @@ def features(text: Column, kind: str, m: Column) -> Column:
         flag(luhn(digits)),
         flag(value.rlike("^[3-6]")),
         flag(value.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")),
+        flag(value.rlike(r"^\(?0[1-9]")),
+        flag(value.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:0?[1-9]|1[0-2])[ ./-](?:19|20)[0-9]{2}(?![0-9])")),
+        F.size(F.split(value, "[^0-9]+")).cast("double"),
         flag(value.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$")),
         flag(last.rlike("[A-Za-z0-9_]")),
         flag(first.rlike("[A-Za-z0-9_]")),
@@ -202,6 +208,15 @@ def labelled_texts(spark: SparkSession, n: int = TEXTS) -> DataFrame:
     def grouped(c: Column) -> Column:
         return F.regexp_replace(c, "([0-9]{4})([0-9]{4})([0-9]{4})([0-9]{4})", "$1-$2-$3-$4")
 
+    short_head = F.concat(F.lit("37"), number("amex", 12))
+    short_check = F.pmod(F.lit(10) - _luhn_total(F.concat(short_head, F.lit("0"))), F.lit(10))
+
+    def four_six_five(check: Column) -> Column:
+        return F.regexp_replace(F.concat(short_head, check.cast("string")), "([0-9]{4})([0-9]{6})([0-9]{5})", "$1 $2 $3")
+
+    amex, no_amex = four_six_five(short_check), four_six_five(F.pmod(short_check + 1 + pick("off15", 9), F.lit(10)))
+    two = [F.lpad(pick(f"t{k}", 100).cast("string"), 2, "0") for k in range(5)]
+    code = (pick("code", 8) + 1).cast("string")
     area, a, b = (pick("area", 800) + 200).cast("string"), number("a", 3), number("b", 4)
     ip = F.concat_ws(".", *[octet(f"o{k}") for k in range(4)])
     plain = F.concat_ws("", area, a, b)
@@ -211,6 +226,12 @@ def labelled_texts(spark: SparkSession, n: int = TEXTS) -> DataFrame:
     hidden, handle = F.concat(word("u"), F.lit(" [at] "), word("w"), F.lit(" [dot] com")), F.concat(word("u"), F.lit("(at)"), word("w"), F.lit(".org"))
     dashed, dotted, short = F.concat_ws("-", area, a, b), F.concat_ws(".", area, a, b), F.concat(F.lit("("), area, F.lit(") "), a, F.lit("-"), b)
     long_ = F.concat(number("e", 9), number("g", 8))
+    london = F.concat(F.lit("0"), code, F.lit("0 7"), a, space, b)
+    paris = F.concat_ws(" ", F.concat(F.lit("0"), code), *two[:4])
+    berlin = F.concat(F.lit("0"), code, F.lit("0/"), a, b)
+    munich = F.concat(F.lit("(0"), code, F.lit("9) "), a, space, b)
+    date = F.concat_ws(".", F.lpad((pick("dd", 28) + 1).cast("string"), 2, "0"), F.lpad((pick("mm", 12) + 1).cast("string"), 2, "0"), (pick("yy", 40) + 1985).cast("string"))
+    noon = F.concat(F.lpad(pick("hh", 24).cast("string"), 2, "0"), F.lit("."), F.lpad(pick("mi", 60).cast("string"), 2, "0"))
     #: what stands between two halves of a sentence, and what of it is personal data
     cases = [
         ([full], [("phone", full)]),
@@ -244,6 +265,19 @@ def labelled_texts(spark: SparkSession, n: int = TEXTS) -> DataFrame:
         ([F.lit('token = "'), hexed, F.lit('"')], []),
         ([F.lit("2024-01-15 10:22:"), number("s", 2), F.lit("."), number("ms", 6)], []),
         ([F.lit("commit "), hexed], []),
+        ([amex], [("card", amex)]),
+        ([F.regexp_replace(amex, " ", "-"), F.lit(".")], [("card", F.regexp_replace(amex, " ", "-"))]),
+        ([no_amex], []),
+        ([london], [("phone", london)]),
+        ([paris, F.lit(",")], [("phone", paris)]),
+        ([berlin], [("phone", berlin)]),
+        ([munich], [("phone", munich)]),
+        ([date, space, noon], []),
+        ([F.lit("0"), code, space, number("n8", 8), F.lit("-x")], []),
+        ([F.lit("0."), number("n9", 9)], []),
+        ([F.lit("id="), london], []),
+        ([F.lit("/"), paris, F.lit("/x")], []),
+        ([F.concat_ws(" ", *two, number("n7", 2), two[1])], []),
     ]
     none = F.array().cast("array<struct<kind:string,value:string>>")
     chosen = F.element_at(
