@@ -243,12 +243,14 @@ def test_only_wanted_documents(spark, documents, tmp_path):
 
 
 def test_frames():
-    writer = FrameWriter(2)
+    out = io.BytesIO()
+    writer = FrameWriter(2, out)
     random = np.random.default_rng(0)
     docs = [(k * 2, random.integers(0, 49408, random.integers(1, 3000)).astype("<u4")) for k in range(400)]
     for doc_id, numbers in docs:
         writer.add(doc_id, numbers)
-    content = writer.finish()
+    writer.finish()
+    content = out.getvalue()
     assert len(writer.seek) > 3
 
     class Counting(io.BytesIO):
@@ -270,3 +272,32 @@ def test_frames():
     damaged[reader.seek[0][0] // 2] ^= 1
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(FrameReader(io.BytesIO(bytes(damaged))).documents())
+
+
+def test_files_are_closed_and_replaced(spark, documents, tmp_path):
+    """Small files in order, written twice to the same folder as by a task that is run again, and nothing half-written left."""
+    folder = f"{tmp_path}/a b"
+    few = documents.select("doc_id", "text").coalesce(2)
+    one = write_frames(few, folder, file_bytes=20_000).collect()
+    names = sorted(p.name for p in (tmp_path / "a b").iterdir())
+    two = write_frames(few, folder, file_bytes=20_000).collect()
+    assert sorted(one) == sorted(two) and len(names) == len(one) > 1
+    assert sorted(p.name for p in (tmp_path / "a b").iterdir()) == names
+    rows = read_frames(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in few.collect())
+    start = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.place)):
+        assert r.before == start.get(r.file, 0)
+        start[r.file] = r.before + r.n_tokens
+
+
+def test_equal_rows_go_to_several_ranges(spark, tmp_path):
+    same = spark.range(4000).selectExpr("CAST(5 AS BIGINT) AS doc_id", "'one and the same text' AS text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = write_frames(same, f"file://{tmp_path}/ids").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) > 4 and max(f.n_docs for f in files) < 2000
+    rows = round_trip(same).orderBy("start").collect()
+    assert [r.start for r in rows] == [k * rows[0].n_tokens for k in range(4000)]

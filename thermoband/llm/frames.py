@@ -22,14 +22,14 @@ is run again writes the same names.
 
 from __future__ import annotations
 
-import io
 import os
 import struct
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import BinaryIO, NamedTuple
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 from zlib import crc32
 
 import numpy as np
@@ -46,7 +46,10 @@ from thermoband.session import durable, remove_folder, shared_dir
 
 END = 2
 FRAME_BYTES = 1 << 18
-FILE_BYTES = 1 << 24
+#: Size at which a file is closed; a task never holds more than a frame of it.
+FILE_BYTES = 1 << 28
+#: Documents read between two batches of rows.
+READ_ROWS = 4096
 LEVEL = 3
 #: Of the public seekable format (fixed values).
 SEEKABLE, SKIPPABLE, DIRECTORY, CHECKSUMS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50, 0x80
@@ -59,11 +62,10 @@ class Document(NamedTuple):
 
 
 class FrameWriter:
-    """One file, in memory until it is complete (FILE_BYTES and a document at most)."""
+    """One file, written to `out` frame by frame; of the documents it holds one frame at a time."""
 
-    def __init__(self, width: int) -> None:
-        self.width = width
-        self.out = io.BytesIO()
+    def __init__(self, width: int, out: BinaryIO) -> None:
+        self.width, self.out, self.size = width, out, 0
         self.seek: list[tuple[int, int, int]] = []
         self.directory: list[tuple[int, int, int, int]] = []
         self.held: list[Document] = []
@@ -90,17 +92,17 @@ class FrameWriter:
         ))
         frame = self.compressor.compress(content)
         self.out.write(frame)
+        self.size += len(frame)
         self.seek.append((len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
         self.directory.append((names[0], names[-1], len(names), sum(sizes)))
         self.held, self.held_bytes = [], 0
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         self.flush()
         directory = b"".join(struct.pack("<qqIQ", *x) for x in self.directory)
         self.out.write(struct.pack("<II", DIRECTORY, len(directory)) + directory)
         table = b"".join(struct.pack("<III", *x) for x in self.seek) + struct.pack("<IBI", len(self.seek), CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
-        return self.out.getvalue()
 
 
 class FrameReader:
@@ -149,21 +151,33 @@ class FrameReader:
                 yield from (d for d in self.frame(k) if d.doc_id in here)
 
 
-def put(folder: str, name: str, content: bytes) -> None:
-    """Write a file so that its name only ever stands for the whole content."""
-    scheme = urlsplit(folder).scheme
-    if scheme in ("", "file"):
-        store, root = pyarrow.fs.LocalFileSystem(), urlsplit(folder).path
-    else:
-        store, root = pyarrow.fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    begun = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(begun) as out:
-        out.write(content)
-    store.move(begun, f"{root}/{name}")
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store that a path lies in, and the path there."""
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        return pyarrow.fs.LocalFileSystem(), unquote(parts.path)
+    return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
+class NewFile:
+    """A file below `folder` that gets its name when it is complete. A task that is run again replaces what it has written before."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.store, root = _store(folder)
+        self.store.create_dir(root, recursive=True)
+        self.begun, self.name = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
+        self.out = self.store.open_output_stream(self.begun)
+
+    def done(self) -> None:
+        self.out.close()
+        if self.store.get_file_info(self.name).type != pyarrow.fs.FileType.NotFound:
+            self.store.delete_file(self.name)  # of a lost attempt, with the same content
+        self.store.move(self.begun, self.name)
+
+
+def write_frames(
+    docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end: int = END, file_bytes: int = FILE_BYTES
+) -> DataFrame:
     """Write the ids of all documents, each with `end`, below `folder`; one row per file: file, n_docs, n_ids.
 
     A null text counts as empty. Rows with equal ids are kept each; a null
@@ -178,21 +192,26 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         width = 2 if max(encode.library.get_vocab_size(), end + 1) <= 1 << 16 else 4
         last = np.array([end], "<u4")
         part, number = TaskContext.get().partitionId(), 0
-        writer, manifest = FrameWriter(width), []
+        manifest, file_, writer = [], None, None
 
         def done() -> None:
-            nonlocal writer, number
-            content = writer.finish()
-            if writer.directory:
-                name = f"ids-{part:08d}-{number:06d}.zst"
-                put(folder, name, content)
-                manifest.append((name, sum(x[2] for x in writer.directory), sum(x[3] for x in writer.directory)))
-            writer, number = FrameWriter(width), number + 1
+            nonlocal number, writer
+            if writer:
+                writer.finish()
+                file_.done()
+                manifest.append((name_of(number), sum(x[2] for x in writer.directory), sum(x[3] for x in writer.directory)))
+                number, writer = number + 1, None
+
+        def name_of(number: int) -> str:
+            return f"ids-{part:08d}-{number:06d}.zst"
 
         for rows in slices(batches):
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                if writer is None:
+                    file_ = NewFile(folder, name_of(number))
+                    writer = FrameWriter(width, file_.out)
                 writer.add(doc_id, np.concatenate([np.frombuffer(encode(text), "<u4"), last]))
-                if writer.out.tell() >= FILE_BYTES:
+                if writer.size >= file_bytes:
                     done()
         done()
         names, n_docs, n_ids = zip(*manifest, strict=True) if manifest else ([], [], [])
@@ -201,38 +220,45 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         )
 
     ranged = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        docs.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy")
+        )
+        .repartitionByRange("doc_id", "tie", "copy")
+        .sortWithinPartitions("doc_id", "tie", "copy")
         .select("doc_id", "text")
     )
     return durable(ranged.mapInArrow(write, "file string, n_docs bigint, n_ids bigint"))
 
 
+def _read_file(name: str, reader: FrameReader, wanted: list[int] | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a file, some thousand at a time."""
+    place, total = 0, 0
+    documents = ((d.doc_id, len(d.ids), crc32(d.ids.tobytes())) for d in reader.documents(wanted))
+    while some := list(islice(documents, READ_ROWS)):
+        names, sizes, checks = zip(*some, strict=True)
+        before = np.cumsum([total, *sizes])
+        known = before[:-1].tolist() if wanted is None else [None] * len(some)
+        columns = range(place, place + len(some)), names, known, sizes, checks
+        place, total = place + len(some), int(before[-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(some), pa.string()), *(pa.array(x, pa.int64()) for x in columns)],
+            ["file", "place", "doc_id", "before", "n_tokens", "ids_crc32"],
+        )
+
+
 def read_frames(spark: SparkSession, folder: str, wanted: list[int] | None = None) -> DataFrame:
     """One row per document of the files below `folder`: file, place (in its file), doc_id, before (ids before it
-    in its file), n_tokens, ids_crc32. With `wanted` only the frames that may hold those ids are decompressed
-    (`before` is then null)."""
+    in its file), n_tokens, ids_crc32. The tasks open the files and read their tables and then one frame after the
+    other; with `wanted` only the frames that may hold those ids are read (`before` is then null)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                names, sizes, checks, before, total = [], [], [], [], 0
-                for doc in FrameReader(pa.BufferReader(content.as_buffer())).documents(wanted):
-                    names.append(doc.doc_id)
-                    before.append(total if wanted is None else None)
-                    sizes.append(len(doc.ids))
-                    checks.append(crc32(doc.ids.tobytes()))
-                    total += len(doc.ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path.as_py().rpartition("/")[2]] * len(names), pa.string()),
-                        *(pa.array(x, pa.int64()) for x in (range(len(names)), names, before, sizes, checks)),
-                    ],
-                    ["file", "place", "doc_id", "before", "n_tokens", "ids_crc32"],
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.zst").load(folder).select("path", "content")
+            for path in batch.column(0).to_pylist():
+                store, inside = _store(path)
+                with store.open_input_file(inside) as source:
+                    yield from _read_file(path.rpartition("/")[2], FrameReader(source), wanted)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.zst").load(folder).select("path")
     return files.mapInArrow(
         read, "file string, place bigint, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
     )
