@@ -108,6 +108,22 @@ def test_no_window_over_much_of_a_series(spark, shape):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_rounds_leave_nothing(spark, tmp_path, monkeypatch):
+    """Of an iteration only the last result is on disk, and nothing after it, also when it fails."""
+    from thermoband import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="stop"), session.Scratch(spark) as scratch:
+        df = scratch.replaced(spark.range(10).selectExpr("id AS x"))
+        for k in range(4):
+            df = scratch.replaced(df.selectExpr("x + 1 AS x"))
+            (root,) = tmp_path.iterdir()
+            assert len(list(root.iterdir())) == 1
+        assert sorted(r.x for r in df.collect()) == list(range(4, 14))
+        raise ValueError("stop")
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_workers_find_the_package_from_any_folder(sf_dir, tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = (

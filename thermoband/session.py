@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,6 +24,8 @@ def build_session(app: str = "thermoband", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # what `durable` has written goes when nothing refers to it any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -65,6 +68,9 @@ def durable(df: DataFrame) -> DataFrame:
 
     The result does not depend on any executor staying alive, and values that
     Spark may recompute differently (such as partition ids) are fixed by it.
+    Spark removes the files when the result is no longer referred to, if the
+    session has `spark.cleaner.referenceTracking.cleanCheckpoints` set. Rounds
+    of an iteration belong into a `Scratch`, which needs no setting.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -76,3 +82,23 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate files, in whatever store it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """The last result of an iteration, written to the shared folder in place of the one before; nothing is left at the end of the block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.round = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove_folder(self.spark, self.folder)
+
+    def replaced(self, df: DataFrame) -> DataFrame:
+        """Write `df` and go on from what was written; the result before it, which `df` may have read, is removed."""
+        self.round += 1
+        df.write.parquet(f"{self.folder}/{self.round}")
+        remove_folder(self.spark, f"{self.folder}/{self.round - 1}")
+        return self.spark.read.parquet(f"{self.folder}/{self.round}")
