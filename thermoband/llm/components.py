@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermoband.session import durable
+from thermoband.session import Scratch, durable
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -34,17 +34,18 @@ def components(links: DataFrame) -> DataFrame:
     component in a number of rounds that grows with the logarithm of the
     largest component. A node with very many links meets its least neighbour
     in a join that adaptive execution can split; nothing is gathered per node.
-    Each round is written to the shared folder. Nulls, self links and repeated
+    Each round is written to the shared folder in place of the one before. Nulls, self links and repeated
     links do not count; no links give no rows.
     """
     links = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    links = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                links.select(F.col("b"), F.col("b")).distinct()
-            )
-        state = now
-        links = durable(_small_star(_large_star(links).distinct()).distinct())
+    with Scratch(links.sparkSession) as scratch:
+        links = scratch.replaced(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        state = None
+        while True:
+            now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == state or not now[0]:
+                return durable(
+                    links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b"), F.col("b")).distinct())
+                )
+            state = now
+            links = scratch.replaced(_small_star(_large_star(links).distinct()).distinct())
