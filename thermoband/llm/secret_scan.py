@@ -241,13 +241,10 @@ class Scanner(NamedTuple):
     forest: list[trees.Node]
 
     def scores(self, x: list[list[float]]) -> np.ndarray:
-        rows = np.array(x)
-        return np.mean([trees.evaluate(t, rows) for t in self.forest], axis=0)
+        return np.array([sum(trees.leaf_value(t, row) for t in self.forest) / len(self.forest) for row in x])
 
     def find(self, text: str | None, path: str | None) -> list[tuple[Candidate, float]]:
         here = candidates(text) if text else []
-        if not here:
-            return []
         p = self.scores([described(text, c, path or "", self.logs, self.words) for c in here])
         return list(zip(here, p.tolist(), strict=True))
 

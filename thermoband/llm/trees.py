@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +40,8 @@ def expression(node: Node, features: Column) -> Column:
     )
 
 
-def evaluate(node: Node, x: np.ndarray) -> np.ndarray:
-    """The tree's values for the rows of x."""
-    out = np.full(len(x), node.value)
-    if node.left is not None:
-        left = x[:, node.feature] <= node.threshold
-        out[left], out[~left] = evaluate(node.left, x[left]), evaluate(node.right, x[~left])
-    return out
+def leaf_value(node: Node, x: Sequence[float]) -> float:
+    """The tree's value for one row. Few rows come at a time, so a walk costs far less than operations on arrays."""
+    while node.left is not None:
+        node = node.left if x[node.feature] <= node.threshold else node.right
+    return node.value
