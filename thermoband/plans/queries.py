@@ -115,7 +115,7 @@ def q_csv_roundtrip(t: Inputs) -> DataFrame:
 
 
 # Blocks that the small test files are cut into, so that records lie across their borders.
-BLOCK = "16384"
+BLOCK = "65536"
 
 
 def _in_blocks(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
