@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from thermoband.functions import clock
 from thermoband.functions.categories import unite
 from thermoband.schemas import BODY_RAW, ENV_RAW, LAB_RAW
-from thermoband.session import durable
+from thermoband.session import broadcast_if_small, durable
 from thermoband.sources.tables import CSV_TIME
 
 def lower_names(df: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _joined(lines: DataFrame) -> DataFrame:
         raise ValueError(f"a quote is not closed in {open_}")
     by_line = Window.partitionBy("file", "block").orderBy("place")
     before = F.lag(F.struct("known", "quoted")).over(by_line)
-    rows = after.withColumn("_before", before).join(starts, ["file", "block"])
+    rows = after.withColumn("_before", before).join(broadcast_if_small(durable(starts)), ["file", "block"])
     inside = F.when(F.col("_before").isNull(), F.col("_begun")).when(F.col("_before.known"), F.col("_before.quoted"))
     inside = inside.otherwise(F.col("_begun") != F.col("_before.quoted"))
     rows = rows.withColumn("_of", F.when(~inside, F.struct("block", "place")))
@@ -153,7 +153,7 @@ def _joined(lines: DataFrame) -> DataFrame:
     lasts = rows.groupBy("file", "block").agg(F.max("_of").alias("_end"))
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.select("file", "block", F.last("_end", ignorenulls=True).over(earlier).alias("_end"))
-    rows = rows.join(lasts, ["file", "block"]).withColumn("_of", F.coalesce("_of", "_end"))
+    rows = rows.join(broadcast_if_small(durable(lasts)), ["file", "block"]).withColumn("_of", F.coalesce("_of", "_end"))
     long_ = [r.file for r in rows.groupBy("file", "_of").count().where(F.col("count") > MOST_LINES).limit(5).collect()]
     if long_:
         raise ValueError(f"a record of more than {MOST_LINES} lines in {long_}")
@@ -170,7 +170,7 @@ def log_records(spark: SparkSession, path: str, subfolders: bool = False) -> Dat
     lines = log_lines(spark, path, subfolders)
     broken = lines.filter(F.col("line").contains('"')).filter(_in_quotes(F.col("line"), _START)).select("file").distinct()
     if not broken.isEmpty():
-        broken = durable(broken)
+        broken = broadcast_if_small(durable(broken))
         lines = lines.join(broken, "file", "left_anti").union(_joined(lines.join(broken, "file", "left_semi")))
     return lines.filter(F.trim("line") != "")
 
@@ -187,9 +187,10 @@ def with_headers(lines: DataFrame, path: str, headers: bool = False) -> tuple[Da
         raise FileNotFoundError(f"no lines in the files of {path}")
     clean = F.regexp_replace("header", "^\ufeff", "")
     names = F.transform(_fields(clean, widest), lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
-    named = first.select(F.col("file").alias("of_file"), "header", names.alias("names"))
+    named = durable(first.select(F.col("file").alias("of_file"), "header", names.alias("names")))
     found = sorted(r[0] for r in named.select(F.explode("names")).distinct().collect() if r[0])
-    rows = lines.join(named, F.col("file") == F.col("of_file")).withColumn("is_header", F.col("line") == F.col("header"))
+    # Lines are joined to their file's header; a large file is split only if they need not be dealt out by file.
+    rows = lines.join(broadcast_if_small(named), F.col("file") == F.col("of_file")).withColumn("is_header", F.col("line") == F.col("header"))
     rows = rows if headers else rows.filter("NOT is_header").drop("is_header")
     return rows.withColumn("fields", _fields(F.col("line"), widest)), found
 
