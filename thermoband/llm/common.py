@@ -11,7 +11,6 @@ import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Rows turned into Python objects at a time; Spark bounds the bytes of a whole Arrow batch.
@@ -135,8 +134,3 @@ def word_encoder(definition: str) -> WordEncoder:
     if key not in _encoders:
         _encoders[key] = WordEncoder(definition)
     return _encoders[key]
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """`df`, which is written already, with a hint to broadcast it if it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
