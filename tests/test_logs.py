@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from thermoband.plans import queries
 from thermoband.sources import logs, types
 
 SCHEMA = "id bigint, note string, temp double"
@@ -67,6 +68,28 @@ def test_records_over_lines_and_blocks(spark, tmp_path, block):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_blocks_grow_with_the_folder(spark, tmp_path, monkeypatch):
+    """A folder is cut into a bounded number of blocks, unless the session's own are smaller; records still lie across them."""
+    assert [queries.block_bytes(n << 20, 128 << 20) for n in (1, 16, 1 << 10, 1 << 20)] == [1 << 16, 1 << 16, 4 << 20, 128 << 20]
+    assert queries.block_bytes(1 << 40, 16 << 20) == 16 << 20
+    monkeypatch.setattr(queries, "BLOCK", 16)
+    monkeypatch.setattr(queries, "BLOCKS", 16)
+    rows = [(k, NOTES[k % len(NOTES)], f"{k}.5") for k in range(400)]
+    (tmp_path / "a.csv").write_text(written(rows), newline="")
+    cut = queries._in_blocks(spark, str(tmp_path), lambda: logs.log_lines(spark, str(tmp_path)))
+    assert 2 <= cut.select("block").distinct().count() <= 17
+    got = queries._in_blocks(spark, str(tmp_path), lambda: logs.read_log_dir(spark, str(tmp_path), schema(spark)))
+    assert sorted((r.id, r.note) for r in got.collect()) == [(int(r["id"]), r["note"]) for r in by_csv(written(rows))]
+
+
+def test_records_are_put_together_once(spark, tmp_path):
+    """What is read later, such as the headers, does not put the lines of a record together again."""
+    (tmp_path / "a.csv").write_text(written([(1, "two\nlines", "1.5"), (2, "one", "2.5")]), newline="")
+    records = logs.log_records(spark, str(tmp_path))
+    assert "Window" not in records._jdf.queryExecution().optimizedPlan().toString()
+    assert read(spark, tmp_path) == [(1, "two\nlines", 1.5), (2, "one", 2.5)]
+
+
 def test_quotes_inside_fields_are_plain(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,note,temp\n1,5" pipe,1\n2,6"" x,2\n3,"he said ""no""",3\n')
     assert read(spark, tmp_path) == [(1, '5" pipe', 1.0), (2, '6"" x', 2.0), (3, 'he said "no"', 3.0)]

@@ -114,15 +114,23 @@ def q_csv_roundtrip(t: Inputs) -> DataFrame:
     return both
 
 
-# Blocks that the small test files are cut into, so that records lie across their borders.
-BLOCK = "65536"
+# Bytes of the blocks that the small test files are cut into, so that records lie across their borders.
+BLOCK = 65_536
+# A larger folder is cut into about so many blocks, for as long as they are smaller than the session's own.
+BLOCKS = 256
 
 
-def _in_blocks(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
-    """What `build` gives, read in small blocks and written."""
+def block_bytes(folder: int, own: int) -> int:
+    """Bytes of a block of a folder of so many bytes, where the session's own blocks have `own`."""
+    return min(max(BLOCK, -(-folder // BLOCKS)), max(BLOCK, own))
+
+
+def _in_blocks(spark: SparkSession, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` gives, with `folder` read in small blocks and written."""
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = [spark.conf.get(n) for n in names]
-    for n, value in zip(names, (BLOCK, "1"), strict=True):
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[0])
+    for n, value in zip(names, (str(block_bytes(stored.folder_bytes(spark, folder), own)), "1"), strict=True):
         spark.conf.set(n, value)
     try:
         return durable(build())
@@ -147,7 +155,7 @@ def q_csv_dirs(t: Inputs) -> DataFrame:
     stored.write_csv(ev.filter(kind == 1).select("event_type", F.col("value").alias("VALUE"), "event_id"), f"{root}/other", "CSV")
     stored.move_files(t.spark, f"{root}/other", root, prefix="_")
     wanted = ev.select("event_id", "ts", "value", "event_type").schema
-    kept = _in_blocks(t.spark, lambda: logs.read_log_dir(t.spark, root, wanted).select(*wanted.names, "extra", "note"))
+    kept = _in_blocks(t.spark, root, lambda: logs.read_log_dir(t.spark, root, wanted).select(*wanted.names, "extra", "note"))
     remove_folder(t.spark, root)
     return kept
 

@@ -165,13 +165,14 @@ def log_records(spark: SparkSession, path: str, subfolders: bool = False) -> Dat
     """The records of every file of a folder, as `log_lines`; fields in quotes may hold line breaks (read as a single
     line feed). Blank records are left out. A quote that is never closed is an error.
 
-    Files without such fields are read as they lie; only the lines of the others are brought together.
+    Files without such fields are read as they lie; only the lines of the others are brought together, once, and written.
     """
     lines = log_lines(spark, path, subfolders)
     broken = lines.filter(F.col("line").contains('"')).filter(_in_quotes(F.col("line"), _START)).select("file").distinct()
+    broken = durable(broken)
     if not broken.isEmpty():
-        broken = broadcast_if_small(durable(broken))
-        lines = lines.join(broken, "file", "left_anti").union(_joined(lines.join(broken, "file", "left_semi")))
+        broken = broadcast_if_small(broken)
+        lines = lines.join(broken, "file", "left_anti").union(durable(_joined(lines.join(broken, "file", "left_semi"))))
     return lines.filter(F.trim("line") != "")
 
 
@@ -180,7 +181,7 @@ def with_headers(lines: DataFrame, path: str, headers: bool = False) -> tuple[Da
     and all names that occur. With `headers` the first ones are there too, marked by `is_header`. Fields without a name
     are not read. Two small jobs learn the names and the largest number of fields, since a plan needs its columns; the
     names of all files are as many as the columns of the result."""
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "place").alias("header"))
+    first = durable(lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "place").alias("header")))
     commas = F.length("header") - F.length(F.regexp_replace("header", ",", "")) + 1
     widest = first.agg(F.max(commas)).first()[0]
     if widest is None:

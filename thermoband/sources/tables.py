@@ -47,6 +47,13 @@ def move_files(spark: SparkSession, source: str, target: str, prefix: str = "")
             store.rename(found.getPath(), path(target, f"{prefix}{name}"))
 
 
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of the files of a folder, without those of folders in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(found.getLen() for found in store.listStatus(path) if found.isFile())
+
+
 # --- bundles: several tables saved as one -----------------------------------------
 
 #: The file of a bundle that names its current version and the tables in it.
