@@ -6,13 +6,17 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from thermoband.mixed import fit as fitting
 from thermoband.mixed import predict, tables
 from thermoband.mixed.fit import evaluate, fit
 from thermoband.mixed.spec import BODY_MODEL, ENV_MODEL, PeriodicModel
 from thermoband.mixed.special import beta_inc, f_tail, t_quantile
 from thermoband.mixed.stats import series_statistics, unpack
+from thermoband.operators import grids
 
 ORDER = ["datetime", "obs_id"]
 
@@ -206,6 +210,39 @@ def test_effects_and_predictions_equal_dense(spark, fitted):
         assert r["pred"] == pytest.approx(r["pred_fixed"] + z @ effects[r["id"]], rel=1e-8)
 
 
+def test_waves_of_a_grid_are_computed_once(spark):
+    """The same values as row by row; no wave is left in the plan of the rows."""
+    df = spark.createDataFrame([(3, 0), (25, 23)], "day int, hour int")
+    dims = spark.range(7).withColumn("coef", F.array(*[F.rand(i) for i in range(ENV_MODEL.basis_size)])).localCheckpoint()
+    dims = dims.withColumn("coef", F.when(F.col("id") > 0, F.col("coef")))
+    got = predict.predict_on_grid(df, dims, ENV_MODEL, hours=10, days=4)
+    want = predict.predict_series(grids.series_grid(df, dims, hours=10, days=4), ENV_MODEL)
+    assert got.columns == want.columns == ["id", "day", "hour", "pred"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "SIN(" in want._jdf.queryExecution().optimizedPlan().toString()
+    assert "SIN(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_class_is_evaluated_for_its_own_parameters_only(monkeypatch):
+    """Shifts of another level's slopes don't change a class, so they cost nothing."""
+    size = ENV_MODEL.basis_size + 1
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(3, 20, size))
+    packed = list((a.transpose(0, 2, 1) @ a)[:, *np.triu_indices(size)])
+    block = pd.DataFrame({"cls": 1, "n": 20, "s0": packed, "t1": packed, "s2": packed})
+    theta = np.r_[0.3, rng.uniform(0.5, 1.0, 8)]
+    thetas = np.array([theta, *(theta + 1e-2 * np.eye(9))])
+    asked = []
+    real = fitting.marginal
+    monkeypatch.setattr(fitting, "marginal", lambda *args: asked.append(1) or real(*args))
+    (got,) = fitting._evaluator(ENV_MODEL, thetas, True)(iter([block]))
+    assert len(asked) == 1 + 1 + ENV_MODEL.slopes_per_series
+    values = got.set_index("t")["v"]
+    for t in range(10):
+        (one,) = fitting._evaluator(ENV_MODEL, thetas[t : t + 1], True)(iter([block]))
+        assert np.array_equal(values[t], one["v"][0])
+
+
 def test_design_row_equals_basis_product(spark):
     for model in (BODY_MODEL, ENV_MODEL):
         rows, _, _ = simulate(model, [5] * 4, 0.1, np.ones(8), 1.0, seed=3)

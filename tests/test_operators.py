@@ -128,6 +128,24 @@ def test_grid_axes(spark):
     assert {(r["id"], r["day"], r["hour"]) for r in got} == {(i, d, h) for i in (1, 2) for d in (3.0, 4.0, 5.0) for h in (0.0, 23.0)}
 
 
+def test_a_large_grid_has_no_more_tasks_than_it_needs(spark):
+    """Tasks grow with the grid once there are many, and series are dealt before they unfold."""
+    assert [grids.grid_tasks(n) for n in (0, 200_000, 200_001, 10**7, 36 * 10**7, 216 * 10**7)] == [1, 1, 2, 50, 256, 1080]
+    df = spark.createDataFrame([(3, 0), (5, 23)], "day int, hour int")
+    dims = spark.range(100).select(F.col("id").cast("int"))
+    grid = grids.series_grid(df, dims, hours=100, days=40)
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition")
+    assert (grid.count(), grid.distinct().count(), grid.rdd.getNumPartitions()) == (400_000, 400_000, 2)
+
+
+def test_a_series_of_many_rows_is_dealt_by_days(spark, monkeypatch):
+    monkeypatch.setattr(grids, "TASK_ROWS", 10)
+    df = spark.createDataFrame([(3, 0), (5, 23)], "day int, hour int")
+    grid = grids.series_grid(df, spark.range(2), hours=5, days=4)
+    assert (grid.count(), grid.distinct().count(), grid.rdd.getNumPartitions()) == (40, 40, 4)
+
+
 def test_grids_refuse_what_they_do_not_know(spark):
     df = spark.createDataFrame([(3, 0, "a"), (5, 23, None), (None, 1, "b")], "day int, hour int, f string")
     assert grids.group_grid(df, {"f": ("a", "b")}, hours=2, days=None).count() == 8

@@ -83,8 +83,13 @@ def _evaluator(model: PeriodicModel, thetas: np.ndarray, gradient: bool):
         for cls, block in class_blocks(batches):
             matrices = [unpack(_stack(block[c]), size) for c in ("s0", "t1", "s2")]
             n = block["n"].to_numpy()
+            own = [0, *range(1 + blocks[cls] * k, 1 + (blocks[cls] + 1) * k)]  # parameters that this class depends on
+            found: dict[tuple[float, ...], np.ndarray] = {}
             for t, theta in enumerate(thetas):
-                part = sums(*matrices, n, cls, theta)
+                of = tuple(theta[own])
+                if of not in found:
+                    found[of] = sums(*matrices, n, cls, theta)
+                part = found[of]
                 totals[cls, t] = totals[cls, t] + part if (cls, t) in totals else part
         if totals:
             yield pd.DataFrame(

@@ -16,6 +16,7 @@ from thermoband.functions.special import upper_normal
 from thermoband.mixed.fit import FittedModel, _stack, marginal, whitened
 from thermoband.mixed.spec import PeriodicModel
 from thermoband.mixed.stats import class_blocks, unpack
+from thermoband.operators.grids import series_grid
 
 
 def simultaneous_quantile(m: int, alpha: float = 0.05) -> float:
@@ -102,12 +103,21 @@ def _with_basis(df: DataFrame, model: PeriodicModel) -> tuple[DataFrame, list[st
 
 def _value(coef: Column, hour: list[str], day: list[str]) -> Column:
     """Sum over hour terms of hour term times (sum over day terms), coefficients in basis order."""
+    return _weighted(hour, [_of_day(coef, h, day) for h in range(len(hour))])
+
+
+def _of_day(coef: Column, h: int, day: list[str]) -> Column:
+    """What a day makes of the coefficients of hour term `h`."""
     total = F.lit(0.0)
-    for h, hour_term in enumerate(hour):
-        inner = F.lit(0.0)
-        for d, day_term in enumerate(day):
-            inner = inner + F.get(coef, F.lit(h * len(day) + d)) * F.col(day_term)
-        total = total + F.col(hour_term) * inner
+    for d, day_term in enumerate(day):
+        total = total + F.get(coef, F.lit(h * len(day) + d)) * F.col(day_term)
+    return total
+
+
+def _weighted(hour: list[str], weights: list[Column]) -> Column:
+    total = F.lit(0.0)
+    for hour_term, weight in zip(hour, weights, strict=True):
+        total = total + F.col(hour_term) * weight
     return total
 
 
@@ -157,3 +167,24 @@ def predict_series(grid: DataFrame, fitted: FittedModel | PeriodicModel) -> Data
     model = fitted.model if isinstance(fitted, FittedModel) else fitted
     based, hour, day = _with_basis(grid, model)
     return based.withColumn("pred", _value(F.col("coef"), hour, day)).drop("coef", *hour, *day)
+
+
+def predict_on_grid(
+    df: DataFrame, dims: DataFrame, fitted: FittedModel | PeriodicModel, hours: int, days: int | None
+) -> DataFrame:
+    """`predict_series` on the `series_grid` of `dims`, whose column `coef` has the series' coefficients.
+
+    The grid is far larger than its axes, so waves are computed once per day and
+    hour of the axes, and sums over day terms once per series and day.
+    """
+    model = fitted.model if isinstance(fitted, FittedModel) else fitted
+    of = lambda name, columns: lambda x: {f"_{name}{i}": c for i, c in enumerate(columns(x))}
+    day_terms, hour_terms = of("d", model.day_columns), of("h", model.hour_columns)
+    day, hour = list(day_terms(F.lit(0.0))), list(hour_terms(F.lit(0.0)))
+    weights = [f"_w{h}" for h in range(len(hour))]
+
+    def per_day(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({w: _of_day(F.col("coef"), h, day) for h, w in enumerate(weights)}).drop("coef", *day)
+
+    grid = series_grid(df, dims, hours, days, day_terms, hour_terms, per_day)
+    return grid.withColumn("pred", _weighted(hour, [F.col(w) for w in weights])).drop(*weights, *hour)

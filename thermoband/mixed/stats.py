@@ -82,28 +82,30 @@ def _fold(model: PeriodicModel, series: str) -> Callable[[Iterator[pd.DataFrame]
     q = model.basis_size
     i, j = upper(q + 1)
 
-    def outer_sums(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        """Packed S0, T1, S2 parts of every cell."""
+    def outer_sums(pdf: pd.DataFrame, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Readings and packed S0, T1, S2 of each run of cells that begins at `starts`: one matrix product per run."""
         n, sy, syy = (pdf[c].to_numpy(float) for c in ("n", "sy", "syy"))
+        sp, syp = (pdf[c].fillna(0.0).to_numpy(float) for c in ("sp", "syp"))
         first = pdf["prev_hour"].isna().to_numpy()
+        inside = np.where(first | pdf["is_last"].to_numpy(bool), 0.0, 1.0)
         u = model.basis_rows(pdf["hour"].to_numpy(), pdf["day"].to_numpy())
-        own = np.empty((len(pdf), len(i)))
-        basis, cross, last = (j < q), (i < q) & (j == q), (i == q)
-        own[:, basis] = u[:, i[basis]] * u[:, j[basis]] * n[:, None]
-        own[:, cross] = u[:, i[cross]] * sy[:, None]
-        own[:, last] = syy[:, None]
-
         v = model.basis_rows(pdf["prev_hour"].fillna(0.0).to_numpy(), pdf["prev_day"].fillna(0.0).to_numpy())
-        sp, syp = (pdf[c].fillna(0.0).to_numpy(float) for c in ("sp", "syp"))
-        both = np.empty_like(own)
-        bi, bj = i[basis], j[basis]
-        both[:, basis] = (u[:, bi] * v[:, bj] + v[:, bi] * u[:, bj]) * n[:, None]
-        both[:, cross] = u[:, i[cross]] * sp[:, None] + v[:, i[cross]] * sy[:, None]
-        both[:, last] = 2.0 * syp[:, None]
-        both[first] = 0.0
-
-        inner = np.where((first | pdf["is_last"].to_numpy(bool))[:, None], 0.0, own)
-        return n, own, both, inner
+        v[first] = 0.0  # nothing before the first reading
+        right = np.concatenate(
+            [u * n[:, None], sy[:, None], v * n[:, None], sp[:, None], u * (n * inside)[:, None], (sy * inside)[:, None]], axis=1
+        )
+        ends = np.r_[starts[1:], len(pdf)]
+        own, both, inner = np.split(np.stack([u[a:b].T @ right[a:b] for a, b in zip(starts, ends)]), 3, axis=2)
+        both[:, :, :q] += both[:, :, :q].transpose(0, 2, 1)
+        both[:, :, q] += np.add.reduceat(v * sy[:, None], starts, axis=0)
+
+        def packed(part: np.ndarray, last: np.ndarray) -> np.ndarray:
+            out = np.empty((len(starts), len(i)))
+            out[:, i < q] = part[:, i[i < q], j[i < q]]
+            out[:, i == q] = np.add.reduceat(last, starts)[:, None]
+            return out
+
+        return np.add.reduceat(n, starts), packed(own, syy), packed(both, 2.0 * syp), packed(inner, syy * inside)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, open_cls, open_sums = None, None, None
@@ -120,7 +122,6 @@ def _fold(model: PeriodicModel, series: str) -> Callable[[Iterator[pd.DataFrame]
         for pdf in batches:
             if not len(pdf):
                 continue
-            parts = outer_sums(pdf)
             keys, classes = pdf[series].to_numpy(), pdf["cls"].to_numpy()
             same = keys[1:] == keys[:-1]
             if (classes[1:][same] != classes[:-1][same]).any() or (
@@ -128,7 +129,7 @@ def _fold(model: PeriodicModel, series: str) -> Callable[[Iterator[pd.DataFrame]
             ):
                 raise ValueError("a factor changes inside a series")
             starts = np.flatnonzero(np.r_[True, ~same])
-            sums = [np.add.reduceat(p, starts, axis=0) for p in parts]
+            sums = outer_sums(pdf, starts)
             keys, classes = keys[starts], classes[starts]
             if open_key is not None:
                 if keys[0] == open_key:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermoband.session import durable
 
-#: Grid rows that a task makes, about.
-TASK_ROWS = 200_000
+#: Grid rows that a task makes, about; more of them, up to MOST_ROWS, if there were more than MANY_TASKS otherwise.
+TASK_ROWS, MOST_ROWS = 200_000, 2_000_000
+MANY_TASKS = 256
+#: Columns that follow from a value of an axis, by name.
+Terms = Callable[[Column], dict[str, Column]]
 
 
 def evenly_spaced(lo: Column, hi: Column, n: int) -> Column:
@@ -53,21 +57,46 @@ def group_grid(
     return one
 
 
+def grid_tasks(rows: int) -> int:
+    """Tasks that make a grid of so many rows."""
+    return max(1, -(-rows // MOST_ROWS), min(-(-rows // TASK_ROWS), MANY_TASKS))
+
+
 def series_grid(
-    df: DataFrame, dims: DataFrame, hours: int, days: int | None
+    df: DataFrame, dims: DataFrame, hours: int, days: int | None,
+    day_terms: Terms | None = None, hour_terms: Terms | None = None, per_day: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Days and hours of the table for every row of `dims` (one row per series).
 
-    The rows of `dims` are few and the grid is large, so days unfold first and
-    are dealt over as many tasks as the grid needs; hours unfold there.
+    The rows of `dims` are few and the grid is large, so they are written, dealt
+    over as many tasks as the grid needs, and unfolded there (days first, and
+    dealt then, where a single series makes more rows than a task).
+    `day_terms` and `hour_terms` give further columns, computed once per day and
+    hour of the axes; `per_day` is applied to the rows before hours unfold.
     """
-    axes = df.agg(_axis("day", days).alias("day"), _axis("hour", hours).alias("hour")).first()
+    terms = {"day": day_terms or (lambda x: {}), "hour": hour_terms or (lambda x: {})}
+
+    def points(name: str, n: int | None) -> Column:
+        row = lambda x: F.struct(x.alias(name), *[c.alias(k) for k, c in terms[name](x).items()])
+        return F.transform(_axis(name, n), row).alias(name)
+
+    axes = df.agg(points("day", days), points("hour", hours)).first()
     if not axes["day"]:
         axes = {"day": [], "hour": []}
+    dims = durable(dims)
     per_series = len(axes["day"]) * len(axes["hour"])
-    tasks = max(1, -(-dims.count() * per_series // TASK_ROWS))
-    values = lambda xs: F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
-    days_of = dims.withColumn("day", F.explode(values(axes["day"])))
-    if tasks > 1:
+    tasks = grid_tasks(dims.count() * per_series)
+
+    def values(name: str) -> Column:
+        names = [name, *terms[name](F.lit(0.0))]
+        rows = [F.struct(*[F.lit(float(x[k])).alias(k) for k in names]) for x in axes[name]]
+        return F.inline(F.array(*rows).cast(f"array<struct<{', '.join(f'{k}: double' for k in names)}>>"))
+
+    if tasks > 1 and per_series <= TASK_ROWS:
+        dims = dims.repartition(tasks)
+    days_of = dims.select("*", values("day"))
+    if tasks > 1 and per_series > TASK_ROWS:
         days_of = days_of.repartition(tasks)
-    return days_of.withColumn("hour", F.explode(values(axes["hour"])))
+    if per_day is not None:
+        days_of = per_day(days_of)
+    return days_of.select("*", values("hour"))

@@ -641,15 +641,14 @@ def q_predict_level0_te(t: Inputs) -> DataFrame:
 def q_predict_level1_tb(t: Inputs) -> DataFrame:
     fitted = fit_body(t)
     dims = predict.with_effects(_body_dims(t), fitted).drop("original_id")
-    grid = grids.series_grid(t.tb_rows, dims, hours=GRID_HOURS, days=SERIES_DAYS["tb"])
-    return predict.predict_series(grid, fitted)
+    return predict.predict_on_grid(t.tb_rows, dims, fitted, hours=GRID_HOURS, days=SERIES_DAYS["tb"])
 
 
 @query
 def q_predict_level1_te(t: Inputs) -> DataFrame:
     fitted = fit_env(t)
     dims = predict.with_effects(_env_dims(t), fitted)
-    return predict.predict_series(grids.series_grid(t.te, dims, hours=GRID_HOURS, days=SERIES_DAYS["te"]), fitted)
+    return predict.predict_on_grid(t.te, dims, fitted, hours=GRID_HOURS, days=SERIES_DAYS["te"])
 
 
 def _predicted_deviation(t: Inputs, pred: DataFrame, key: str, name: str, keep: Sequence[str]) -> DataFrame:
@@ -795,8 +794,8 @@ def _register_stated(what: str) -> None:
         coefs = plain.series_coefficients(marginal, fits, model, sd, SERIES[what])
         dims = (_body_dims(t) if what == "tb" else _env_dims(t)).join(coefs, SERIES[what], "left")
         rows = t.tb_rows if what == "tb" else t.te
-        grid = grids.series_grid(rows, dims.drop("original_id"), hours=GRID_HOURS, days=SERIES_DAYS[what])
-        return rounded(predict.predict_series(grid, model), ["pred"], SERIES_DIGITS)
+        grid = predict.predict_on_grid(rows, dims.drop("original_id"), model, hours=GRID_HOURS, days=SERIES_DAYS[what])
+        return rounded(grid, ["pred"], SERIES_DIGITS)
 
     for name, build in (("reml", reml), ("anova_at", anova), ("blup_at", blup), ("predict_at_level1", level1)):
         build.__name__ = f"q_{name}_{what}"

@@ -158,8 +158,8 @@ def model_results(
         "te": (te, te.select("id", "location", "site", "treatment").distinct(), fit_te),
     }
     for name, (df, rows, fitted) in dims.items():
-        grid = grids.series_grid(df, predict.with_effects(rows, fitted), hours=fixed.GRID_HOURS, days=fixed.SERIES_DAYS[name])
-        out[f"pred_series_{name}"] = predict.predict_series(grid, fitted)
+        effects = predict.with_effects(rows, fitted)
+        out[f"pred_series_{name}"] = predict.predict_on_grid(df, effects, fitted, hours=fixed.GRID_HOURS, days=fixed.SERIES_DAYS[name])
     return out
 
 
